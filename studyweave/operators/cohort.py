@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as voc
 from ..functions.clinical import cohort_of
 from ..functions.text import is_recorded, trim_all
-from .joins import lookup_join, split_join
+from .joins import ROWS_PER_TASK, lookup_join, split_join
 
 RECORD_COLUMNS = ("study_id", "patient_id", "sample_id", "attr_id", "value", "data_level")
 
@@ -61,7 +61,7 @@ def patient_counts(roster: DataFrame) -> DataFrame:
 def study_table(studies: DataFrame, counts: DataFrame, min_patients: int) -> DataFrame:
     """study_id, study_name, n_patients of the studies with enough patients."""
     large = counts.filter(F.col("n_patients") >= min_patients)
-    return lookup_join(studies.select("study_id", "study_name"), large, ["study_id"])
+    return studies.select("study_id", "study_name").join(large, "study_id")
 
 
 def of_studies(frame: DataFrame, studies: DataFrame) -> DataFrame:
@@ -119,12 +119,21 @@ def primary_record(pairs: DataFrame, richness: DataFrame, identity: list[str] |
     )
 
 
-def records_of(records: DataFrame, kept: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """Facts of the kept (study, patient) pairs. `kept.n_facts` tells which patients are heavy."""
+def records_of(records: DataFrame, kept: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Facts of the kept (study, patient) pairs, with the further columns of `kept`.
+
+    `kept.n_facts` tells which patients are heavy, so the join costs no pass of its own to learn it.
+    """
     on = ["study_id", "patient_id"]
     weights = kept.select(*on, F.col("n_facts").alias("_rows"))
-    extra = {} if rows_per_task is None else {"rows_per_task": rows_per_task}
-    return split_join(records, kept.select(*on), on, weights, "left_semi", **extra)
+    return split_join(records, kept.drop("n_facts"), on, weights, "inner", rows_per_task)
+
+
+def with_listing(kept: DataFrame, roster: DataFrame) -> DataFrame:
+    """Mark the pairs that are on the roster. Both sides have one row per study and patient."""
+    on = ["study_id", "patient_id"]
+    listed = roster.select(*on, F.lit(True).alias("listed"))
+    return kept.join(listed, on, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
 def retained_versions(studies: DataFrame, patterns=voc.COHORT_PATTERNS) -> DataFrame:

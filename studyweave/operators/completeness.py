@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as voc
-from .joins import lookup_join, split_join
 from .ordered import exact_quantiles
 
 PAIR = ["study_id", "patient_id"]
@@ -14,11 +13,14 @@ PAIR = ["study_id", "patient_id"]
 
 def patient_facts(harmonised: DataFrame) -> DataFrame:
     """Patient-level facts, one row per patient and attribute, with the smallest normalised value
-    (NULL where no value survived). One shuffle feeds completeness and the patient tables."""
+    (NULL where no value survived) and whether the patient is on the roster.
+
+    One shuffle feeds completeness and the patient tables.
+    """
     return (
         harmonised.filter("data_level = 'PATIENT'")
         .groupBy(*PAIR, "attr_id", "harmonized_id")
-        .agg(F.min("norm_value").alias("value"))
+        .agg(F.min("norm_value").alias("value"), F.max("listed").alias("listed"))
     )
 
 
@@ -27,16 +29,9 @@ def completeness_wide(facts: DataFrame, roster: DataFrame) -> DataFrame:
 
     The count a patient-by-attribute table would give, taken from its long form.
     """
-    listed = roster.select(*PAIR).distinct()
-    sizes = listed.groupBy("study_id").agg(F.count("*").alias("n_patients"))
-    present = F.col("listed").isNotNull().cast("bigint")
-    counts = (
-        facts.select(*PAIR, "attr_id")
-        .join(listed.withColumn("listed", F.lit(True)), PAIR, "left")
-        .groupBy("study_id", "attr_id")
-        .agg(F.sum(present).alias("n_nonmissing"))
-    )
-    return lookup_join(counts, sizes, ["study_id"]).select(
+    sizes = roster.groupBy("study_id").agg(F.count("*").alias("n_patients"))
+    counts = facts.groupBy("study_id", "attr_id").agg(F.count_if("listed").alias("n_nonmissing"))
+    return counts.join(sizes, "study_id").select(
         "study_id", "attr_id", "n_nonmissing", "n_patients", percent("n_nonmissing", "n_patients")
     )
 
@@ -45,7 +40,7 @@ def completeness_long(facts: DataFrame, studies: DataFrame) -> DataFrame:
     """Distinct patients with the attribute, over the study size. `facts` is distinct already."""
     counts = facts.groupBy("study_id", "attr_id").agg(F.count("*").alias("n_nonmissing"))
     sizes = studies.select("study_id", "n_patients")
-    return lookup_join(counts, sizes, ["study_id"], "left").select(
+    return counts.join(sizes, "study_id", "left").select(
         "study_id", "attr_id", "n_nonmissing", "n_patients", percent("n_nonmissing", "n_patients")
     )
 
@@ -66,7 +61,7 @@ def completeness_stored(tables: dict[str, DataFrame]) -> DataFrame:
     peopled = tables["patients"].select("study_id").distinct()
     sizes = tables["studies"].select("study_id", "n_patients")
     bridge = tables["study_attributes"].select("study_id", "attr_id", "harmonized_id")
-    bridge = lookup_join(lookup_join(bridge, sizes, ["study_id"]), peopled, ["study_id"], "left_semi")
+    bridge = bridge.join(sizes, "study_id").join(peopled, "study_id", "left_semi")
     found = F.coalesce("n", F.lit(0))
     return bridge.join(counts, ["study_id", "attr_id"], "left").select(
         "study_id",
@@ -137,7 +132,7 @@ def top_with_ties(frame: DataFrame, by: str, n: int) -> DataFrame:
 def heatmap_cells(completeness: DataFrame, coverage: DataFrame, n: int = 25, min_studies: int = 2) -> DataFrame:
     """Cells of the completeness heatmap for the best covered attributes of several studies."""
     chosen = top_with_ties(coverage.filter(F.col("n_studies_present") >= min_studies), "mean_completeness", n)
-    cells = lookup_join(completeness, chosen.select("attr_id"), ["attr_id"], "left_semi")
+    cells = completeness.join(chosen.select("attr_id"), "attr_id", "left_semi")
     return cells.select(
         "study_id", "attr_id", "completeness_pct", F.round("completeness_pct").cast("bigint").alias("label")
     )

@@ -157,7 +157,7 @@ def reconcile(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         frame = tables[table.name]
         for fk in table.foreign_keys:
             parents = kept[fk.parent].select(F.col(fk.parent_column).alias(fk.column))
-            frame = lookup_join(frame, parents, [fk.column], "left_semi")
+            frame = lookup_join(frame, parents, [fk.column], "left_semi", at_most=tables[fk.parent])
         kept[table.name] = frame.select(*tables[table.name].columns)
     return kept
 

@@ -10,7 +10,6 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +67,7 @@ def tune(
     n_trees: int = 500,
     n_folds: int = 5,
     seed: int = 42,
-    parallelism: int = 4,
+    parallelism: int = 8,
     keep=lambda frame, name: frame,
 ) -> list[tuple[int, int, float, float]]:
     """(mtry, min_n, mean AUC, standard error) per grid point, best first.
@@ -77,28 +76,28 @@ def tune(
     `keep` writes the two encoded parts of a fold, which every fit reads again.
     """
     forest = classifier(n_trees, seed)
-    grid_maps = [
-        params
-        for mtry, min_n in points
-        for params in ParamGridBuilder().baseOn(_settings(forest, mtry, min_n)).build()
-    ]
     evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", numBins=0)
-    scores: list[list[float]] = [[] for _ in points]
-    for fold in range(n_folds):
-        rest = train.filter(F.col("fold") != fold)
+    in_session = inheritable_thread_target(train.sparkSession)
+
+    def prepare(fold):
+        rest, out = train.filter(F.col("fold") != fold), train.filter(F.col("fold") == fold)
         recipe = Recipe().fit(rest)
-        fit_part = keep(labelled(recipe.transform(rest)).select("label", "features"), f"fold{fold}_fit")
-        held_out = keep(
-            labelled(recipe.transform(train.filter(F.col("fold") == fold))).select("label", "features"),
-            f"fold{fold}_out",
-        )
-
-        def score(params, fit_part=fit_part, held_out=held_out):
-            return evaluator.evaluate(forest.fit(fit_part, params).transform(held_out))
-
-        with ThreadPool(min(parallelism, len(points))) as pool:
-            for got, auc in zip(scores, pool.map(inheritable_thread_target(train.sparkSession)(score), grid_maps)):
-                got.append(auc)
+
+        def encoded(rows, part):
+            return keep(labelled(recipe.transform(rows)).select("label", "features"), f"fold{fold}_{part}")
+
+        return encoded(rest, "fit"), encoded(out, "out")
+
+    def score(job):
+        (mtry, min_n), (fit_part, held_out) = job
+        fitted = forest.fit(fit_part, _settings(forest, mtry, min_n))
+        return evaluator.evaluate(fitted.transform(held_out))
+
+    with ThreadPool(parallelism) as pool:
+        folds = pool.map(in_session(prepare), range(n_folds))
+        jobs = [(point, fold) for point in points for fold in folds]
+        scored = pool.map(in_session(score), jobs, chunksize=1)
+    scores = [scored[i * n_folds : (i + 1) * n_folds] for i in range(len(points))]
     rows = []
     for (mtry, min_n), aucs in zip(points, scores):
         mean = sum(aucs) / len(aucs)

@@ -97,13 +97,10 @@ def vocabulary_probe(records: DataFrame, study_id: str, attrs=voc.VOCABULARY_ATT
     )
 
 
-def map_usage(records: DataFrame, mapping: DataFrame) -> DataFrame:
+def map_usage(use: DataFrame, mapping: DataFrame) -> DataFrame:
     """Every entry of the map with the number of studies and records that use it."""
-    used = (
-        records.groupBy("attr_id", "study_id")
-        .agg(F.count("*").alias("n"))
-        .groupBy("attr_id")
-        .agg(F.count("*").alias("n_studies"), F.sum("n").alias("n_records"))
+    used = use.groupBy("attr_id").agg(
+        F.count_distinct("study_id").alias("n_studies"), F.sum("n_records").alias("n_records")
     )
     return mapping.join(used, mapping.raw_attr_id == used.attr_id, "left").select(
         "raw_attr_id",

@@ -23,10 +23,15 @@ def lookup_join(
     how: str = "inner",
     limit: int = LOOKUP_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
+    at_most: DataFrame | None = None,
 ) -> DataFrame:
     """Join facts to a table keyed by `on`: broadcast up to `limit` rows, else a shuffle join
-    with the heavy keys split. `how` is inner, left, left_semi or left_anti."""
-    if fits_lookup(lookup, limit):
+    with the heavy keys split. `how` is inner, left, left_semi or left_anti.
+
+    The size is read off the lookup, which should be a written table, or off `at_most`, a written
+    table that has no fewer rows.
+    """
+    if fits_lookup(lookup if at_most is None else at_most, limit):
         return facts.join(F.broadcast(lookup), on, how)
     weights = facts.groupBy(*on).agg(F.count("*").alias("_rows"))
     return split_join(facts, lookup, on, weights, how, rows_per_task)

@@ -26,21 +26,42 @@ def studies(study_table: DataFrame, cancer_type: str = voc.CANCER_TYPE) -> DataF
     )
 
 
-def clinical_attributes(records: DataFrame, numeric=voc.NUMERIC_ATTRS) -> DataFrame:
+def attribute_use(harmonised: DataFrame) -> DataFrame:
+    """Records per study, attribute and level: how many, and how many with a normalised value.
+
+    One pass over the records serves every question about attributes.
+    """
+    return harmonised.groupBy("study_id", "attr_id", "harmonized_id", "data_level").agg(
+        F.count("*").alias("n_records"), F.count("norm_value").alias("n_values")
+    )
+
+
+def patient_summary(harmonised: DataFrame, attrs=voc.OUTCOME_ATTRS) -> DataFrame:
+    """Patients with any normalised value, and their outcomes, recorded at whichever level."""
+    return (
+        harmonised.filter(F.col("norm_value").isNotNull())
+        .groupBy("study_id", "patient_id")
+        .agg(*[F.min(F.when(F.col("attr_id") == a, F.col("norm_value"))).alias(a.lower()) for a in attrs])
+    )
+
+
+def clinical_attributes(use: DataFrame, numeric=voc.NUMERIC_ATTRS) -> DataFrame:
     """One row per attribute. An id recorded at two levels takes the smaller; see level_mismatch."""
     datatype = F.when(F.col("attr_id").isin(*numeric), "NUMBER").otherwise("STRING")
     return (
-        records.groupBy("attr_id")
+        use.filter("n_values > 0")
+        .groupBy("attr_id")
         .agg(F.min("data_level").alias("data_level"))
         .withColumn("datatype", datatype)
     )
 
 
-def study_attributes(records: DataFrame, completeness: DataFrame) -> DataFrame:
+def study_attributes(use: DataFrame, completeness: DataFrame) -> DataFrame:
     """Which study records which attribute, under which concept, how completely."""
     pct = completeness.select("study_id", "attr_id", "completeness_pct")
     return (
-        records.select("study_id", "attr_id", "harmonized_id")
+        use.filter("n_values > 0")
+        .select("study_id", "attr_id", "harmonized_id")
         .distinct()
         .join(pct, ["study_id", "attr_id"], "left")
         .select(
@@ -52,8 +73,8 @@ def study_attributes(records: DataFrame, completeness: DataFrame) -> DataFrame:
     )
 
 
-def patients(records: DataFrame) -> DataFrame:
-    return records.select("study_id", "patient_id").distinct().select(_patient_key(), "patient_id", "study_id")
+def patients(summary: DataFrame) -> DataFrame:
+    return summary.select(_patient_key(), "patient_id", "study_id")
 
 
 def _of_samples(records: DataFrame) -> DataFrame:
@@ -85,23 +106,18 @@ def sample_clinical(records: DataFrame) -> DataFrame:
     )
 
 
-def outcomes(records: DataFrame, attrs=voc.OUTCOME_ATTRS) -> DataFrame:
-    """One row per patient with any outcome, recorded at whichever level."""
-    columns = [F.min(F.when(F.col("attr_id") == a, F.col("value"))).alias(a.lower()) for a in attrs]
-    return (
-        records.filter(F.col("attr_id").isin(*attrs))
-        .groupBy("study_id", "patient_id")
-        .agg(*columns)
-        .select(_patient_key(), *[a.lower() for a in attrs])
-    )
+def outcomes(summary: DataFrame, attrs=voc.OUTCOME_ATTRS) -> DataFrame:
+    """One row per patient with any of the outcomes."""
+    names = [a.lower() for a in attrs]
+    return summary.filter(F.coalesce(*names).isNotNull()).select(_patient_key(), *names)
 
 
-def level_mismatch(records: DataFrame, by: str) -> DataFrame:
+def level_mismatch(use: DataFrame, by: str) -> DataFrame:
     """Attributes (or concepts) recorded for patients in one place and for samples in another.
 
     A study counts on both sides when it records both levels itself.
     """
-    per_study = records.groupBy(by, "study_id", "data_level").agg(F.count("*").alias("n"))
+    per_study = use.select(by, "study_id", "data_level").distinct()
 
     def studies_at(level):
         return F.count_if(F.col("data_level") == level)

@@ -59,10 +59,13 @@ class Cohort:
     def listed_patients(self):
         return cohort.of_studies(self.roster_in, self.studies())
 
+    @stage
+    def patient_counts(self):
+        return cohort.patient_counts(self.listed_patients())
+
     @stage
     def candidate_studies(self):
-        counts = cohort.patient_counts(self.listed_patients())
-        return cohort.study_table(self.studies(), counts, self.min_patients)
+        return cohort.study_table(self.studies(), self.patient_counts(), self.min_patients)
 
     @stage
     def clinical_long(self):
@@ -100,6 +103,7 @@ class Cohort:
     def kept_records(self):
         """Records of the final cohort with concept and normalised value: the base of all below."""
         kept = cohort.of_studies(self.primary_record(), self.study_table())
+        kept = cohort.with_listing(kept, self.primary_roster())
         return harmonise.harmonise(cohort.records_of(self.clinical_long(), kept))
 
     def clinical_norm(self):
@@ -125,21 +129,29 @@ class Cohort:
 
     # The eight tables.
 
+    @stage
+    def attribute_use(self):
+        return tables.attribute_use(self.kept_records())
+
+    @stage
+    def patient_summary(self):
+        return tables.patient_summary(self.kept_records())
+
     @stage
     def tbl_studies(self):
         return tables.studies(self.study_table())
 
     @stage
     def tbl_attributes(self):
-        return tables.clinical_attributes(self.clinical_norm())
+        return tables.clinical_attributes(self.attribute_use())
 
     @stage
     def tbl_study_attributes(self):
-        return tables.study_attributes(self.clinical_norm(), self.completeness_long())
+        return tables.study_attributes(self.attribute_use(), self.completeness_long())
 
     @stage
     def tbl_patients(self):
-        return tables.patients(self.clinical_norm())
+        return tables.patients(self.patient_summary())
 
     @stage
     def tbl_samples(self):
@@ -155,7 +167,7 @@ class Cohort:
 
     @stage
     def tbl_outcomes(self):
-        return tables.outcomes(self.clinical_norm())
+        return tables.outcomes(self.patient_summary())
 
     def tables(self) -> dict[str, DataFrame]:
         """Every child is derived from the same records as its parent, so none is an orphan."""

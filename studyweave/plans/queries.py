@@ -116,7 +116,7 @@ def src_cached(c):
 
 @query
 def src_harmonization_map(c):
-    return harmonise.map_usage(c.kept_records(), harmonise.harmonization_map(c.spark))
+    return harmonise.map_usage(c.attribute_use(), harmonise.harmonization_map(c.spark))
 
 
 @query
@@ -141,7 +141,7 @@ def filter_studies(c):
 
 @query
 def fill_schema(c):
-    only_status = tables.outcomes(c.clinical_norm(), ("OS_STATUS",))
+    only_status = tables.outcomes(tables.patient_summary(c.kept_records(), ("OS_STATUS",)), ("OS_STATUS",))
     return cohort.fill_schema(only_status, {"os_months": F.lit(None).cast("string")})
 
 
@@ -214,8 +214,10 @@ def retained_versions(c):
 
 @query
 def semi_roster(c):
-    counts = cohort.patient_counts(c.listed_patients())
-    return cohort.of_studies(c.roster_in, cohort.study_table(c.studies(), counts, 600))
+    large = c.workspace.table(
+        "studies_of_600", lambda: cohort.study_table(c.studies(), c.patient_counts(), 600)
+    )
+    return cohort.of_studies(c.roster_in, large)
 
 
 @query
@@ -316,7 +318,7 @@ def tbl_outcomes(c):
 
 @query
 def patient_counts(c):
-    return cohort.patient_counts(c.listed_patients())
+    return c.patient_counts()
 
 
 @query
@@ -584,8 +586,8 @@ def clean_store(c):
 
 @query
 def level_mismatch(c):
-    by_attr = tables.level_mismatch(c.kept_records(), "attr_id").withColumnRenamed("attr_id", "id")
-    by_concept = tables.level_mismatch(c.kept_records(), "harmonized_id").withColumnRenamed("harmonized_id", "id")
+    by_attr = tables.level_mismatch(c.attribute_use(), "attr_id").withColumnRenamed("attr_id", "id")
+    by_concept = tables.level_mismatch(c.attribute_use(), "harmonized_id").withColumnRenamed("harmonized_id", "id")
     return by_attr.withColumn("kind", F.lit("attribute")).unionByName(by_concept.withColumn("kind", F.lit("concept")))
 
 

@@ -43,7 +43,8 @@ def flatten(frame: DataFrame, separator: str = ".") -> DataFrame:
 
 def read_listing(spark: SparkSession, folder: str, schema: str = LISTING_SCHEMA) -> DataFrame:
     """Union of all listing pages. A page is one JSON array; an empty page adds nothing."""
-    return flatten(spark.read.schema(schema).option("multiLine", True).json(folder))
+    pages = spark.read.schema(schema).option("multiLine", True).json(folder)
+    return flatten(pages.select(*T.StructType.fromDDL(schema).names))
 
 
 def _read_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
