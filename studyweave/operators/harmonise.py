@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as voc
-from ..functions.clinical import normalise_value
-from ..functions.text import is_recorded
+from ..functions.clinical import normalise_value, read_value
+from ..functions.text import is_recorded, trim_all
 
 STAGING = [name for name, _ in voc.CONCEPT_PATTERNS]
 REWRITTEN = [*STAGING, *voc.RECEPTOR_CONCEPTS]
@@ -24,11 +24,20 @@ def mapped_concept(attr_id: Column, pairs=voc.HARMONIZATION) -> Column:
 
 
 def harmonise(records: DataFrame) -> DataFrame:
-    """Add harmonized_id and norm_value. norm_value is NULL where normalisation leaves nothing."""
-    concept = F.coalesce(mapped_concept(F.col("attr_id")), F.col("attr_id"))
-    value = normalise_value(F.col("harmonized_id"), F.col("value"))
-    return records.withColumn("harmonized_id", concept).withColumn(
-        "norm_value", F.when(is_recorded(value), value)
+    """Add harmonized_id and norm_value. norm_value is NULL where normalisation leaves nothing.
+
+    One column per step, so that no expression is evaluated twice for a row. A pattern that does
+    not match gives the empty text here, which the last step drops with the other placeholders.
+    """
+    value = read_value(
+        F.col("harmonized_id"), F.col("value"), F.col("_text"), lambda t, pattern: F.regexp_extract(t, pattern, 0)
+    )
+    return (
+        records.withColumn("harmonized_id", F.coalesce(mapped_concept(F.col("attr_id")), F.col("attr_id")))
+        .withColumn("_text", F.upper(trim_all(F.col("value"))))
+        .withColumn("_read", value)
+        .withColumn("norm_value", F.when(is_recorded(F.col("_read")), F.col("_read")))
+        .drop("_text", "_read")
     )
 
 

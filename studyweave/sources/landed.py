@@ -67,9 +67,11 @@ def read_roster(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_clinical(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(records, quarantine). Records have the six columns whatever variant a response came in."""
+    """(records, quarantine). Records have the six columns whatever variant a response came in; a
+    line that names no patient or no attribute is no record."""
     lines = _read_lines(spark, folder, CLINICAL_SCHEMA)
-    bad = F.col(BAD).isNotNull()
+    nameless = F.col("patientId").isNull() | F.coalesce("clinicalAttributeId", "attrId").isNull()
+    bad = F.col(BAD).isNotNull() | nameless
     return repair_clinical(lines.filter(~bad).drop(BAD)), lines.filter(bad).select("study", BAD)
 
 
