@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as voc
 from ..functions.clinical import cohort_of
 from ..functions.text import is_recorded, trim_all
-from .joins import LOOKUP_ROWS, ROWS_PER_TASK, fits_lookup, lookup_join, split_join
+from .joins import LOOKUP_ROWS, ROWS_PER_TASK, fits_lookup, hashable, lookup_join, split_join
 
 RECORD_COLUMNS = ("study_id", "patient_id", "sample_id", "attr_id", "value", "data_level")
 
@@ -122,7 +122,7 @@ def primary_record(pairs: DataFrame, richness: DataFrame, identity: list[str] |
 def records_of(
     records: DataFrame, kept: DataFrame, limit: int = LOOKUP_ROWS, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Facts of the kept (study, patient) pairs, with the further columns of `kept`.
+    """Facts of the kept (study, patient) pairs, with the further columns of `kept`, a written table.
 
     `kept.n_facts` tells which patients are heavy, so the join costs no pass of its own to learn it.
     """
@@ -130,7 +130,7 @@ def records_of(
     if fits_lookup(kept, limit):
         return records.join(F.broadcast(kept.drop("n_facts")), on)
     weights = kept.select(*on, F.col("n_facts").alias("_rows"))
-    return split_join(records, kept.drop("n_facts"), on, weights, "inner", rows_per_task)
+    return split_join(records, kept.drop("n_facts"), on, weights, "inner", rows_per_task, hashable(kept))
 
 
 def with_listing(kept: DataFrame, roster: DataFrame) -> DataFrame:

@@ -14,39 +14,36 @@ from .ordered import running_totals
 SCORE = "score"
 
 
-def score_counts(frame: DataFrame, score: Column, positive: Column) -> DataFrame:
+def score_counts(frame: DataFrame, score: Column, positive: Column, by: list[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score, ordered by falling score (`drop`)."""
-    is_positive = positive.cast("int")
     return (
-        frame.select(score.cast("double").alias(SCORE), is_positive.alias("y"))
+        frame.select(*by, score.cast("double").alias(SCORE), positive.cast("int").alias("y"))
         .filter(F.col(SCORE).isNotNull() & F.col("y").isNotNull())
-        .groupBy(SCORE)
+        .groupBy(*by, SCORE)
         .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
         .withColumn("drop", -F.col(SCORE))
     )
 
 
-def _placed(counts: DataFrame, rows_per_task: int):
-    totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
-    placed = running_totals(counts, [], "drop", ["pos", "neg"], rows_per_task=rows_per_task)
-    return placed, totals["pos"], totals["neg"]
-
-
 def roc_points(counts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """threshold, sensitivity, specificity for 'positive where score >= threshold'. Written counts."""
-    placed, pos, neg = _placed(counts, rows_per_task)
+    totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    placed = running_totals(counts, [], "drop", ["pos", "neg"], rows_per_task=rows_per_task)
     return placed.select(
         F.col(SCORE).alias("threshold"),
-        (F.col("cum_pos") / F.lit(pos)).alias("sensitivity"),
-        (1 - F.col("cum_neg") / F.lit(neg)).alias("specificity"),
+        (F.col("cum_pos") / F.lit(totals["pos"])).alias("sensitivity"),
+        (1 - F.col("cum_neg") / F.lit(totals["neg"])).alias("specificity"),
     )
 
 
-def roc_auc(counts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Area under the ROC curve: pairs in the right order, half of the pairs with equal score."""
-    placed, pos, neg = _placed(counts, rows_per_task)
-    pairs = F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2)
-    return placed.agg((F.sum(pairs) / F.lit(float(pos)) / F.lit(float(neg))).alias("auc"))
+def roc_auc(counts: DataFrame, by: list[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Area under the ROC curve: the share of (event, other) pairs that the score puts in the right
+    order, equal scores counting half. Written counts."""
+    by = list(by)
+    placed = running_totals(counts, by, "drop", ["pos"], rows_per_task=rows_per_task)
+    right = F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2))
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return placed.groupBy(*by).agg((right / pairs).alias("auc"))
 
 
 def accuracy(frame: DataFrame, label: str, predicted: Column) -> DataFrame:

@@ -8,11 +8,12 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .evaluate import roc_auc, score_counts
 from .joins import ROWS_PER_TASK
 from .ordered import digest_rank
 from .recipe import Recipe, RecipeModel
@@ -31,14 +32,12 @@ def grid(n_features: int, levels: int = 4) -> list[tuple[int, int]]:
 
 
 def classifier(n_trees: int = 500, seed: int = 42, max_depth: int = 30) -> RandomForestClassifier:
-    """Node ids are cached per row instead of passing the forest to every task."""
     return RandomForestClassifier(
         labelCol="label",
         featuresCol="features",
         numTrees=n_trees,
         maxDepth=max_depth,
         seed=seed,
-        cacheNodeIds=True,
         maxMemoryInMB=1024,
     )
 
@@ -73,10 +72,10 @@ def tune(
     """(mtry, min_n, mean AUC, standard error) per grid point, best first.
 
     The recipe is fitted once per fold, on the fold's own train rows, and serves all grid points.
-    `keep` writes the two encoded parts of a fold, which every fit reads again.
+    The held-out rows of all folds are scored under all points in one job. `keep` writes what is
+    read more than once: the two encoded parts of a fold, and the counted scores.
     """
     forest = classifier(n_trees, seed)
-    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", numBins=0)
     in_session = inheritable_thread_target(train.sparkSession)
 
     def prepare(fold):
@@ -88,24 +87,44 @@ def tune(
 
         return encoded(rest, "fit"), encoded(out, "out")
 
-    def score(job):
-        (mtry, min_n), (fit_part, held_out) = job
-        fitted = forest.fit(fit_part, _settings(forest, mtry, min_n))
-        return evaluator.evaluate(fitted.transform(held_out))
-
     with ThreadPool(parallelism) as pool:
         folds = pool.map(in_session(prepare), range(n_folds))
-        jobs = [(point, fold) for point in points for fold in folds]
-        scored = pool.map(in_session(score), jobs, chunksize=1)
-    scores = [scored[i * n_folds : (i + 1) * n_folds] for i in range(len(points))]
-    rows = []
-    for (mtry, min_n), aucs in zip(points, scores):
-        mean = sum(aucs) / len(aucs)
-        spread = math.sqrt(sum((a - mean) ** 2 for a in aucs) / (len(aucs) - 1)) / math.sqrt(len(aucs))
-        rows.append((mtry, min_n, mean, spread))
+        jobs = [(fit_part, point) for fit_part, _ in folds for point in points]
+        models = pool.map(in_session(lambda job: forest.fit(job[0], _settings(forest, *job[1]))), jobs, 1)
+
+    names = [f"{mtry},{min_n}" for mtry, min_n in points]
+    scored = [
+        _scores(held_out, dict(zip(names, models[fold * len(points) :])))
+        .unpivot(["label"], names, "point", "score")
+        .withColumn("fold", F.lit(fold))
+        for fold, (_, held_out) in enumerate(folds)
+    ]
+    all_scores = reduce(DataFrame.unionByName, scored)
+    counts = keep(
+        score_counts(all_scores, F.col("score"), F.col("label") == 1, ["fold", "point"]), "tuning_scores"
+    )
+    found = (
+        roc_auc(counts, ["fold", "point"])
+        .groupBy("point")
+        .agg(F.avg("auc").alias("mean"), (F.stddev("auc") / F.sqrt(F.count("*"))).alias("std_err"))
+    )
+    by_point = {r["point"]: (r["mean"], r["std_err"]) for r in found.collect()}
+    rows = [(*point, *by_point[name]) for point, name in zip(points, names)]
     return sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
 
 
+def _scores(frame: DataFrame, models: dict) -> DataFrame:
+    """Label, and the event probability under each model as a column."""
+    for name, model in models.items():
+        columns = {
+            model.probabilityCol: f"{name} probability",
+            model.rawPredictionCol: f"{name} votes",
+            model.predictionCol: "",
+        }
+        frame = model.transform(frame, columns)
+    return frame.select("label", *[vector_to_array(f"{n} probability")[1].alias(n) for n in models])
+
+
 def tuning_table(spark: SparkSession, rows: list[tuple[int, int, float, float]]) -> DataFrame:
     return spark.createDataFrame(rows, "mtry int, min_n int, mean_auc double, std_err double")
 
@@ -117,39 +136,63 @@ def fit_final(train: DataFrame, mtry: int, min_n: int, n_trees: int = 500, seed:
     return recipe, forest.fit(labelled(recipe.transform(train)), _settings(forest, mtry, min_n))
 
 
-def permute_column(
-    frame: DataFrame, column: str, seed, n_rows: int, rows_per_task: int = ROWS_PER_TASK
+def donors(
+    frame: DataFrame, columns: list[str], seed, n_rows: int, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Give each row the value another row has, by joining two pseudo-random orders of the rows."""
-    left = frame.withColumn("_digest", shuffle_digest(F.col(KEY), f"{seed}|to|{column}"))
+    """Add `donor`, the given columns of another row, each row being a donor exactly once.
+
+    Two pseudo-random orders of the rows are joined on the position.
+    """
+    left = frame.withColumn("_digest", shuffle_digest(F.col(KEY), f"{seed}|to"))
     right = frame.select(
-        F.col(column).alias("_given"), shuffle_digest(F.col(KEY), f"{seed}|from|{column}").alias("_digest")
+        F.struct(*columns).alias("donor"), shuffle_digest(F.col(KEY), f"{seed}|from").alias("_digest")
     )
     to = digest_rank(left, [], "_digest", "_place", n_rows, rows_per_task)
-    given = digest_rank(right, [], "_digest", "_place", n_rows, rows_per_task).select("_place", "_given")
-    return to.join(given, "_place").withColumn(column, F.col("_given")).select(*frame.columns)
+    given = digest_rank(right, [], "_digest", "_place", n_rows, rows_per_task)
+    return to.join(given.select("_place", "donor"), "_place").select(*frame.columns, "donor")
 
 
 def permutation_importance(
-    recipe: RecipeModel, forest, held_out: DataFrame, n_repeats: int = 5, seed: int = 42, keep=lambda f, n: f
+    recipe: RecipeModel,
+    forest,
+    held_out: DataFrame,
+    n_repeats: int = 5,
+    seed: int = 42,
+    keep=lambda frame, name: frame,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Mean loss of accuracy when one encoded feature is shuffled among held-out rows."""
+    """Mean loss of accuracy when one encoded feature is shuffled among held-out rows.
+
+    A repeat shuffles once; every feature in turn is then taken from the donor row, so the number
+    of shuffles does not grow with the number of features.
+    """
     encoded = keep(recipe.encode(held_out), "importance_rows")
     n_rows = encoded.count()
 
-    def correct(frame: DataFrame) -> DataFrame:
-        scored = event_score(forest.transform(recipe.assemble(frame)))
-        return scored.select((F.col(LABEL) == F.col("predicted")).cast("int").alias("hit"))
-
-    base = correct(encoded).agg(F.avg("hit")).first()[0]
-    trials = [
-        correct(permute_column(encoded, feature, f"{seed}|{r}", n_rows))
-        .agg(F.avg("hit").alias("accuracy"))
-        .select(F.lit(feature).alias("feature"), "accuracy")
-        for feature in recipe.features
-        for r in range(n_repeats)
-    ]
-    losses = reduce(DataFrame.unionByName, trials).withColumn("loss", F.lit(base) - F.col("accuracy"))
-    return losses.groupBy("feature").agg(
-        F.avg("loss").alias("importance"), F.stddev("loss").alias("std_dev")
+    def hits(frame: DataFrame, inputs: list[str], name: str) -> DataFrame:
+        """Add `hit_<name>`: is the prediction from these columns right?"""
+        assembled = VectorAssembler(inputCols=inputs, outputCol=f"{name} features").transform(frame)
+        columns = {
+            forest.featuresCol: f"{name} features",
+            forest.rawPredictionCol: f"{name} votes",
+            forest.probabilityCol: "",
+            forest.predictionCol: f"{name} prediction",
+        }
+        right = F.col(f"{name} prediction") == F.col(LABEL).cast("double")
+        return forest.transform(assembled, columns).withColumn(f"hit_{name}", right.cast("int"))
+
+    trials = []
+    for repeat in range(n_repeats):
+        frame = donors(encoded, recipe.features, f"{seed}|{repeat}", n_rows, rows_per_task)
+        frame = hits(frame, recipe.features, "own")
+        for name in recipe.features:
+            frame = frame.withColumn(f"{name} given", F.col("donor")[name])
+            inputs = [f"{name} given" if c == name else c for c in recipe.features]
+            frame = hits(frame, inputs, name)
+        losses = [(F.avg("hit_own") - F.avg(f"hit_{n}")).alias(n) for n in recipe.features]
+        trials.append(frame.agg(*losses).unpivot([], recipe.features, "feature", "loss"))
+    return (
+        reduce(DataFrame.unionByName, trials)
+        .groupBy("feature")
+        .agg(F.avg("loss").alias("importance"), F.stddev("loss").alias("std_dev"))
     )

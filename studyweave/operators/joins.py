@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 LOOKUP_ROWS = 200_000
 # A join or window task should not hold many more rows of one key than this.
 ROWS_PER_TASK = 4_000_000
+# Up to this many (narrow) rows per shuffle partition, the keyed side of a join is hashed in memory.
+HASHED_ROWS = 1_000_000
 
 
 def fits_lookup(frame: DataFrame, limit: int = LOOKUP_ROWS) -> bool:
@@ -16,6 +18,13 @@ def fits_lookup(frame: DataFrame, limit: int = LOOKUP_ROWS) -> bool:
     return frame.limit(limit + 1).count() <= limit
 
 
+def hashable(keyed: DataFrame, limit: int = HASHED_ROWS) -> bool:
+    """True where the average shuffle partition of a written table is small enough to be hashed,
+    which spares the other, larger side its sort."""
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.count() <= limit * partitions
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -44,19 +53,24 @@ def split_join(
     weights: DataFrame,
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
+    hashed: bool = False,
 ) -> DataFrame:
     """Shuffle join in which a key with more than `rows_per_task` facts is cut into pieces.
 
     `weights` gives the facts per key (columns `on`, `_rows`). There are at most
     rows / rows_per_task heavy keys, so their list is small by construction and is broadcast. The
     piece of a fact comes from its position, so copies of one fact spread out too; the other side
-    is repeated once per piece. No row is dropped or doubled.
+    is repeated once per piece. No row is dropped or doubled. `hashed` asks for hashing the keyed
+    side in place of sorting both.
     """
     heavy = weights.filter(F.col("_rows") > rows_per_task).select(
         *on, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_pieces")
     )
+    def join(left, right, keys):
+        return left.join(right.hint("shuffle_hash") if hashed else right, keys, how)
+
     if heavy.isEmpty():
-        return facts.join(keyed, on, how)
+        return join(facts, keyed, on)
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     cut_facts = (
         facts.join(F.broadcast(heavy), on, "left")
@@ -68,4 +82,4 @@ def split_join(
         .withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .drop("_pieces")
     )
-    return cut_facts.join(cut_keyed, [*on, "_piece"], how).drop("_piece")
+    return join(cut_facts, cut_keyed, [*on, "_piece"]).drop("_piece")

@@ -3,7 +3,7 @@
 A stage is written to the shared folder the first time it is asked for and read from there after:
 most are used by several later ones, and an unwritten chain would be recomputed at every use.
 Frames of the size of the records are written twice (as delivered but clean, and kept and
-harmonised); all others are aggregates.
+harmonised); all others are aggregates. What is a mere projection of a stage is not written again.
 """
 
 from __future__ import annotations
@@ -99,12 +99,15 @@ class Cohort:
     def roster(self):
         return cohort.of_studies(self.primary_roster(), self.study_table())
 
+    @stage
+    def kept_patients(self):
+        kept = cohort.of_studies(self.primary_record(), self.study_table())
+        return cohort.with_listing(kept, self.primary_roster())
+
     @stage
     def kept_records(self):
         """Records of the final cohort with concept and normalised value: the base of all below."""
-        kept = cohort.of_studies(self.primary_record(), self.study_table())
-        kept = cohort.with_listing(kept, self.primary_roster())
-        return harmonise.harmonise(cohort.records_of(self.clinical_long(), kept))
+        return harmonise.harmonise(cohort.records_of(self.clinical_long(), self.kept_patients()))
 
     def clinical_norm(self):
         return harmonise.normalised(self.kept_records())
@@ -137,11 +140,9 @@ class Cohort:
     def patient_summary(self):
         return tables.patient_summary(self.kept_records())
 
-    @stage
     def tbl_studies(self):
         return tables.studies(self.study_table())
 
-    @stage
     def tbl_attributes(self):
         return tables.clinical_attributes(self.attribute_use())
 
@@ -149,7 +150,6 @@ class Cohort:
     def tbl_study_attributes(self):
         return tables.study_attributes(self.attribute_use(), self.completeness_long())
 
-    @stage
     def tbl_patients(self):
         return tables.patients(self.patient_summary())
 
@@ -157,7 +157,6 @@ class Cohort:
     def tbl_samples(self):
         return tables.samples(self.clinical_norm())
 
-    @stage
     def tbl_patient_clinical(self):
         return tables.patient_clinical(self.patient_facts())
 
@@ -165,7 +164,6 @@ class Cohort:
     def tbl_sample_clinical(self):
         return tables.sample_clinical(self.clinical_norm())
 
-    @stage
     def tbl_outcomes(self):
         return tables.outcomes(self.patient_summary())
 
@@ -202,7 +200,6 @@ class Cohort:
     def availability(self):
         return audit.availability(self.analytic_frame(), self.candidates)
 
-    @stage
     def variable_rank(self):
         return audit.variable_rank(self.availability(), self.candidates)
 
@@ -220,7 +217,6 @@ class Cohort:
     def kept_studies(self):
         return audit.studies_meeting_all(self.availability(), self.predictors(), self.bound)
 
-    @stage
     def analytic_kept(self):
         return audit.of_kept_studies(self.analytic_frame(), self.kept_studies())
 

@@ -648,7 +648,9 @@ def dummies(c):
 
 
 def _recipe(c: Cohort):
-    return recipe.Recipe(keep=_kept(c, "age_recipe_counts")).fit(c.train())
+    if not hasattr(c, "recipe"):
+        c.recipe = recipe.Recipe(keep=_kept(c, "age_recipe_counts")).fit(c.train())
+    return c.recipe
 
 
 @query

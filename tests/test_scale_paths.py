@@ -87,7 +87,7 @@ def test_roc_and_auc(spark, rows_per_task):
     pos = [s for s, h in data if h]
     neg = [s for s, h in data if not h]
     wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
-    assert evaluate.roc_auc(counts, rows_per_task).first().auc == pytest.approx(wins)
+    assert evaluate.roc_auc(counts, rows_per_task=rows_per_task).first().auc == pytest.approx(wins)
     points = evaluate.roc_points(counts, rows_per_task).collect()
     assert len(points) == len({s for s, _ in data})
     for p in points:
@@ -112,12 +112,11 @@ def test_split_is_stratified_and_stable(spark, rows_per_task):
 
 
 @pytest.mark.parametrize("rows_per_task", [10**6, 20])
-def test_permute_column_keeps_values_and_rows(spark, rows_per_task):
+def test_every_row_is_a_donor_once(spark, rows_per_task):
     frame = spark.range(200).select(F.concat(F.lit("p"), "id").alias("patient_key"), F.col("id").cast("double").alias("x"))
-    mixed = forest.permute_column(frame, "x", 1, 200, rows_per_task)
-    assert sorted(r.x for r in mixed.collect()) == [float(i) for i in range(200)]
-    moved = mixed.join(frame.withColumnRenamed("x", "was"), "patient_key").filter("x <> was").count()
-    assert mixed.count() == 200 and moved > 150
+    got = forest.donors(frame, ["x"], 1, 200, rows_per_task).collect()
+    assert sorted(r.donor.x for r in got) == sorted(r.x for r in got) == [float(i) for i in range(200)]
+    assert sum(r.x != r.donor.x for r in got) > 150
 
 
 def test_records_of_splits_a_heavy_patient(spark):
