@@ -23,7 +23,7 @@ def is_recorded(value: Column, codes=MISSING_CODES) -> Column:
 
 def prefix_real(text: Column) -> Column:
     """Leading number of a text as double; 0.0 where it has none, NULL for NULL."""
-    number = F.regexp_substr(trim_all(text), F.lit(NUMBER_PREFIX)).try_cast("double")
+    number = F.regexp_extract(trim_all(text), NUMBER_PREFIX, 0).try_cast("double")
     return F.when(text.isNotNull(), F.coalesce(number, F.lit(0.0)))
 
 

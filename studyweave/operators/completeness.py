@@ -144,18 +144,17 @@ def scaffold(facts: DataFrame, roster: DataFrame, attrs) -> DataFrame:
     return roster.select(*PAIR).join(wide, PAIR, "left")
 
 
-def wide_study(records: DataFrame, roster: DataFrame, study_id: str, max_columns: int = 5_000) -> DataFrame:
-    """Patient-by-attribute table of one study, columns from its own attribute names.
+def wide_table(records: DataFrame, use: DataFrame, roster: DataFrame, max_columns: int = 5_000) -> DataFrame:
+    """Patient-by-attribute table, columns from the attribute names that `use` lists.
 
-    The names become columns, so their number is checked before they are listed on the driver.
+    Filter all three frames on study_id for the table of one study. The names become columns, so
+    their number is checked before they are listed on the driver.
     """
-    chosen = records.filter((F.col("study_id") == study_id) & (F.col("data_level") == "PATIENT"))
-    rows = chosen.select("attr_id").distinct().limit(max_columns + 1).collect()
+    rows = use.filter("data_level = 'PATIENT'").select("attr_id").distinct().limit(max_columns + 1).collect()
     if len(rows) > max_columns:
-        raise ValueError(f"{study_id} has more than {max_columns} attributes; use the long form")
-    attrs = sorted(r.attr_id for r in rows)
-    wide = chosen.groupBy(*PAIR).agg(*_attr_columns(attrs))
-    return roster.filter(F.col("study_id") == study_id).select(*PAIR).distinct().join(wide, PAIR, "left")
+        raise ValueError(f"more than {max_columns} attributes; use the long form")
+    chosen = records.filter("data_level = 'PATIENT'")
+    return scaffold(chosen, roster, sorted(r.attr_id for r in rows))
 
 
 def _attr_columns(attrs) -> list[Column]:

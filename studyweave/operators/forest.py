@@ -80,7 +80,7 @@ def tune(
 
     def prepare(fold):
         rest, out = train.filter(F.col("fold") != fold), train.filter(F.col("fold") == fold)
-        recipe = Recipe().fit(rest)
+        recipe = Recipe(keep=lambda counts, name: keep(counts, f"fold{fold}_{name}")).fit(rest)
 
         def encoded(rows, part):
             return keep(labelled(recipe.transform(rows)).select("label", "features"), f"fold{fold}_{part}")
@@ -129,9 +129,11 @@ def tuning_table(spark: SparkSession, rows: list[tuple[int, int, float, float]])
     return spark.createDataFrame(rows, "mtry int, min_n int, mean_auc double, std_err double")
 
 
-def fit_final(train: DataFrame, mtry: int, min_n: int, n_trees: int = 500, seed: int = 42):
+def fit_final(
+    train: DataFrame, mtry: int, min_n: int, n_trees: int = 500, seed: int = 42, recipe: RecipeModel | None = None
+):
     """Recipe and forest fitted on all train rows: (recipe model, forest model)."""
-    recipe = Recipe().fit(train)
+    recipe = recipe or Recipe().fit(train)
     forest = classifier(n_trees, seed)
     return recipe, forest.fit(labelled(recipe.transform(train)), _settings(forest, mtry, min_n))
 

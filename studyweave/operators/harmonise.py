@@ -73,19 +73,15 @@ def stage_probe(records: DataFrame) -> DataFrame:
     )
 
 
-def mapping_probe(records: DataFrame, study_id: str, pattern: str = voc.MAPPING_PROBE) -> DataFrame:
-    """Attributes of one study that look like a concept, and whether the map knows them."""
-    found = (
-        records.filter(
-            (F.col("study_id") == study_id)
-            & (F.col("data_level") == "PATIENT")
-            & F.col("attr_id").rlike(pattern)
-        )
-        .groupBy("attr_id")
-        .agg(F.count("*").alias("n_patients"))
+def mapping_probe(use: DataFrame, pattern: str = voc.MAPPING_PROBE) -> DataFrame:
+    """Attributes that look like a concept, per study, and whether the map knows them. Filter on
+    study_id for one study."""
+    found = use.filter((F.col("data_level") == "PATIENT") & F.col("attr_id").rlike(pattern)).select(
+        "study_id", "attr_id", F.col("n_records").alias("n_patients")
     )
     concept = mapped_concept(F.col("attr_id"))
     return found.select(
+        "study_id",
         "attr_id",
         "n_patients",
         concept.alias("harmonized_id"),
@@ -94,14 +90,14 @@ def mapping_probe(records: DataFrame, study_id: str, pattern: str = voc.MAPPING_
 
 
 def unmapped_first(probe: DataFrame) -> DataFrame:
-    return probe.orderBy((F.col("mapped") == "NOT MAPPED").desc(), "attr_id")
+    return probe.orderBy((F.col("mapped") == "NOT MAPPED").desc(), "attr_id", "study_id")
 
 
-def vocabulary_probe(records: DataFrame, study_id: str, attrs=voc.VOCABULARY_ATTRS) -> DataFrame:
-    """Value counts of chosen attributes in one study."""
+def vocabulary_probe(records: DataFrame, attrs=voc.VOCABULARY_ATTRS) -> DataFrame:
+    """Value counts of chosen attributes, per study."""
     return (
-        records.filter((F.col("study_id") == study_id) & F.col("attr_id").isin(*attrs))
-        .groupBy("attr_id", "value")
+        records.filter(F.col("attr_id").isin(*attrs))
+        .groupBy("study_id", "attr_id", "value")
         .agg(F.count("*").alias("n"))
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A lookup side is broadcast up to this many (narrow) rows.
-LOOKUP_ROWS = 200_000
+LOOKUP_ROWS = 500_000
 # A join or window task should not hold many more rows of one key than this.
 ROWS_PER_TASK = 4_000_000
 # Up to this many (narrow) rows per shuffle partition, the keyed side of a join is hashed in memory.

@@ -15,11 +15,16 @@ from .ordered import exact_quantiles
 UNKNOWN, OTHER = "unknown", "other"
 
 
-def train_medians(train: DataFrame, columns: list[str], keep=lambda counts: counts) -> dict[str, float]:
-    """Exact median per numeric column."""
+def train_medians(
+    train: DataFrame, columns: list[str], keep=lambda frame, name: frame
+) -> dict[str, float]:
+    """Exact median per numeric column. `keep` writes the value counts, which are read repeatedly."""
     medians = {}
     for column in columns:
-        row = exact_quantiles(train, [], column, {"median": 0.5}, keep).first()
+        quantiles = exact_quantiles(
+            train, [], column, {"median": 0.5}, lambda counts, column=column: keep(counts, f"{column}_counts")
+        )
+        row = quantiles.first()
         medians[column] = None if row is None else row["median"]
     return medians
 
@@ -33,18 +38,24 @@ def level_of(value: Column) -> Column:
     return F.coalesce(value, F.lit(UNKNOWN))
 
 
-def frequent_levels(train: DataFrame, columns: list[str], threshold: float = 0.02) -> dict[str, list[str]]:
-    """Levels with at least `threshold` of the train rows; there are at most 1 / threshold."""
+def frequent_levels(
+    train: DataFrame, columns: list[str], threshold: float = 0.02
+) -> tuple[dict[str, list[str]], set[str]]:
+    """Per column the levels with at least `threshold` of the train rows, at most 1 / threshold of
+    them; and the columns that have rarer ones, too."""
     n_rows = train.count()
-    kept = {}
+    kept, with_rare = {}, set()
     for column in columns:
         frequent = (
             train.groupBy(level_of(F.col(column)).alias("level"))
             .agg(F.count("*").alias("n"))
             .filter(F.col("n") >= threshold * n_rows)
+            .collect()
         )
-        kept[column] = sorted(r.level for r in frequent.collect())
-    return kept
+        kept[column] = sorted(r.level for r in frequent)
+        if sum(r.n for r in frequent) < n_rows:
+            with_rare.add(column)
+    return kept, with_rare
 
 
 def pool_levels(frame: DataFrame, kept: dict[str, list[str]]) -> DataFrame:
@@ -72,29 +83,32 @@ def dummies(frame: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
 class Recipe(Estimator):
     """Median, unknown level, pooled rare levels, dummies, constants dropped, features assembled."""
 
-    def __init__(self, ids=("patient_key", "os_event", "split", "fold"), threshold: float = 0.02, keep=None):
+    def __init__(
+        self,
+        ids=("patient_key", "os_event", "split", "fold"),
+        threshold: float = 0.02,
+        keep=lambda frame, name: frame,
+    ):
         super().__init__()
         self.ids = tuple(ids)
         self.threshold = threshold
-        self.keep = keep or (lambda counts: counts)
+        self.keep = keep
 
     def _fit(self, dataset: DataFrame) -> "RecipeModel":
         fields = [f for f in dataset.schema.fields if f.name not in self.ids]
         nominal = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
         numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
         medians = train_medians(dataset, numeric, self.keep)
-        kept = frequent_levels(dataset, nominal, self.threshold)
-        pooled = pool_levels(dataset, kept)
-        with_other = pooled.agg(
-            *[F.max((F.col(c) == OTHER).cast("int")).alias(c) for c in nominal], F.lit(1).alias("_one")
-        ).first()
-        levels = {c: kept[c] + ([OTHER] if with_other[c] and OTHER not in kept[c] else []) for c in nominal}
-        model = RecipeModel(medians, kept, levels, [*numeric])
-        encoded = model.encode(dataset)
-        columns = [c for c in encoded.columns if c not in self.ids]
-        varied = encoded.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).first()
-        model.features = [c for c in columns if varied[c]]
-        return model
+        kept, with_rare = frequent_levels(dataset, nominal, self.threshold)
+        levels = {c: kept[c] + ([OTHER] if c in with_rare and OTHER not in kept[c] else []) for c in nominal}
+        encoded = dummies(pool_levels(impute(dataset.limit(0), medians), kept), levels)
+        features = [c for c in encoded.columns if c not in self.ids]
+        # A dummy has both values in train by the choice of its level; a number may be constant.
+        varied = impute(dataset, medians).agg(
+            F.lit(True).alias("_"), *[(F.min(c) < F.max(c)).alias(c) for c in numeric]
+        )
+        constant = {c for c, varies in varied.first().asDict().items() if not varies}
+        return RecipeModel(medians, kept, levels, [c for c in features if c not in constant])
 
 
 class RecipeModel(Model):

@@ -74,6 +74,10 @@ def _kept(c: Cohort, name: str):
     return lambda counts: c.workspace.table(name, lambda: counts)
 
 
+def _write(c: Cohort):
+    return lambda frame, name: c.workspace.table(name, lambda: frame)
+
+
 # Sources and sinks.
 
 
@@ -323,17 +327,17 @@ def patient_counts(c):
 
 @query
 def vocab_probe(c):
-    return harmonise.vocabulary_probe(c.kept_records(), "st_2_f")
+    return harmonise.vocabulary_probe(c.kept_records())
 
 
 @query
 def mapping_probe(c):
-    return harmonise.mapping_probe(c.kept_records(), "st_2_f")
+    return harmonise.mapping_probe(c.attribute_use())
 
 
 @query
 def unmapped_attrs(c):
-    return harmonise.unmapped_first(harmonise.mapping_probe(c.kept_records(), "st_2_f", "SEG|AGE|ER"))
+    return harmonise.unmapped_first(harmonise.mapping_probe(c.attribute_use(), "."))
 
 
 @query
@@ -473,8 +477,8 @@ def outcome_table(c):
 
 
 @query
-def wide_one_study(c):
-    return completeness.wide_study(c.kept_records(), c.roster(), "st_1_f")
+def wide_by_study(c):
+    return completeness.wide_table(c.kept_records(), c.attribute_use(), c.roster())
 
 
 # Scalar functions, over every text the records hold.
@@ -519,37 +523,25 @@ def event_flags(c):
 # Constraints. The stored tables are clean, so rows that break each rule are derived from them.
 
 
-def _hit(table: constraints.Table):
-    return F.length(table.primary_key[0]) % 3 == 0
-
-
 @query
 def pk_violations(c):
-    held = c.tables()
-    doubled = {t.name: held[t.name].unionByName(held[t.name].filter(_hit(t))) for t in constraints.TABLES}
-    return constraints.primary_key_violations(doubled)
+    return constraints.primary_key_violations({name: t.unionByName(t) for name, t in c.tables().items()})
 
 
 @query
 def unique_violations(c):
     held = c.tables()
-    patients = constraints.TABLES[3]
-    renamed = held["patients"].filter(_hit(patients)).withColumn("patient_key", F.concat("patient_key", F.lit("*")))
+    renamed = held["patients"].withColumn("patient_key", F.concat("patient_key", F.lit("*")))
     return constraints.unique_violations({**held, "patients": held["patients"].unionByName(renamed)})
 
 
 @query
 def not_null_violations(c):
     held = c.tables()
-    holed = {
-        t.name: held[t.name].select(
-            *[
-                F.when(~_hit(t), F.col(name)).alias(name) if name in t.required else F.col(name)
-                for name in held[t.name].columns
-            ]
-        )
-        for t in constraints.TABLES
-    }
+    holed = {}
+    for t in constraints.TABLES:
+        blank = held[t.name].withColumns({n: F.lit(None).cast(held[t.name].schema[n].dataType) for n in t.required})
+        holed[t.name] = held[t.name].unionByName(blank)
     return constraints.not_null_violations(holed)
 
 
@@ -626,7 +618,7 @@ def fold_sizes(c):
 
 @query
 def impute_median(c):
-    medians = recipe.train_medians(c.train(), ["age"], _kept(c, "age_train_counts"))
+    medians = recipe.train_medians(c.train(), ["age"], _write(c))
     return recipe.impute(c.df_split(), medians).select("patient_key", "split", "age")
 
 
@@ -636,7 +628,7 @@ def _nominal(c: Cohort) -> list[str]:
 
 @query
 def pool_rare_levels(c):
-    kept = recipe.frequent_levels(c.train(), _nominal(c))
+    kept, _ = recipe.frequent_levels(c.train(), _nominal(c))
     return recipe.pool_levels(c.df_split(), kept).select("patient_key", "split", *_nominal(c))
 
 
@@ -649,7 +641,7 @@ def dummies(c):
 
 def _recipe(c: Cohort):
     if not hasattr(c, "recipe"):
-        c.recipe = recipe.Recipe(keep=_kept(c, "age_recipe_counts")).fit(c.train())
+        c.recipe = recipe.Recipe(keep=_write(c)).fit(c.train())
     return c.recipe
 
 
@@ -698,10 +690,6 @@ def majority_baseline(c):
 TREES = 50
 
 
-def _write(c: Cohort):
-    return lambda frame, name: c.workspace.table(name, lambda: frame)
-
-
 def _tuned(c: Cohort) -> list:
     if not hasattr(c, "tuned"):
         points = forest.grid(len(_recipe(c).features))
@@ -712,7 +700,7 @@ def _tuned(c: Cohort) -> list:
 def _final(c: Cohort):
     if not hasattr(c, "final"):
         mtry, min_n = _tuned(c)[0][:2]
-        c.final = forest.fit_final(c.train(), mtry, min_n, TREES)
+        c.final = forest.fit_final(c.train(), mtry, min_n, TREES, recipe=_recipe(c))
     return c.final
 
 
