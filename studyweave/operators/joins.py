@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A lookup side is broadcast up to this many (narrow) rows.
@@ -11,6 +13,7 @@ LOOKUP_ROWS = 500_000
 ROWS_PER_TASK = 4_000_000
 # Up to this many (narrow) rows per shuffle partition, the keyed side of a join is hashed in memory.
 HASHED_ROWS = 1_000_000
+KEYLESS_PIECES = 1024
 
 
 def fits_lookup(frame: DataFrame, limit: int = LOOKUP_ROWS) -> bool:
@@ -43,7 +46,7 @@ def lookup_join(
     if fits_lookup(lookup if at_most is None else at_most, limit):
         return facts.join(F.broadcast(lookup), on, how)
     weights = facts.groupBy(*on).agg(F.count("*").alias("_rows"))
-    return split_join(facts, lookup, on, weights, how, rows_per_task)
+    return split_join(facts, lookup, on, weights, how, rows_per_task, spread=F.xxhash64(*facts.columns))
 
 
 def split_join(
@@ -54,15 +57,20 @@ def split_join(
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
     hashed: bool = False,
+    spread: Column | None = None,
 ) -> DataFrame:
     """Shuffle join in which a key with more than `rows_per_task` facts is cut into pieces.
 
     `weights` gives the facts per key (columns `on`, `_rows`). There are at most
-    rows / rows_per_task heavy keys, so their list is small by construction and is broadcast. The
-    piece of a fact comes from its position, so copies of one fact spread out too; the other side
-    is repeated once per piece. No row is dropped or doubled. `hashed` asks for hashing the keyed
-    side in place of sorting both.
+    rows / rows_per_task heavy keys, so their list is small by construction and is broadcast; the
+    other side is repeated once per piece. No row is dropped or doubled.
+
+    By default the piece of a fact comes from its position, so that copies of one fact spread out
+    too. That is stable under a retried task for facts read from a table; for facts that come out
+    of a shuffle pass `spread`, a whole-number column made from the content. `hashed` asks for
+    hashing the keyed side in place of sorting both.
     """
+    spread = F.monotonically_increasing_id() if spread is None else spread
     heavy = weights.filter(F.col("_rows") > rows_per_task).select(
         *on, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_pieces")
     )
@@ -72,10 +80,13 @@ def split_join(
     if heavy.isEmpty():
         return join(facts, keyed, on)
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
+    # A NULL key meets nothing, so any piece will do for it.
+    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     cut_facts = (
-        facts.join(F.broadcast(heavy), on, "left")
-        .withColumn("_piece", F.pmod(F.monotonically_increasing_id(), pieces).cast("int"))
-        .drop("_pieces")
+        facts.withColumn("_spread", spread)
+        .join(F.broadcast(heavy), on, "left")
+        .withColumn("_piece", F.pmod("_spread", F.when(keyless, KEYLESS_PIECES).otherwise(pieces)).cast("int"))
+        .drop("_pieces", "_spread")
     )
     cut_keyed = (
         keyed.join(F.broadcast(heavy), on, "left")

@@ -14,6 +14,10 @@ def rows(frame):
     return sorted(tuple(r) for r in frame.collect())
 
 
+def rows_of(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
 @pytest.fixture
 def skewed(spark):
     """A third of the facts has one key; many of them are copies of one row."""
@@ -33,13 +37,27 @@ def test_split_join_equals_plain_join(spark, skewed, how):
     assert rows(lookup) == rows(skewed.join(keyed, "key", how))
 
 
-def test_split_join_spreads_copies_of_a_heavy_key(spark, skewed):
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_split_join_with_a_heavy_missing_key(spark, skewed, how):
+    facts = skewed.withColumn("key", F.when(F.col("key") != "hot", F.col("key")))
+    keyed = spark.createDataFrame([(None, 1), ("k1", 2), ("lone", 3)], "key string, tag int")
+    weights = facts.groupBy("key").agg(F.count("*").alias("_rows"))
+    assert rows_of(joins.split_join(facts, keyed, ["key"], weights, how, 50)) == rows_of(facts.join(keyed, "key", how))
+
+
+def test_copies_of_one_fact_are_spread(spark):
+    facts = spark.range(0, 4000, 1, 4).select(F.lit("hot").alias("key"), F.lit(1).alias("value"))
     keyed = spark.createDataFrame([("hot", 1)], "key string, tag int")
-    weights = skewed.groupBy("key").agg(F.count("*").alias("_rows"))
-    plan = joins.split_join(skewed, keyed, ["key"], weights, rows_per_task=50)
-    assert plan.count() == 400
-    heavy = joins.split_join(skewed, keyed, ["key"], weights.filter("key <> 'hot'"), rows_per_task=50)
-    assert heavy.count() == 400
+    weights = facts.groupBy("key").agg(F.count("*").alias("_rows"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.split_join(facts, keyed, ["key"], weights, rows_per_task=100)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 4000 and max(sizes) < 1500
 
 
 @pytest.mark.parametrize("rows_per_task", [10**6, 40, 7])
