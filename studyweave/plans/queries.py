@@ -724,24 +724,45 @@ def rf_fit(c):
     return scored.groupBy("os_event", "predicted").agg(F.count("*").alias("n"))
 
 
+def _scored(c: Cohort) -> DataFrame:
+    """The test rows, scored once."""
+
+    def score():
+        fitted, model = _final(c)
+        return forest.event_score(model.transform(fitted.transform(c.test())))
+
+    return c.workspace.table("rf_scored", score)
+
+
+def _scored_counts(c: Cohort) -> DataFrame:
+    event = F.col("os_event") == "1"
+    return c.workspace.table(
+        "rf_score_counts", lambda: evaluate.score_counts(_scored(c), F.col("score"), event)
+    )
+
+
 @query
 def rf_predictions(c):
-    fitted, model = _final(c)
-    return rounded(forest.event_score(model.transform(fitted.transform(c.test()))), "score")
+    return rounded(_scored(c), "score")
 
 
 @query
 def rf_metrics(c):
-    fitted, model = _final(c)
-    scored = forest.event_score(model.transform(fitted.transform(c.test())))
-    scored = c.workspace.table("rf_scored", lambda: scored)
-    counts = evaluate.score_counts(scored, F.col("score"), F.col("os_event") == "1")
-    counts = c.workspace.table("rf_score_counts", lambda: counts)
-    auc = evaluate.roc_auc(counts).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
-    hits = evaluate.accuracy(scored, "os_event", F.col("predicted"))
+    auc = evaluate.roc_auc(_scored_counts(c)).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
+    hits = evaluate.accuracy(_scored(c), "os_event", F.col("predicted"))
     return auc.unionByName(hits.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")))
 
 
+@query
+def rf_roc(c):
+    return evaluate.roc_points(_scored_counts(c))
+
+
+@query
+def rf_confusion(c):
+    return evaluate.confusion(_scored(c), "os_event", F.col("predicted"))
+
+
 @query
 def perm_importance(c):
     fitted, model = _final(c)

@@ -24,7 +24,8 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_queries_without_sql_are_the_model_ones():
     assert sorted(set(QUERIES) - set(SQL)) == [
-        "features", "perm_importance", "rf_fit", "rf_grid", "rf_metrics", "rf_predictions", "rf_tune",
+        "features", "perm_importance", "rf_confusion", "rf_fit", "rf_grid", "rf_metrics", "rf_predictions", "rf_roc",
+        "rf_tune",
     ]
 
 
