@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +9,9 @@ from ..workspace import Workspace
 
 
 def land_listing(workspace: Workspace, listing: DataFrame, page_size: int = 50) -> str:
-    """JSON pages: one array of about `page_size` studies per file."""
+    """Listing pages: files of at most `page_size` studies, one study per line."""
     folder = workspace.path("landed_listing")
-    n_pages = max(1, math.ceil(listing.count() / page_size))
-    study = F.struct("studyId", "name", "cancerTypeId")
-    (
-        listing.groupBy(F.pmod(F.xxhash64("studyId"), F.lit(n_pages)).alias("page"))
-        .agg(F.to_json(F.collect_list(study)).alias("value"))
-        .write.mode("overwrite")
-        .partitionBy("page")
-        .text(folder)
-    )
+    listing.write.mode("overwrite").option("maxRecordsPerFile", page_size).json(folder)
     return folder
 
 

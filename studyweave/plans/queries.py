@@ -83,7 +83,8 @@ def _write(c: Cohort):
 
 @query
 def src_studies(c):
-    return landed.read_listing(c.spark, landing.land_listing(c.workspace, c.listing_in))
+    folder = landing.land_listing(c.workspace, c.listing_in)
+    return landed.read_listing(c.spark, folder, multi_line=False)
 
 
 @query

@@ -41,9 +41,15 @@ def flatten(frame: DataFrame, separator: str = ".") -> DataFrame:
     )
 
 
-def read_listing(spark: SparkSession, folder: str, schema: str = LISTING_SCHEMA) -> DataFrame:
-    """Union of all listing pages. A page is one JSON array; an empty page adds nothing."""
-    pages = spark.read.schema(schema).option("multiLine", True).json(folder)
+def read_listing(
+    spark: SparkSession, folder: str, schema: str = LISTING_SCHEMA, multi_line: bool = True
+) -> DataFrame:
+    """Union of all listing pages; an empty page adds nothing.
+
+    A page is one JSON array over any number of lines. Without `multi_line` each line is a study or
+    an array of them, and large files can be split.
+    """
+    pages = spark.read.schema(schema).option("multiLine", multi_line).json(folder)
     return flatten(pages.select(*T.StructType.fromDDL(schema).names))
 
 

@@ -169,7 +169,9 @@ def test_flatten(spark):
 def test_listing_pages(spark, tmp_path):
     (tmp_path / "p0.json").write_text(json.dumps([{"studyId": "a", "name": "A", "more": {"x": 1}}, {"studyId": "b"}]))
     (tmp_path / "p1.json").write_text("[]")
-    assert rows(landed.read_listing(spark, str(tmp_path))) == [("a", "A", None), ("b", None, None)]
+    expected = [("a", "A", None), ("b", None, None)]
+    assert rows(landed.read_listing(spark, str(tmp_path))) == expected
+    assert rows(landed.read_listing(spark, str(tmp_path), multi_line=False)) == expected
 
 
 def test_unreadable_lines_are_set_aside(spark, tmp_path):
