@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substrings
+from . import decontamination, packing, simhash, substrings, toxicity
 from .rows import ship
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(*(_table(spark, sf_dir, name) for name in ("documents", "benchmark")))
+
+
 def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select(
@@ -33,11 +37,26 @@ def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def held_out(column: str, folds: int, fold: int) -> Column:
+    """Whether the checksum of an id as text falls in a fold; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    lexicon = toxicity.fit(documents, labels, ~held_out("id", 5, 0))
+    return _judged(toxicity.score(documents.select("doc_id", "text"), lexicon), held_out("doc_id", 5, 0))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substrings.without_repeats(spark, documents)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_cost_packing, op4_simhash_bktree, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op3_cost_packing, op4_simhash_bktree, op7_toxic_lexicon, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}

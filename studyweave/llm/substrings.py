@@ -211,7 +211,7 @@ def _one_by_one(length: int, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]
 _CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(characters: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 5; the last two columns are the text and its spans."""
     for got in batches:
         out = []
@@ -222,7 +222,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, start, end = spans_merged(np.zeros(len(start), np.int64), start, end)
             edges = [0, *np.stack([start, end], 1).ravel().tolist(), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(text), len(text) - len(kept), len(start), kept))
+            if characters:
+                kept = kept.decode("utf-8", "ignore").encode()
+            out.append((len(text), len(text) - sum(b - a for a, b in zip(edges[::2], edges[1::2], strict=True)), len(start), kept))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         arrays = [pa.array(x, pa.int64()) for x in columns[:3]] + [pa.array(columns[3], pa.binary())]
         yield pa.RecordBatch.from_arrays([*got.columns[:-2], *arrays], names=[*got.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"])
@@ -267,13 +269,13 @@ def repeats(spark: SparkSession, texts: DataFrame, length: int = 100) -> DataFra
     return spans.withColumnRenamed("key", "__key")
 
 
-def without_repeats(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """All columns of `documents`, and n_bytes, n_removed, n_spans and kept (the remaining bytes). Columns of
-    those names in the input are replaced."""
+def without_repeats(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, characters: bool = False) -> DataFrame:
+    """All columns of `documents`, and n_bytes, n_removed, n_spans and kept (the remaining bytes; without
+    the rest of a cut character if `characters`). Columns of those names in the input are replaced."""
     names = [c for c in documents.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
     plain = documents.select(*names)
     texts = keyed(spark, plain, id_col, text_col)
     spans = repeats(spark, texts, length).groupBy("__key").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     whole = texts.join(spans, "__key", "left").select(*names, "__text", "__spans")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
-    return whole.mapInArrow(_cut, ", ".join([*kinds, _CUT]))
+    return whole.mapInArrow(partial(_cut, characters), ", ".join([*kinds, _CUT]))
