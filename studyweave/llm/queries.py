@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, simhash, substrings, toxicity
+from . import decontamination, packing, quality_kernel, quality_rules, simhash, substrings, toxicity
 from .rows import ship
 
 
@@ -19,6 +19,11 @@ def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.leaks(*(_table(spark, sf_dir, name) for name in ("documents", "benchmark")))
 
 
+def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality_rules.judge(documents.select("doc_id", "text"), quality_rules.fit(documents, labels)).drop("text")
+
+
 def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select(
@@ -46,6 +51,12 @@ def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    model = quality_kernel.fit(documents, labels, ~held_out("id", 3, 1))
+    return _judged(quality_kernel.score(documents.select("doc_id", "text"), model), held_out("doc_id", 3, 1))
+
+
 def op7_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
     lexicon = toxicity.fit(documents, labels, ~held_out("id", 5, 0))
@@ -58,5 +69,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op3_cost_packing, op4_simhash_bktree, op7_toxic_lexicon, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_crf_quality, op3_cost_packing, op4_simhash_bktree, op5_fourier_quality, op7_toxic_lexicon, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
