@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_kernel, quality_rules, simhash, substrings, toxicity
+from . import decontamination, licenses, packing, quality_kernel, quality_rules, simhash, substrings, toxicity, url_rules
 from .rows import ship
 
 
@@ -57,17 +57,32 @@ def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality_kernel.score(documents.select("doc_id", "text"), model), held_out("doc_id", 3, 1))
 
 
+def op6_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
     lexicon = toxicity.fit(documents, labels, ~held_out("id", 5, 0))
     return _judged(toxicity.score(documents.select("doc_id", "text"), lexicon), held_out("doc_id", 5, 0))
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op9_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages take the label of the same number; one of low quality counts as block."""
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    given = labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "block").when(F.col("quality") == 1, "allow").alias("verdict"))
+    judged = url_rules.judge(spark, pages, URL_RULES, given)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substrings.without_repeats(spark, documents)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_crf_quality, op3_cost_packing, op4_simhash_bktree, op5_fourier_quality, op7_toxic_lexicon, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_crf_quality, op3_cost_packing, op4_simhash_bktree, op5_fourier_quality, op6_license_minhash, op7_toxic_lexicon, op9_url_association_rules, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
