@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,24 @@ def word_array(text: Column) -> Column:
     return F.filter(parts, lambda x: x.rlike("[^.]"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(parts: Column) -> Column:
+    run = lambda k: F.concat_ws(" ", *[F.get(parts, k + j) for j in range(SHINGLE)])
+    return F.when(F.size(parts) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(parts) - SHINGLE), run)).otherwise(F.array().cast("array<string>"))
+
+
+def minimum(hashes: Column, band: Column) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band)))
+
+
+def _minima(bands: int) -> Callable[[Column], Column]:
+    return lambda hashes: F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda band: minimum(hashes, band))
+
+
 def size_class(shingles: int) -> int:
     return 1 << max(0, shingles - 1).bit_length()
 
@@ -74,27 +93,22 @@ def scan(spark: SparkSession, documents: DataFrame, templates: dict[str, str] |
     if sum(len(r[2]) for r in rows) > most:
         raise ValueError(f"the templates have over {most} shingles")
     wanted = spark.createDataFrame(rows, "license string, m int, known array<string>, bands int")
-    minimum = lambda hashes, band: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band)))
     hashed = F.transform("known", lambda x: F.xxhash64(x))
     sought = wanted.select("license", "m", "known", F.explode(F.sequence(F.lit(1), "bands")).alias("band"), hashed.alias("hashes"))
     sought = sought.select("license", "m", "known", "band", minimum(F.col("hashes"), F.col("band")).alias("low"))
     classes = {m: max(r[3] for r in rows if r[1] == m) for m in sorted({r[1] for r in rows})}
 
     told = F.array(*[F.lit(x) for x in sorted({x for r in rows for x in r[2]})])
-    own = documents.select(F.col(id_col).alias("__id"), word_array(F.col(text_col).cast("string")).alias("__words"))
-    last = F.size("__words") - SHINGLE + 1
-    run = lambda k: F.concat_ws(" ", *[F.get("__words", k + j) for j in range(SHINGLE)])
-    shingled = own.filter(last > 0).withColumn("__runs", F.transform(F.sequence(F.lit(0), last - 1), run))
-    held = shingled.filter(F.arrays_overlap("__runs", told)).withColumn("__hashes", F.transform("__runs", lambda x: F.xxhash64(x)))
+    runs = bound(word_array(F.col(text_col).cast("string")), _runs)
+    # as rows of a generator the runs are computed once, and a document without a known one has no row
+    held = documents.select(F.col(id_col).alias("__id"), F.explode(F.filter(F.array(runs), lambda r: F.arrays_overlap(r, told))).alias("__runs"))
     windows = None
     for m, count in classes.items():
-        starts = F.sequence(F.lit(0), F.greatest(F.size("__runs") - 1, F.lit(0)), F.lit(m))
-        each = held.select("__id", "__runs", "__hashes", F.explode(starts).alias("first_word"))
-        part = lambda name, m=m: F.slice(name, F.col("first_word") + 1, 2 * m)
-        each = each.select("__id", "first_word", F.lit(m).alias("m"), part("__runs").alias("runs"), part("__hashes").alias("hashes"))
-        each = each.select("__id", "first_word", "m", "runs", F.transform(F.sequence(F.lit(1), F.lit(count)), lambda b: minimum(F.col("hashes"), b)).alias("lows"))
+        each = held.select("__id", "__runs", F.explode(F.sequence(F.lit(0), F.size("__runs") - 1, F.lit(m))).alias("first_word"))
+        each = each.select("__id", "first_word", F.lit(m).alias("m"), F.slice("__runs", F.col("first_word") + 1, 2 * m).alias("runs"))
+        each = each.select("*", F.posexplode(bound(F.transform("runs", lambda x: F.xxhash64(x)), _minima(count))).alias("at", "low"))
         windows = each if windows is None else windows.union(each)
-    keys = windows.select("__id", "first_word", "m", "runs", F.posexplode("lows").alias("at", "low")).withColumn("band", F.col("at") + 1)
+    keys = windows.withColumn("band", F.col("at") + 1)
     met = keys.join(F.broadcast(sought), ["m", "band", "low"])  # given templates, bounded by `most`
     share = F.size(F.array_intersect("known", "runs")) / F.size("known")
     sure = met.select("__id", "license", "first_word", share.alias("share")).filter(F.col("share") >= least).distinct()
