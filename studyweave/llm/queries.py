@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, quality_kernel, quality_rules, simhash, substrings, toxicity, url_rules
+from . import decontamination, language, licenses, packing, quality_kernel, quality_rules, simhash, substrings, toxicity, url_rules
 from .rows import ship
 
 
@@ -67,6 +67,11 @@ def op7_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(documents.select("doc_id", "text"), lexicon), held_out("doc_id", 5, 0))
 
 
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return language.identify(spark, pages, _table(spark, sf_dir, "documents")).select("page_id", "language.*")
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -84,5 +89,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_crf_quality, op3_cost_packing, op4_simhash_bktree, op5_fourier_quality, op6_license_minhash, op7_toxic_lexicon, op9_url_association_rules, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_crf_quality, op3_cost_packing, op4_simhash_bktree, op5_fourier_quality, op6_license_minhash, op7_toxic_lexicon, op8_language_fusion, op9_url_association_rules, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
