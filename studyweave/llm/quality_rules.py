@@ -78,7 +78,7 @@ class Field:
 def train(chains: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: float = 1e-3) -> Field:
     """The field under which the labels of the chains (rows, label of all) are likeliest: forward and
     backward sums, ascent by Adam."""
-    size = chains[0][0].shape[1] if chains else 1
+    size = chains[0][0].shape[1]
     if len({label for _, label in chains}) < 2:
         return Field(np.zeros((size, 2)), np.zeros((2, 2)))
     longest = max(len(rows) for rows, _ in chains)
@@ -129,7 +129,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, sa
     rows = sampled(documents, labels, "quality", F.lit(True) if learn is None else learn, sample, id_col, text_col)
     rows = stored(documents.sparkSession, rows, "sample").mapInArrow(partial(_chains, lines), "rows binary, label int")
     size = features(statistics.count([b""])[0]).shape[1]
-    return train([(np.frombuffer(r.rows, np.float32).reshape(-1, size).astype(float), r.label) for r in rows.collect()])
+    chains = [(np.frombuffer(r.rows, np.float32).reshape(-1, size).astype(float), r.label) for r in rows.collect()]
+    return train(chains) if chains else Field(np.zeros((size, 2)), np.zeros((2, 2)))
 
 
 def _judged(field: Field, share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
