@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocabulary as voc
-from ..functions.clinical import os_event
+from ..functions.clinical import entity_key, os_event
 from ..functions.text import number_or_null, prefix_real
 from .joins import lookup_join
 
@@ -42,15 +43,28 @@ def samp_agg(tables: dict[str, DataFrame], measures=voc.SAMPLE_MEASURES, all_pat
     return facts.join(owners, "sample_key").groupBy("patient_key").agg(*means)
 
 
-def analytic_view(tables: dict[str, DataFrame], concepts=voc.PREDICTOR_CONCEPTS) -> DataFrame:
+def wide_facts(patient_facts: DataFrame, concepts=voc.PREDICTOR_CONCEPTS) -> DataFrame:
+    """The same as pat_wide without `all_patients`, from facts that still name study and concept: no join."""
+    facts = patient_facts.filter(F.col("harmonized_id").isin(*concepts) & F.col("value").isNotNull())
+    facts = facts.filter(~F.col("attr_id").isin(*voc.OUTCOME_ATTRS))
+    columns = [F.max(F.when(F.col("harmonized_id") == c, F.col("value"))).alias(c.lower()) for c in concepts]
+    key = entity_key(F.col("study_id"), F.col("patient_id")).alias("patient_key")
+    return facts.groupBy(key).agg(*columns)
+
+
+def analytic_view(
+    tables: dict[str, DataFrame], concepts=voc.PREDICTOR_CONCEPTS, wide: DataFrame | None = None
+) -> DataFrame:
     """Patients with a recorded outcome, their study, concepts, sample measures and follow-up.
 
-    All the large joins are on patient_key, so one exchange per input serves the whole chain.
+    All the large joins are on patient_key, so one exchange per input serves the whole chain. `wide` is
+    the pivot of the concepts where the caller has it; else it comes from the tables.
     """
     outcomes = tables["outcomes"].filter("os_status IS NOT NULL AND os_status <> ''")
     cancer = tables["studies"].select("study_id", "cancer_type")
     people = tables["patients"].select("patient_key", "study_id").join(outcomes, "patient_key")
-    people = people.join(pat_wide(tables, concepts, all_patients=False), "patient_key", "left")
+    wide = pat_wide(tables, concepts, all_patients=False) if wide is None else wide
+    people = people.join(wide, "patient_key", "left")
     people = people.join(samp_agg(tables, all_patients=False), "patient_key", "left")
     return lookup_join(people, cancer, ["study_id"]).select(
         "patient_key",
@@ -102,9 +116,10 @@ def select_any_of(frame: DataFrame, names) -> DataFrame:
 
 
 def missingness(frame: DataFrame) -> DataFrame:
-    """Percent missing per column: variable, pct_missing. One pass."""
+    """Percent missing per column: variable, pct_missing, place by it. One pass; one row per column."""
     shares = [(F.avg(F.col(c).isNull().cast("int")) * 100).alias(c) for c in frame.columns]
-    return frame.agg(*shares).unpivot([], list(frame.columns), "variable", "pct_missing")
+    place = F.row_number().over(W.orderBy(F.round("pct_missing", 9).desc(), "variable")).cast("bigint")
+    return frame.agg(*shares).unpivot([], list(frame.columns), "variable", "pct_missing").withColumn("place", place)
 
 
 def event_counts(frame: DataFrame) -> DataFrame:

@@ -73,6 +73,11 @@ def duplicate_audit(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("patient_id").agg(F.count("*").alias("n_studies")).filter("n_studies > 1")
 
 
+def most_copies(audit: DataFrame) -> DataFrame:
+    """In how many studies the most repeated patient is; 0 when none is in two."""
+    return audit.agg(F.coalesce(F.max("n_studies"), F.lit(0)).alias("max_copies"), F.count("*").alias("n_patients"))
+
+
 def study_richness(records: DataFrame) -> DataFrame:
     """How many patient-level attributes a study records at all."""
     return (
@@ -98,25 +103,32 @@ def patient_weights(records: DataFrame) -> DataFrame:
     return records.groupBy("study_id", "patient_id").agg(F.count("*").alias("n_facts"))
 
 
+#: A patient's facts in a study, and the rank of the study above them, share one whole number.
+FACTS_BITS = 40
+
+
 def primary_record(pairs: DataFrame, richness: DataFrame, identity: list[str] | None = None) -> DataFrame:
-    """The pair kept per patient: the richest study, by name among equals, unranked studies last.
+    """study_id, identity and n_facts of the pair kept per patient: the richest study, by name among
+    equals, unranked studies last.
 
-    A minimum over (richness, name) needs no rank and no sort, and combines before the shuffle.
+    The place of the study and the facts make one number, so the choice is a minimum of numbers: it
+    needs no sort, and combines before the shuffle. There is one row per study to rank.
     """
     identity = identity or ["patient_id"]
-    ranked = lookup_join(pairs, richness, ["study_id"], "left")
-    rest = [c for c in pairs.columns if c not in identity and c != "study_id"]
-    best = F.struct(
-        F.col("n_attrs").isNull().alias("unranked"),
-        (-F.col("n_attrs")).alias("poorness"),
-        F.col("study_id"),
-        *rest,
-    )
-    return (
-        ranked.groupBy(*identity)
-        .agg(F.min(best).alias("best"))
-        .select("best.study_id", *identity, *[f"best.{c}" for c in rest])
+    studies = pairs.select("study_id").distinct().join(richness, "study_id", "left")
+    order = W.orderBy(F.col("n_attrs").isNull(), F.desc("n_attrs"), "study_id")
+    places = studies.select("study_id", F.row_number().over(order).cast("bigint").alias("_place"))
+    placed = lookup_join(pairs, places, ["study_id"])
+    facts = F.coalesce("n_facts", F.lit(0)) if "n_facts" in pairs.columns else F.lit(0)
+    code = F.shiftleft("_place", FACTS_BITS) + facts.cast("bigint")
+    best = placed.groupBy(*identity).agg(F.min(code).alias("_best"))
+    split = best.select(
+        *identity,
+        F.shiftright("_best", FACTS_BITS).alias("_place"),
+        F.col("_best").bitwiseAND((1 << FACTS_BITS) - 1).alias("n_facts"),
     )
+    kept = lookup_join(split, places, ["_place"]).select("study_id", *identity, "n_facts")
+    return kept if "n_facts" in pairs.columns else kept.drop("n_facts")
 
 
 def records_of(

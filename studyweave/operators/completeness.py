@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as voc
@@ -11,19 +12,22 @@ from .ordered import exact_quantiles
 PAIR = ["study_id", "patient_id"]
 
 
-def patient_facts(harmonised: DataFrame) -> DataFrame:
-    """Patient-level facts, one row per patient and attribute, with the smallest normalised value
-    (NULL where no value survived) and whether the patient is on the roster.
+def attr_facts(harmonised: DataFrame) -> DataFrame:
+    """One row per patient, level and attribute, with the smallest normalised value (NULL where no value
+    survived) and whether the patient is on the roster.
 
-    One shuffle feeds completeness and the patient tables.
+    One shuffle feeds completeness, the patient tables and the outcomes.
     """
-    return (
-        harmonised.filter("data_level = 'PATIENT'")
-        .groupBy(*PAIR, "attr_id", "harmonized_id")
-        .agg(F.min("norm_value").alias("value"), F.max("listed").alias("listed"))
+    return harmonised.groupBy(*PAIR, "data_level", "attr_id", "harmonized_id").agg(
+        F.min("norm_value").alias("value"), F.max("listed").alias("listed")
     )
 
 
+def patient_facts(facts: DataFrame) -> DataFrame:
+    """Patient-level facts, one row per patient and attribute, out of `attr_facts`."""
+    return facts.filter("data_level = 'PATIENT'").drop("data_level")
+
+
 def completeness_wide(facts: DataFrame, roster: DataFrame) -> DataFrame:
     """Patients of the roster that have the attribute, over the size of the roster.
 
@@ -132,9 +136,15 @@ def top_with_ties(frame: DataFrame, by: str, n: int) -> DataFrame:
 def heatmap_cells(completeness: DataFrame, coverage: DataFrame, n: int = 25, min_studies: int = 2) -> DataFrame:
     """Cells of the completeness heatmap for the best covered attributes of several studies."""
     chosen = top_with_ties(coverage.filter(F.col("n_studies_present") >= min_studies), "mean_completeness", n)
-    cells = completeness.join(chosen.select("attr_id"), "attr_id", "left_semi")
+    # one row per chosen attribute; the place orders the categories of the chart
+    place = F.row_number().over(W.orderBy(F.desc("mean_completeness"), "attr_id")).cast("bigint")
+    cells = completeness.join(F.broadcast(chosen.select("attr_id", place.alias("place"))), "attr_id")
     return cells.select(
-        "study_id", "attr_id", "completeness_pct", F.round("completeness_pct").cast("bigint").alias("label")
+        "study_id",
+        "attr_id",
+        "completeness_pct",
+        F.round("completeness_pct").cast("bigint").alias("label"),
+        "place",
     )
 
 
@@ -144,18 +154,23 @@ def scaffold(facts: DataFrame, roster: DataFrame, attrs) -> DataFrame:
     return roster.select(*PAIR).join(wide, PAIR, "left")
 
 
-def wide_table(records: DataFrame, use: DataFrame, roster: DataFrame, max_columns: int = 5_000) -> DataFrame:
+def wide_table(records: DataFrame, use: DataFrame, roster: DataFrame) -> DataFrame:
     """Patient-by-attribute table, columns from the attribute names that `use` lists.
 
-    Filter all three frames on study_id for the table of one study. The names become columns, so
-    their number is checked before they are listed on the driver.
+    Filter all three frames on study_id for the table of one study. The names become columns, so the
+    driver needs them; where there are very many, `wide_map` has the same cells in one column.
     """
-    rows = use.filter("data_level = 'PATIENT'").select("attr_id").distinct().limit(max_columns + 1).collect()
-    if len(rows) > max_columns:
-        raise ValueError(f"more than {max_columns} attributes; use the long form")
+    rows = use.filter("data_level = 'PATIENT'").select("attr_id").distinct().collect()
     chosen = records.filter("data_level = 'PATIENT'")
     return scaffold(chosen, roster, sorted(r.attr_id for r in rows))
 
 
+def wide_map(facts: DataFrame, roster: DataFrame) -> DataFrame:
+    """One row per patient of the roster: `cells`, a map from attribute to value. `facts` has one row per
+    patient and attribute."""
+    cells = F.map_from_entries(F.array_sort(F.collect_list(F.struct("attr_id", "value")))).alias("cells")
+    return roster.select(*PAIR).join(facts.groupBy(*PAIR).agg(cells), PAIR, "left")
+
+
 def _attr_columns(attrs) -> list[Column]:
     return [F.min(F.when(F.col("attr_id") == a, F.col("value"))).alias(a) for a in attrs]

@@ -83,21 +83,24 @@ def _violations(table: str, rule: str, counted: DataFrame) -> DataFrame:
     )
 
 
-def _repeats(frame: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Rows beyond the first of each key. Counts combine before the shuffle."""
-    return frame.groupBy(*key).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("n"))
+def _repeats(frame: DataFrame, key: tuple[str, ...], nulls: bool) -> DataFrame:
+    """Rows beyond the first of each key; of keys with a NULL all rows if `nulls`, else none. Counts
+    combine before the shuffle."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    bad = F.when(whole, F.col("n") - 1).otherwise(F.col("n") if nulls else F.lit(0))
+    return frame.groupBy(*key).agg(F.count("*").alias("n")).agg(F.sum(bad).alias("n"))
 
 
 def primary_key_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """Repeated keys; keys with a NULL part are reported by not_null_violations as well."""
+    """Repeated keys, and keys with a NULL part, which not_null_violations reports as well."""
     return _stack(
-        [_violations(t.name, ", ".join(t.primary_key), _repeats(tables[t.name], t.primary_key)) for t in TABLES]
+        [_violations(t.name, ", ".join(t.primary_key), _repeats(tables[t.name], t.primary_key, True)) for t in TABLES]
     )
 
 
 def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return _stack(
-        [_violations(t.name, ", ".join(u), _repeats(tables[t.name], u)) for t in TABLES for u in t.unique]
+        [_violations(t.name, ", ".join(u), _repeats(tables[t.name], u, False)) for t in TABLES for u in t.unique]
     )
 
 

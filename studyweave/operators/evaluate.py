@@ -26,13 +26,21 @@ def score_counts(frame: DataFrame, score: Column, positive: Column, by: list[str
 
 
 def roc_points(counts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """threshold, sensitivity, specificity for 'positive where score >= threshold'. Written counts."""
+    """threshold, sensitivity, specificity for 'positive where score >= threshold'. Written counts.
+
+    The curve starts where no row is positive: sensitivity 0, specificity 1, no threshold (NULL).
+    """
     totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
     placed = running_totals(counts, [], "drop", ["pos", "neg"], rows_per_task=rows_per_task)
-    return placed.select(
-        F.col(SCORE).alias("threshold"),
-        (F.col("cum_pos") / F.lit(totals["pos"])).alias("sensitivity"),
-        (1 - F.col("cum_neg") / F.lit(totals["neg"])).alias("specificity"),
+    start = counts.sparkSession.range(1).select(
+        F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("sensitivity"), F.lit(1.0).alias("specificity")
+    )
+    return start.unionByName(
+        placed.select(
+            F.col(SCORE).alias("threshold"),
+            (F.col("cum_pos") / F.lit(totals["pos"])).alias("sensitivity"),
+            (1 - F.col("cum_neg") / F.lit(totals["neg"])).alias("specificity"),
+        )
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -71,38 +72,43 @@ def tune(
 ) -> list[tuple[int, int, float, float]]:
     """(mtry, min_n, mean AUC, standard error) per grid point, best first.
 
-    The recipe is fitted once per fold, on the fold's own train rows, and serves all grid points.
-    The held-out rows of all folds are scored under all points in one job. `keep` writes what is
-    read more than once: the two encoded parts of a fold, and the counted scores.
+    The recipe is fitted once per fold, on the fold's own train rows, and serves all grid points. A
+    fitted forest scores its held-out rows at once and is let go, so that at most `parallelism` of them
+    are held. `keep` writes what is read more than once: the two encoded parts of a fold, and the counted
+    scores of each forest.
     """
     forest = classifier(n_trees, seed)
+    run = uuid.uuid4().hex  # what `keep` writes for this call belongs to it alone
     in_session = inheritable_thread_target(train.sparkSession)
 
     def prepare(fold):
         rest, out = train.filter(F.col("fold") != fold), train.filter(F.col("fold") == fold)
-        recipe = Recipe(keep=lambda counts, name: keep(counts, f"fold{fold}_{name}")).fit(rest)
+        recipe = Recipe(keep=lambda counts, name: keep(counts, f"fold{fold}_{name}_{run}")).fit(rest)
 
         def encoded(rows, part):
-            return keep(labelled(recipe.transform(rows)).select("label", "features"), f"fold{fold}_{part}")
+            return keep(labelled(recipe.transform(rows)).select("label", "features"), f"fold{fold}_{part}_{run}")
 
         return encoded(rest, "fit"), encoded(out, "out")
 
+    def score(job):
+        fold, (fit_part, held_out), (mtry, min_n) = job
+        model = forest.fit(fit_part, _settings(forest, mtry, min_n))
+        scored = model.transform(held_out).select(
+            "label",
+            vector_to_array("probability")[1].alias("score"),
+            F.lit(fold).alias("fold"),
+            F.lit(f"{mtry},{min_n}").alias("point"),
+        )
+        counted = score_counts(scored, F.col("score"), F.col("label") == 1, ["fold", "point"])
+        return keep(counted, f"scores_{fold}_{mtry}_{min_n}_{run}")
+
     with ThreadPool(parallelism) as pool:
         folds = pool.map(in_session(prepare), range(n_folds))
-        jobs = [(fit_part, point) for fit_part, _ in folds for point in points]
-        models = pool.map(in_session(lambda job: forest.fit(job[0], _settings(forest, *job[1]))), jobs, 1)
+        jobs = [(fold, parts, point) for fold, parts in enumerate(folds) for point in points]
+        counts = reduce(DataFrame.unionByName, pool.map(in_session(score), jobs, 1))
 
     names = [f"{mtry},{min_n}" for mtry, min_n in points]
-    scored = [
-        _scores(held_out, dict(zip(names, models[fold * len(points) :])))
-        .unpivot(["label"], names, "point", "score")
-        .withColumn("fold", F.lit(fold))
-        for fold, (_, held_out) in enumerate(folds)
-    ]
-    all_scores = reduce(DataFrame.unionByName, scored)
-    counts = keep(
-        score_counts(all_scores, F.col("score"), F.col("label") == 1, ["fold", "point"]), "tuning_scores"
-    )
+    counts = keep(counts, f"tuning_scores_{run}")
     found = (
         roc_auc(counts, ["fold", "point"])
         .groupBy("point")
@@ -113,18 +119,6 @@ def tune(
     return sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
 
 
-def _scores(frame: DataFrame, models: dict) -> DataFrame:
-    """Label, and the event probability under each model as a column."""
-    for name, model in models.items():
-        columns = {
-            model.probabilityCol: f"{name} probability",
-            model.rawPredictionCol: f"{name} votes",
-            model.predictionCol: "",
-        }
-        frame = model.transform(frame, columns)
-    return frame.select("label", *[vector_to_array(f"{n} probability")[1].alias(n) for n in models])
-
-
 def tuning_table(spark: SparkSession, rows: list[tuple[int, int, float, float]]) -> DataFrame:
     return spark.createDataFrame(rows, "mtry int, min_n int, mean_auc double, std_err double")
 
@@ -168,7 +162,7 @@ def permutation_importance(
     A repeat shuffles once; every feature in turn is then taken from the donor row, so the number
     of shuffles does not grow with the number of features.
     """
-    encoded = keep(recipe.encode(held_out), "importance_rows")
+    encoded = keep(recipe.encode(held_out), f"importance_rows_{uuid.uuid4().hex}")
     n_rows = encoded.count()
 
     def hits(frame: DataFrame, inputs: list[str], name: str) -> DataFrame:

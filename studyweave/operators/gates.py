@@ -21,6 +21,8 @@ def gate(measured: DataFrame, name: str, value: Column, bound: float, passed) ->
 def quality_gates(
     listing: DataFrame,
     missing_at_start: DataFrame,
+    missing_candidates: DataFrame,
+    missing_records: DataFrame,
     missing_at_end: DataFrame,
     records: DataFrame,
     pairs: DataFrame,
@@ -28,7 +30,9 @@ def quality_gates(
     model_rows: DataFrame,
     n_predictors: int,
 ) -> DataFrame:
-    """`pairs` are the distinct (study, patient) of the final records."""
+    """One row per check. `records` are those downloaded, before duplicates are resolved; `pairs` are the
+    distinct (study, patient) of the final ones. The `missing_` frames list required cohorts that are absent
+    from the listing, after the size bound, among the records, and after deduplication."""
     rows = F.count("*")
     copies = rows - F.count_distinct("patient_id")
     full = F.avg((F.col("completeness_pct") >= 99.999).cast("int"))
@@ -37,7 +41,9 @@ def quality_gates(
         [
             gate(listing, "listed studies", rows, 400, lambda v, b: v > b),
             gate(missing_at_start, "required cohorts missing from the listing", rows, 0, lambda v, b: v == b),
+            gate(missing_candidates, "required cohorts missing after the size bound", rows, 0, lambda v, b: v == b),
             gate(records, "records", rows, 0, lambda v, b: v > b),
+            gate(missing_records, "required cohorts missing among the records", rows, 0, lambda v, b: v == b),
             gate(missing_at_end, "required cohorts missing after deduplication", rows, 0, lambda v, b: v == b),
             gate(pairs, "further studies of a patient", copies, 0, lambda v, b: v == b),
             gate(completeness, "share of full cells", full, 0.9, lambda v, b: v < b),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import ROWS_PER_TASK
+from .joins import ROWS_PER_TASK, lookup_join
 
 
 def _value_buckets(frame: DataFrame, order: str, n_buckets: int) -> DataFrame:
@@ -137,7 +137,7 @@ def exact_quantiles(
 def _attach_totals(placed: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     if not by:
         return placed.withColumn("_total", F.lit(totals.first()["_total"]))
-    return placed.join(totals, by)
+    return lookup_join(placed, totals, by)
 
 
 def _bucket_count(frame: DataFrame, n_rows: int | None, rows_per_task: int) -> int:

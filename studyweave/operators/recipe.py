@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,7 +100,8 @@ class Recipe(Estimator):
         fields = [f for f in dataset.schema.fields if f.name not in self.ids]
         nominal = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
         numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
-        medians = train_medians(dataset, numeric, self.keep)
+        run = uuid.uuid4().hex  # what `keep` writes for this fit belongs to it alone
+        medians = train_medians(dataset, numeric, lambda counts, name: self.keep(counts, f"{name}_{run}"))
         kept, with_rare = frequent_levels(dataset, nominal, self.threshold)
         levels = {c: kept[c] + ([OTHER] if c in with_rare and OTHER not in kept[c] else []) for c in nominal}
         encoded = dummies(pool_levels(impute(dataset.limit(0), medians), kept), levels)
@@ -116,6 +119,15 @@ class RecipeModel(Model):
         super().__init__()
         self.medians, self.kept, self.levels, self.features = medians, kept, levels, features
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """What was learned, as one line of JSON."""
+        learned = {"medians": self.medians, "kept": self.kept, "levels": self.levels, "features": self.features}
+        spark.createDataFrame([(json.dumps(learned),)], "value string").coalesce(1).write.text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "RecipeModel":
+        return cls(**json.loads(spark.read.text(path).first().value))
+
     def encode(self, frame: DataFrame) -> DataFrame:
         """Scalar feature columns."""
         return dummies(pool_levels(impute(frame, self.medians), self.kept), self.levels)

@@ -8,13 +8,13 @@ harmonised); all others are aggregates. What is a mere projection of a stage is
 
 from __future__ import annotations
 
-from functools import wraps
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as voc
-from ..operators import analytic, audit, cohort, completeness, harmonise, split, tables
+from ..operators import analytic, audit, cohort, completeness, gates, harmonise, split, tables
 from ..workspace import Workspace
 
 
@@ -40,12 +40,43 @@ class Cohort:
         listing: DataFrame,
         min_patients: int = 50,
         bound: float = 0.5,
+        required: tuple[str, ...] = voc.REQUIRED_COHORTS,
+        patterns=voc.COHORT_PATTERNS,
     ):
         self.workspace = workspace
         self.spark = workspace.spark
         self.records_in, self.roster_in, self.listing_in = records, roster, listing
         self.min_patients, self.bound = min_patients, bound
-        self.candidates = [c.lower() for c in voc.PREDICTOR_CONCEPTS]
+        self.required, self.patterns = required, patterns
+
+    @cached_property
+    def candidates(self) -> list[str]:
+        """The candidate predictors that the view has."""
+        return [c.lower() for c in voc.PREDICTOR_CONCEPTS if c.lower() in self.v_analytic().columns]
+
+    def gates(self) -> DataFrame:
+        """The checks between the steps, as rows."""
+
+        def missing(studies):
+            return cohort.missing_cohorts(studies, self.required, self.patterns)
+
+        return gates.quality_gates(
+            self.listing_in,
+            missing(self.studies()),
+            missing(self.candidate_studies()),
+            missing(self.study_patients().select("study_id").distinct()),
+            missing(self.study_table()),
+            self.clinical_long(),
+            self.attr_facts().select("study_id", "patient_id").distinct(),
+            self.completeness_wide(),
+            self.analytic_kept(),
+            len(self.predictors()),
+        )
+
+    def require(self) -> "Cohort":
+        """Itself, if all checks pass; else an error that names those that don't."""
+        gates.require(self.gates())
+        return self
 
     # Studies and records before duplicates are resolved.
 
@@ -115,8 +146,12 @@ class Cohort:
     # Completeness.
 
     @stage
+    def attr_facts(self):
+        """One row per patient, level and attribute: the only shuffle of the records that follows."""
+        return completeness.attr_facts(self.kept_records())
+
     def patient_facts(self):
-        return completeness.patient_facts(self.kept_records())
+        return completeness.patient_facts(self.attr_facts())
 
     @stage
     def completeness_wide(self):
@@ -138,7 +173,7 @@ class Cohort:
 
     @stage
     def patient_summary(self):
-        return tables.patient_summary(self.kept_records())
+        return tables.patient_summary(self.attr_facts().withColumnRenamed("value", "norm_value"))
 
     def tbl_studies(self):
         return tables.studies(self.study_table())
@@ -184,7 +219,7 @@ class Cohort:
 
     @stage
     def v_analytic(self):
-        return analytic.analytic_view(self.tables())
+        return analytic.analytic_view(self.tables(), wide=analytic.wide_facts(self.patient_facts()))
 
     def analytic_view(self) -> DataFrame:
         """The view under its name, for SQL users."""

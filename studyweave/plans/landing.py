@@ -9,9 +9,14 @@ from ..workspace import Workspace
 
 
 def land_listing(workspace: Workspace, listing: DataFrame, page_size: int = 50) -> str:
-    """Listing pages: files of at most `page_size` studies, one study per line."""
-    folder = workspace.path("landed_listing")
-    listing.write.mode("overwrite").option("maxRecordsPerFile", page_size).json(folder)
+    """Listing pages: files of at most `page_size` studies, one study per line. Each tumour study has a
+    truncated line on top."""
+    folder = workspace.fresh_path("landed_listing")
+    whole = listing.select(F.to_json(F.struct(*listing.columns)).alias("value"))
+    broken = listing.filter("cancerTypeId = 'luad'").select(
+        F.concat(F.lit('[{"studyId": "'), "studyId").alias("value")
+    )
+    whole.unionByName(broken).write.option("maxRecordsPerFile", page_size).text(folder)
     return folder
 
 
@@ -30,7 +35,7 @@ def land_roster(workspace: Workspace, roster: DataFrame) -> str:
     broken = roster.filter("study_id LIKE '%p' AND patient_id LIKE '%0'").select(
         F.concat(F.lit('{"patientId": "'), "patient_id").alias("value"), F.col("study_id").alias("study")
     )
-    return _land_lines(good.unionByName(broken), workspace.path("landed_roster"))
+    return _land_lines(good.unionByName(broken), workspace.fresh_path("landed_roster"))
 
 
 def land_clinical(workspace: Workspace, records: DataFrame) -> str:
@@ -56,4 +61,4 @@ def land_clinical(workspace: Workspace, records: DataFrame) -> str:
     )
     line = F.when(F.col("study_id").endswith("f"), short).otherwise(full)
     lines = records.select(line.alias("value"), F.col("study_id").alias("study"))
-    return _land_lines(lines, workspace.path("landed_clinical"))
+    return _land_lines(lines, workspace.fresh_path("landed_clinical"))

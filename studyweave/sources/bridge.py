@@ -29,7 +29,6 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.lower("o_orderstatus")
     return (
         spark.read.parquet(f"{sf_dir}/orders.parquet")
-        .filter(~((F.col("o_custkey") % 3 == 0) & (pri % 2 == 1)))
         .select(
             F.concat(F.lit("st_"), F.substring("o_orderpriority", 1, 1), F.lit("_"), status).alias("study_id"),
             pri.alias("pri"),

@@ -6,7 +6,6 @@ lie in one sub-folder per study (``study=<id>``), which names the study where a
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +18,9 @@ CLINICAL_SCHEMA = (
     "studyId string, patientId string, sampleId string, clinicalAttributeId string, attrId string, "
     "value string, dataLevel string"
 )
+RECORD_SCHEMA = (
+    "study_id string, patient_id string, sample_id string, attr_id string, value string, data_level string"
+)
 BAD = "_corrupt_record"
 
 
@@ -42,15 +44,25 @@ def flatten(frame: DataFrame, separator: str = ".") -> DataFrame:
 
 
 def read_listing(
-    spark: SparkSession, folder: str, schema: str = LISTING_SCHEMA, multi_line: bool = True
-) -> DataFrame:
-    """Union of all listing pages; an empty page adds nothing.
+    spark: SparkSession, folder: str, schema: str = LISTING_SCHEMA, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(studies, quarantine): the union of all listing pages, and the texts that could not be read or do
+    not name a study (the first column of `schema`).
 
-    A page is one JSON array over any number of lines. Without `multi_line` each line is a study or
-    an array of them, and large files can be split.
+    Each line is a study or an array of them, and large files can be split. With `multi_line` a page
+    is one JSON array over any number of lines, and one task reads it. An empty page adds nothing.
     """
-    pages = spark.read.schema(schema).option("multiLine", multi_line).json(folder)
-    return flatten(pages.select(*T.StructType.fromDDL(schema).names))
+    pages = (
+        spark.read.schema(f"{schema}, {BAD} string")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BAD)
+        .option("multiLine", multi_line)
+        .json(folder)
+    )
+    names = T.StructType.fromDDL(schema).names
+    bad = F.col(BAD).isNotNull() | F.col(names[0]).isNull()
+    text = F.coalesce(BAD, F.to_json(F.struct(*names))).alias(BAD)
+    return flatten(pages.filter(~bad).select(*names)), pages.filter(bad).select(text)
 
 
 def _read_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -99,18 +111,24 @@ def repair_clinical(frame: DataFrame) -> DataFrame:
     )
 
 
-def cached_records(spark: SparkSession, folder: str, build, studies: DataFrame) -> DataFrame:
-    """Records from the cache folder, built first if absent, of the current studies only.
+def _written_whole(spark: SparkSession, folder: str) -> bool:
+    """Whether a write into the folder came to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(mark)
+
+
+def cached_records(
+    spark: SparkSession, folder: str, build, studies: DataFrame, schema: str = RECORD_SCHEMA
+) -> DataFrame:
+    """Records from the cache folder, of the current studies only. A folder that is absent, or whose
+    write was broken off, is built first.
 
-    Rows are rebalanced by study before the write: small studies share a task, a study that holds
+    Both ways read with the declared schema, as a study id that looks like a number would else become
+    one. Rows are rebalanced by study before the write: small studies share a task, a study that holds
     much of the data is split over several.
     """
-    try:
-        cache = spark.read.parquet(folder)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        fresh = build()
-        fresh.hint("rebalance", "study_id").write.partitionBy("study_id").parquet(folder)
-        cache = spark.read.schema(fresh.schema).parquet(folder).select(*fresh.columns)
-    return of_studies(cache, studies)
+    columns = T.StructType.fromDDL(schema).names
+    if not _written_whole(spark, folder):
+        fresh = build().select(*columns).hint("rebalance", "study_id")
+        fresh.write.mode("overwrite").partitionBy("study_id").parquet(folder)
+    return of_studies(spark.read.schema(schema).parquet(folder).select(*columns), studies)

@@ -48,3 +48,14 @@ class Workspace:
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
+
+    def fresh_path(self, name: str) -> str:
+        """A path that nothing else uses."""
+        return self.path(f"{name}-{uuid.uuid4().hex}")
+
+    def close(self) -> None:
+        """Removes the folder: nothing that was read from it can be read again."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+        self._tables.clear()
+        self._rows.clear()

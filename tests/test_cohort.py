@@ -52,7 +52,7 @@ def test_patient_facts_keep_the_smallest_value(spark):
     records = spark.createDataFrame(
         data, "study_id string, patient_id string, sample_id string, attr_id string, value string, data_level string, listed boolean"
     )
-    assert rows(completeness.patient_facts(harmonise.harmonise(records)).select("value")) == [("a",)]
+    assert rows(completeness.patient_facts(completeness.attr_facts(harmonise.harmonise(records))).select("value")) == [("a",)]
 
 
 def test_completeness_counts_rostered_patients_without_records(spark):
@@ -170,8 +170,19 @@ def test_listing_pages(spark, tmp_path):
     (tmp_path / "p0.json").write_text(json.dumps([{"studyId": "a", "name": "A", "more": {"x": 1}}, {"studyId": "b"}]))
     (tmp_path / "p1.json").write_text("[]")
     expected = [("a", "A", None), ("b", None, None)]
-    assert rows(landed.read_listing(spark, str(tmp_path))) == expected
-    assert rows(landed.read_listing(spark, str(tmp_path), multi_line=False)) == expected
+    for multi_line in (True, False):
+        studies, bad = landed.read_listing(spark, str(tmp_path), multi_line=multi_line)
+        assert rows(studies) == expected
+        assert bad.count() == 0
+
+
+def test_truncated_listing_pages_are_set_aside(spark, tmp_path):
+    (tmp_path / "p0.json").write_text(json.dumps([{"studyId": "a", "name": "A"}]))
+    (tmp_path / "p1.json").write_text('[{"studyId": "b", "name"')
+    for multi_line in (True, False):
+        studies, bad = landed.read_listing(spark, str(tmp_path), multi_line=multi_line)
+        assert rows(studies) == [("a", "A", None)]
+        assert [r[0].strip() for r in bad.collect()] == ['[{"studyId": "b", "name"']
 
 
 def test_unreadable_lines_are_set_aside(spark, tmp_path):
@@ -206,13 +217,56 @@ def test_cache_is_built_once_and_filtered_to_current_studies(spark, tmp_path):
 
     def build():
         built.append(1)
-        return spark.createDataFrame([("a", "p", "x"), ("b", "q", "y")], "study_id string, patient_id string, value string")
+        return spark.createDataFrame([("01", "p", "x"), ("02", "q", "y")], kind)
 
-    studies = spark.createDataFrame([("a",)], "study_id string")
-    folder = str(tmp_path / "cache")
+    kind = "study_id string, patient_id string, value string"
+    studies = spark.createDataFrame([("01",)], "study_id string")
+    folder = tmp_path / "cache"
     for _ in range(2):
-        assert rows(landed.cached_records(spark, folder, build, studies)) == [("a", "p", "x")]
+        assert rows(landed.cached_records(spark, str(folder), build, studies, kind)) == [("01", "p", "x")]
     assert built == [1]
+    (folder / "_SUCCESS").unlink()  # a write that was broken off
+    assert rows(landed.cached_records(spark, str(folder), build, studies, kind)) == [("01", "p", "x")]
+    assert built == [1, 1]
+
+
+def test_each_fit_learns_from_its_own_rows(spark, tmp_path):
+    work = Workspace(spark, str(tmp_path))
+    write = lambda frame, name: work.table(name, lambda: frame)
+    frame = lambda ages: spark.createDataFrame([(str(k), "1", a, "x") for k, a in enumerate(ages)], "patient_key string, os_event string, age double, sex string")
+    one, two = (recipe.Recipe(keep=write).fit(frame(ages)) for ages in ([1.0, 2.0, 3.0], [100.0, 200.0, 300.0]))
+    assert (one.medians["age"], two.medians["age"]) == (2.0, 200.0)
+    two.save(spark, str(tmp_path / "recipe"))
+    again = recipe.RecipeModel.load(spark, str(tmp_path / "recipe"))
+    assert (again.medians, again.levels, again.features) == (two.medians, two.levels, two.features)
+
+
+def test_each_tuning_scores_its_own_rows(spark, tmp_path):
+    from studyweave.operators import forest
+
+    work = Workspace(spark, str(tmp_path))
+    write = lambda frame, name: work.table(name, lambda: frame)
+    means = []
+    for sign in (1, -1):
+        data = [(str(k), str(k % 2), float(sign * (k % 2) * (k % 7) + k % 5), "x", k // 2 % 2) for k in range(60)]
+        train = spark.createDataFrame(data, "patient_key string, os_event string, age double, sex string, fold int")
+        means.append(forest.tune(train, [(1, 1)], n_trees=3, n_folds=2, keep=write)[0][2])
+    assert means[0] != means[1]
+
+
+def test_closed_workspace_leaves_nothing(spark, tmp_path):
+    work = Workspace(spark, str(tmp_path))
+    work.table("t", lambda: spark.range(3))
+    work.close()
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_null_keys_break_a_primary_key_only(spark):
+    from studyweave.operators import constraints
+
+    frame = spark.createDataFrame([(None,), ("a",), ("a",), ("b",)], "k string")
+    assert constraints._repeats(frame, ("k",), True).first().n == 2
+    assert constraints._repeats(frame, ("k",), False).first().n == 1
 
 
 def test_workspace_writes_a_stage_once(spark, tmp_path):

@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import compare, connect, types
+from studyweave.plans import oracles
 from studyweave.plans import queries as registry
 
 SF = "/root/testdata/sf0.01"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.callables(), oracles.sql_texts()
 
 
 @pytest.fixture(scope="module")
@@ -24,23 +25,22 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_queries_without_sql_are_the_model_ones():
     assert sorted(set(QUERIES) - set(SQL)) == [
-        "features", "perm_importance", "rf_confusion", "rf_fit", "rf_grid", "rf_metrics", "rf_predictions", "rf_roc",
-        "rf_tune",
+        "perm_importance", "rf_confusion", "rf_fit", "rf_metrics", "rf_predictions", "rf_roc", "rf_tune", "table_columns",
     ]
 
 
 def test_golden_counts(spark):
     build = registry.build_for(spark, SF)
-    assert build.records_in.count() == 73_508
-    assert build.clinical_long().count() == 70_963
+    assert build.records_in.count() == 92_715
+    assert build.clinical_long().count() == 89_758
     copies = [r.n_studies for r in QUERIES["duplicate_audit"](spark, SF).collect()]
-    assert (len(copies), max(copies)) == (1_440, 14)
+    assert (len(copies), max(copies)) == (1_498, 14)
     sizes = {r.study_id: r.n_patients for r in build.study_table().collect()}
-    assert sizes == {"st_1_f": 483, "st_2_f": 475, "st_2_o": 251, "st_2_p": 151, "st_4_f": 52}
-    assert build.kept_records().count() == 12_724
+    assert sizes == {"st_1_f": 722, "st_1_o": 201, "st_2_f": 104, "st_3_f": 364}
+    assert build.kept_records().count() == 12_904
     trade = {r.n_vars: (r.n_studies, r.n_patients, r.information) for r in build.tradeoff().collect()}
-    assert [trade[k] for k in range(1, 6)] == [(5, 1326, 1326), (5, 1326, 2652), (5, 1326, 3978), (1, 455, 1820), (0, 0, 0)]
-    assert build.predictors() == ["sex", "age", "er_status"]
+    assert [trade[k] for k in range(1, 6)] == [(4, 1308, 1308), (4, 1308, 2616), (4, 1308, 3924), (2, 1020, 4080), (2, 1020, 5100)]
+    assert build.predictors() == ["sex", "er_status", "age", "t_stage", "tumor_stage"]
 
 
 def test_the_two_completeness_measures_agree(spark):

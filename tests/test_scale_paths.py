@@ -107,6 +107,8 @@ def test_roc_and_auc(spark, rows_per_task):
     wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
     assert evaluate.roc_auc(counts, rows_per_task=rows_per_task).first().auc == pytest.approx(wins)
     points = evaluate.roc_points(counts, rows_per_task).collect()
+    assert [(p.sensitivity, p.specificity) for p in points if p.threshold is None] == [(0.0, 1.0)]
+    points = [p for p in points if p.threshold is not None]
     assert len(points) == len({s for s, _ in data})
     for p in points:
         assert p.sensitivity == pytest.approx(sum(s >= p.threshold for s in pos) / len(pos))
