@@ -97,11 +97,11 @@ def _evidence(chances: np.ndarray, weight: int, batches: Iterator[pa.RecordBatch
 
 
 def identify(
-    spark: SparkSession, pages: DataFrame, documents: DataFrame, url_col: str = "url", html_col: str = "html", weight: int = 48, pull: float = 10.0, out: str = "language"
+    spark: SparkSession, pages: DataFrame, model: tuple[list[str], np.ndarray], url_col: str = "url", html_col: str = "html", weight: int = 48, pull: float = 10.0, out: str = "language"
 ) -> DataFrame:
     """All columns of `pages`, and `out` (in place of a column of that name): a struct of lang, confidence,
-    text_lang, declared, suffix and host. pull: how many pages a coarser level counts as."""
-    langs, chances = fit(documents)
+    text_lang, declared, suffix and host. model: of `fit`. pull: how many pages a coarser level counts as."""
+    langs, chances = model
     size = len(langs)
     plain = pages.select(*[c for c in pages.columns if c != out])
     name = host(F.coalesce(F.col(url_col).cast("string"), F.lit("")))

@@ -68,8 +68,14 @@ def op7_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return language.identify(spark, pages, _table(spark, sf_dir, "documents")).select("page_id", "language.*")
+    """Pages, and documents, which have no markup and whose source stands for the host."""
+    pages, documents = (_table(spark, sf_dir, name) for name in ("pages", "documents"))
+    model, number = language.fit(documents), F.lit(None).cast("long")
+    of_pages = language.identify(spark, pages.select("page_id", number.alias("doc_id"), "url", "html"), model)
+    address = F.concat(F.lit("source://"), "source").alias("url")
+    plain = documents.select(number.alias("page_id"), "doc_id", address, F.col("text").alias("html"))
+    found = [x.select(F.col("page_id").cast("long"), F.col("doc_id").cast("long"), "language.*") for x in (of_pages, language.identify(spark, plain, model))]
+    return found[0].unionByName(found[1])
 
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]

@@ -214,7 +214,7 @@ def test_language_fusion_matches_its_formula(spark):
         rows.append((k, f"https://{'h' + lang if k % 3 else 'mixed'}.site.{'de' if lang == 'bb' else 'com'}/", f"{said}<script>zwei drei</script><p>{say(lang, rng.choice([0, 1, 30]))}</p>", "old"))
     rows += [(70, None, None, "old"), (71, "", "", "old"), (None, "x://haa.site.com", '<html lang="aa">', "old")]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string, language string")
-    out = language.identify(spark, pages, docs)
+    out = language.identify(spark, pages, language.fit(docs))
     assert out.columns == ["page_id", "url", "html", "language"]
     got = {r.page_id: r.language for r in out.collect()}
     langs, chances = language.fit(docs)
@@ -239,7 +239,7 @@ def test_language_fusion_matches_its_formula(spark):
         assert got[page].lang == langs[int(np.argmax(odds))]
         assert got[page].confidence == pytest.approx(odds.max() / odds.sum())
         assert (got[page].declared, got[page].suffix, got[page].host) == (keys["said"], keys["suffix"], keys["host"])
-    assert language.identify(spark, spark.createDataFrame([], pages.schema), docs).collect() == []
-    nothing = language.identify(spark, pages, spark.createDataFrame([], docs.schema)).collect()
+    assert language.identify(spark, spark.createDataFrame([], pages.schema), (langs, chances)).collect() == []
+    nothing = language.identify(spark, pages, language.fit(spark.createDataFrame([], docs.schema))).collect()
     assert len(nothing) == len(rows)
     assert nothing[0].language.lang is None
