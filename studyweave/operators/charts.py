@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import lookup_join
 from .ordered import exact_quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -26,8 +27,7 @@ def box_stats(frame: DataFrame, by: list[str], value: str, keep) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        held["counts"]
-        .join(quartiles, by)
+        lookup_join(held["counts"], quartiles, by)
         .groupBy(*by)
         .agg(
             F.sum("_n").alias("n"),

@@ -146,11 +146,18 @@ def all_violations(tables: dict[str, DataFrame]) -> DataFrame:
     checks = {
         "primary key": primary_key_violations,
         "unique": unique_violations,
-        "not null": not_null_violations,
-        "check": check_violations,
         "foreign key": foreign_key_violations,
     }
-    return _stack([check(tables).withColumn("kind", F.lit(kind)) for kind, check in checks.items()])
+    keyed = [check(tables).withColumn("kind", F.lit(kind)) for kind, check in checks.items()]
+    return _stack([*keyed, *[_row_violations(t, tables[t.name]) for t in TABLES]])
+
+
+def _row_violations(table: Table, frame: DataFrame) -> DataFrame:
+    """Both kinds of row rules of a table in one pass."""
+    rules = [(f"not null:{c}", f"{c} IS NULL") for c in table.required]
+    rules += [(f"check:{c}", f"NOT ({ok})") for c, ok in table.checks]
+    kind, rule = (F.substring_index("rule", ":", n) for n in (1, -1))
+    return _counted(table, frame, rules).select("tbl", rule.alias("rule"), "n_violations", kind.alias("kind"))
 
 
 def reconcile(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -74,11 +74,14 @@ def split_join(
     heavy = weights.filter(F.col("_rows") > rows_per_task).select(
         *on, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_pieces")
     )
-    def join(left, right, keys):
-        return left.join(right.hint("shuffle_hash") if hashed else right, keys, how)
+    keys = heavy.collect()  # at most rows / rows_per_task, so that the weights are computed once
 
-    if heavy.isEmpty():
+    def join(left, right, by):
+        return left.join(right.hint("shuffle_hash") if hashed else right, by, how)
+
+    if not keys:
         return join(facts, keyed, on)
+    heavy = facts.sparkSession.createDataFrame(keys, heavy.schema)
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     # A NULL key meets nothing, so any piece will do for it.
     keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])

@@ -77,6 +77,21 @@ def test_cohort_label(spark):
     assert apply(spark, ids, cohort_of(F.col("v"))) == ["TCGA", "METABRIC", "other_study", "x_brca_tcga"]
 
 
+def test_fixed_lists_are_the_published_ones():
+    """The SQL twins read these lists, too, so they are pinned here."""
+    codes = ["", "NA", "N/A", "NaN", "Unknown", "unknown", "UNKNOWN", "[Not Available]", "[Unknown]", "[Not Applicable]"]
+    codes += ["[Not Evaluated]", "[Discrepancy]", "[Pending]", "[Completed]", "[Redacted]", "[Missing]"]
+    assert list(voc.MISSING_CODES) == codes
+    assert list(voc.OUTCOME_ATTRS) == ["OS_STATUS", "OS_MONTHS"]
+    pairs = [f"{kind}_{what}" for kind in ("OS", "DFS", "DSS", "PFS", "RFS") for what in ("STATUS", "MONTHS")]
+    assert set(voc.ALL_OUTCOME_ATTRS) == {*pairs, "VITAL_STATUS"}
+    concepts = ["AGE", "SEX", "TUMOR_STAGE", "T_STAGE", "N_STAGE", "M_STAGE", "GRADE", "TUMOR_SIZE", "ER_STATUS"]
+    assert set(voc.PREDICTOR_CONCEPTS) == {*concepts, "PR_STATUS", "HER2_STATUS"}
+    mapping = dict(voc.HARMONIZATION)
+    for raw, concept in (("AGE_AT_DIAGNOSIS", "AGE"), ("ER_IHC", "ER_STATUS"), ("ER_STATUS_BY_IHC", "ER_STATUS"), ("PATH_T_STAGE", "T_STAGE")):
+        assert mapping[raw] == concept
+
+
 def test_harmonization_map_is_a_function(spark):
     assert len(voc.HARMONIZATION) == 29
     assert len(dict(voc.HARMONIZATION)) == 29
