@@ -4,8 +4,8 @@ A listed rule holds for its host and all subdomains of it, if the path starts wi
 wins (host and path together; of equal ones, block). The labels to learn from are these verdicts and, for
 URLs that no listed rule decides, given ones (of several for an id, block).
 
-From labelled URLs Spark's FP-growth mines combinations of URL tokens that come with `block`: of at least
-`support` of the rows and `confidence`. Each label and set of tokens that is more general, and no less sure,
+From labelled URLs Spark's FP-growth mines combinations of URL tokens that come with `block`: in at least a share
+of `support` of the rows, `least` rows, and with `confidence`. Each label and set of tokens that is more general, and no less sure,
 prunes the longer one. A URL without a listed rule is blocked if all tokens of a mined rule are in it. Rules
 meet URLs through an inverted index: each rule lies under its rarest token, which joins the URLs' tokens.
 
@@ -65,10 +65,13 @@ def listed(hosts: Column, paths: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, verdict
 
 
-def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9) -> DataFrame:
-    """Rules (items, confidence, support) for `block`, from the columns tokens and verdict."""
+def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, least: int = 20) -> DataFrame:
+    """Rules (items, confidence, support) for `block`, from the columns tokens and verdict. A rule rests on a
+    share of `support` of the rows and on `least` rows: with few rows, all that occurs would be frequent."""
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    baskets = stored(labelled.sparkSession, baskets, "baskets")
+    share = min(1.0, max(support, least / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
     sure = model.associationRules.filter(F.element_at("consequent", 1) == f"{LABEL}block")
     rules = stored(labelled.sparkSession, sure.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "rules")
     wide, narrow = rules.alias("wide"), rules.alias("narrow")
@@ -79,7 +82,7 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9) -
     return rules.join(worse.select("items").distinct(), "items", "left_anti")
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", support: float = 0.005, confidence: float = 0.9) -> DataFrame:
+def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", support: float = 0.005, confidence: float = 0.9, least: int = 20) -> DataFrame:
     """labels: columns id and verdict. Returns all columns of `pages`, and host, path, rule, verdict and mined (the tokens of the surest mined rule that
     fits); columns of those names are replaced."""
     own = ("host", "path", "rule", "verdict", "mined")
@@ -93,7 +96,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
         labelled = labelled.join(given, "id", "left")
         labelled = labelled.withColumn("listed", F.coalesce("listed", "given"))
     labelled = labelled.filter("listed is not null").select("tokens", F.col("listed").alias("verdict"))
-    mined = stored(spark, mine(labelled, support, confidence), "mined")
+    mined = stored(spark, mine(labelled, support, confidence, least), "mined")
     # open URLs by their combination of tokens; a rule waits under its rarest token
     known = known.withColumn("__key", F.when(F.col("__listed").isNull(), F.xxhash64(F.array_sort("__tokens"))))
     open_ = known.filter(F.col("__listed").isNull()).groupBy("__key").agg(F.first("__tokens").alias("tokens"))
