@@ -7,8 +7,9 @@ least least * n / (2 * m + (1 - least) * n) for a template of n shingles. With o
 bands as give a collision with chance `recall` at that similarity (see `bands`) retrieve the template from the
 window. Then exact containment is computed on the words themselves.
 
-All steps are DataFrame operations. A document without any shingle of a template cannot contain one; such
-documents, which are most, are left out before windows are made. Templates are given values, so all that
+All steps are DataFrame operations. A text that lacks certain words cannot hold `least` of a template (see
+`required`), nor can one without any shingle of a template; such documents, which are most, are left out
+before windows are made. Templates are given values, so all that
 depends on them is bounded: `most` shingles at the most.
 
 Words are what a text has between anything but letters, digits and points, in lower case; points at the end go.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,10 +73,6 @@ def minimum(hashes: Column, band: Column) -> Column:
     return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band)))
 
 
-def _minima(bands: int) -> Callable[[Column], Column]:
-    return lambda hashes: F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda band: minimum(hashes, band))
-
-
 def size_class(shingles: int) -> int:
     return 1 << max(0, shingles - 1).bit_length()
 
@@ -85,6 +83,18 @@ def bands(shingles: int, least: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similar))
 
 
+def required(shingles: list[str], least: float) -> list[str]:
+    """Words, long ones first, of which a text with `least` of the shingles has at least one: they are in more
+    shingles than may be missing."""
+    may_miss = len(shingles) - math.ceil(least * len(shingles) - 1e-9)
+    chosen: list[str] = []
+    for word in sorted({w for s in shingles for w in s.split()}, key=lambda w: (-len(w), w)):
+        if sum(any(w in s.split() for w in chosen) for s in shingles) > may_miss:
+            break
+        chosen.append(word)
+    return chosen
+
+
 def scan(spark: SparkSession, documents: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, recall: float = 0.999, most: int = 20_000) -> DataFrame:
     """A row per document and template found: its id, license, containment (the best), first_word (of the first
     window that has it) and windows (how many have it)."""
@@ -101,14 +111,17 @@ def scan(spark: SparkSession, documents: DataFrame, templates: dict[str, str] |
     told = F.array(*[F.lit(x) for x in sorted({x for r in rows for x in r[2]})])
     runs = bound(word_array(F.col(text_col).cast("string")), _runs)
     # as rows of a generator the runs are computed once, and a document without a known one has no row
+    told_words = sorted({w for r in rows for w in required(r[2], least)})
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    documents = documents.filter(bound(text, lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in told_words], F.lit(False))))
     held = documents.select(F.col(id_col).alias("__id"), F.explode(F.filter(F.array(runs), lambda r: F.arrays_overlap(r, told))).alias("__runs"))
-    windows = None
-    for m, count in classes.items():
-        each = held.select("__id", "__runs", F.explode(F.sequence(F.lit(0), F.size("__runs") - 1, F.lit(m))).alias("first_word"))
-        each = each.select("__id", "first_word", F.lit(m).alias("m"), F.slice("__runs", F.col("first_word") + 1, 2 * m).alias("runs"))
-        each = each.select("*", F.posexplode(bound(F.transform("runs", lambda x: F.xxhash64(x)), _minima(count))).alias("at", "low"))
-        windows = each if windows is None else windows.union(each)
-    keys = windows.withColumn("band", F.col("at") + 1)
+    # the windows of all size classes, in one pass
+    of_class = lambda m, count: lambda k: F.struct(k.alias("first_word"), F.lit(m).alias("m"), F.lit(count).alias("count"))
+    each = [F.transform(F.sequence(F.lit(0), F.size("__runs") - 1, F.lit(m)), of_class(m, count)) for m, count in classes.items()]
+    windows = held.select("__id", "__runs", F.inline(F.flatten(F.array(*each))))
+    windows = windows.select("__id", "first_word", "m", "count", F.slice("__runs", F.col("first_word") + 1, 2 * F.col("m")).alias("runs"))
+    lows = bound(F.transform("runs", lambda x: F.xxhash64(x)), lambda hashes: F.transform(F.sequence(F.lit(1), "count"), lambda band: minimum(hashes, band)))
+    keys = windows.select("__id", "first_word", "m", "runs", F.posexplode(lows).alias("at", "low")).withColumn("band", F.col("at") + 1)
     met = keys.join(F.broadcast(sought), ["m", "band", "low"])  # given templates, bounded by `most`
     share = F.size(F.array_intersect("known", "runs")) / F.size("known")
     sure = met.select("__id", "license", "first_word", share.alias("share")).filter(F.col("share") >= least).distinct()

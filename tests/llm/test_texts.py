@@ -173,7 +173,7 @@ def test_urls_by_listed_and_mined_rules(spark):
     urls += [f"https://{rng.choice(['m.', ''])}{rng.choice(['spam', 'good', 'shop'])}.example.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['de', 'en', 'fr'])}/{rng.randint(1, 99)}" for _ in range(400)]
     rows = [(k, u, "mine") for k, u in enumerate(urls)] + [(3, urls[3], "mine"), (None, "x://spam.example.org/en/1", "mine")]
     labels = [(k, "block" if "spam" in (u or "") else "allow") for k, u in enumerate(urls) if k % 2] + [(None, "block"), (1, "block"), (2, None)]
-    judge = lambda some, marks: url_rules.judge(spark, spark.createDataFrame(some, "page_id int, url string, verdict string"), RULES, spark.createDataFrame(marks, "id int, verdict string"), support=0.02)
+    judge = lambda some, marks: url_rules.judge(spark, spark.createDataFrame(some, "page_id int, url string, verdict string"), RULES, spark.createDataFrame(marks, "id int, verdict string"), support=0.02, least=1)
     out = judge(rows, labels)
     assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict", "mined"]
     got = out.collect()
@@ -215,7 +215,7 @@ def test_language_fusion_matches_its_formula(spark):
     rows += [(70, None, None, "old"), (71, "", "", "old"), (None, "x://haa.site.com", '<html lang="aa">', "old")]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string, language string")
     out = language.identify(spark, pages, language.fit(docs))
-    assert out.columns == ["page_id", "url", "html", "language"]
+    assert out.columns == ["page_id", "url", "language"]
     got = {r.page_id: r.language for r in out.collect()}
     langs, chances = language.fit(docs)
     assert langs == ["aa", "bb"]
@@ -243,3 +243,12 @@ def test_language_fusion_matches_its_formula(spark):
     nothing = language.identify(spark, pages, language.fit(spark.createDataFrame([], docs.schema))).collect()
     assert len(nothing) == len(rows)
     assert nothing[0].language.lang is None
+
+
+def test_required_words_are_in_any_sufficient_part():
+    for text in licenses.TEMPLATES.values():
+        words = licenses.words(text)
+        shingles = sorted({" ".join(words[k : k + 3]) for k in range(len(words) - 2)})
+        chosen = licenses.required(shingles, 0.8)
+        without = [s for s in shingles if not set(chosen) & set(s.split())]
+        assert len(without) < 0.8 * len(shingles)
