@@ -97,8 +97,9 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
         labelled = labelled.withColumn("listed", F.coalesce("listed", "given"))
     labelled = labelled.filter("listed is not null").select("tokens", F.col("listed").alias("verdict"))
     mined = stored(spark, mine(labelled, support, confidence, least), "mined")
-    # open URLs by their combination of tokens; a rule waits under its rarest token
-    known = known.withColumn("__key", F.when(F.col("__listed").isNull(), F.xxhash64(F.array_sort("__tokens"))))
+    # open URLs by their combination of tokens, the others spread evenly; a rule waits under its rarest token
+    combination, apart = F.xxhash64(F.array_sort("__tokens")), F.xxhash64(F.col(id_col), url, F.lit(1))
+    known = known.withColumn("__key", F.when(F.col("__listed").isNull(), combination).otherwise(apart))
     open_ = known.filter(F.col("__listed").isNull()).groupBy("__key").agg(F.first("__tokens").alias("tokens"))
     index = open_.select("__key", "tokens", F.explode("tokens").alias("token"))
     counts = index.groupBy("token").count()
@@ -106,6 +107,6 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
     rarest = places.groupBy("items", "confidence", "support").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
     hits = index.join(rarest, "token").filter(F.size(F.array_except("items", "tokens")) == 0)
     best = hits.groupBy("__key").agg(F.max_by("items", F.struct("confidence", "support", F.array_join("items", " "))).alias("mined"))
-    judged = known.join(best, "__key", "left")
+    judged = known.join(best, "__key", "left").withColumn("mined", F.when(F.col("__listed").isNull(), F.col("mined")))
     verdict = F.coalesce("__listed", F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(*plain.columns, "host", "path", "rule", verdict.alias("verdict"), "mined")
