@@ -33,6 +33,8 @@ from .rows import batch, stored, utf8
 from .url_rules import host
 
 BUCKETS = 1 << 14
+#: Bytes whose triples are counted at once, to bound memory.
+PIECE = 1 << 18
 _HIDDEN = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 _ROOT = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 _COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -51,19 +53,21 @@ def declared(html: bytes) -> str:
 
 def triples(text: bytes) -> np.ndarray:
     """How often each bucket of byte triples occurs; blanks are one, ASCII letters lower."""
-    codes = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", np.uint8).astype(np.int64)
-    if len(codes) < 3:
-        return np.zeros(BUCKETS, np.int64)
-    mixed = codes[:-2] * 7919 + codes[1:-1] * 104_729 + codes[2:] * 1_299_709
-    return np.bincount((mixed ^ (mixed >> 11)) % BUCKETS, minlength=BUCKETS)
+    joined = b" " + b" ".join(text.lower().split()) + b" "
+    counts = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(joined) - 2, PIECE):
+        codes = np.frombuffer(joined[at : at + PIECE + 2], np.uint8).astype(np.int32)
+        mixed = codes[:-2] * 7919 + codes[1:-1] * 104_729 + codes[2:] * 1_299_709
+        counts += np.bincount((mixed ^ (mixed >> 11)) % BUCKETS, minlength=BUCKETS)
+    return counts
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows text, lang: counts of a partition."""
     sums: dict[str, np.ndarray] = {}
     for got in batches:
-        for text, lang in zip(*(c.to_pylist() for c in got.columns), strict=True):
-            sums[lang] = sums.get(lang, 0) + triples(text)
+        for text, lang in zip(got.column(0), got.column(1).to_pylist(), strict=True):
+            sums[lang] = sums.get(lang, 0) + triples(text.as_py())
     for lang, counts in sums.items():
         at = np.flatnonzero(counts)
         yield batch(_COUNTS, [[lang] * len(at), at, counts[at]])
@@ -86,7 +90,8 @@ def _evidence(chances: np.ndarray, weight: int, batches: Iterator[pa.RecordBatch
     """The last column, a page, becomes its declared language and the share of each language by its text."""
     for got in batches:
         said, shares = [], []
-        for html in got.column(got.num_columns - 1).to_pylist():
+        for html in got.column(got.num_columns - 1):
+            html = html.as_py()
             counts = triples(shown(html))
             score = counts @ chances * min(1, weight / max(1, counts.sum()))
             share = np.exp(score - score.max()) if score.size else score
@@ -99,18 +104,19 @@ def _evidence(chances: np.ndarray, weight: int, batches: Iterator[pa.RecordBatch
 def identify(
     spark: SparkSession, pages: DataFrame, model: tuple[list[str], np.ndarray], url_col: str = "url", html_col: str = "html", weight: int = 48, pull: float = 10.0, out: str = "language"
 ) -> DataFrame:
-    """All columns of `pages`, and `out` (in place of a column of that name): a struct of lang, confidence,
-    text_lang, declared, suffix and host. model: of `fit`. pull: how many pages a coarser level counts as."""
+    """All columns of `pages` but the page itself, which is not passed on, and `out` (in place of a column
+    of that name): a struct of lang, confidence, text_lang, declared, suffix and host. model: of `fit`. pull: how many pages a coarser level counts as."""
     langs, chances = model
     size = len(langs)
-    plain = pages.select(*[c for c in pages.columns if c != out])
+    kept = [c for c in pages.columns if c not in (out, html_col)]
     name = host(F.coalesce(F.col(url_col).cast("string"), F.lit("")))
-    rows = plain.withColumn("__host", name).withColumn("__domain", F.substring_index("__host", ".", -2)).withColumn("__suffix", F.substring_index("__host", ".", -1))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    seen = rows.withColumn("__html", utf8(html_col)).mapInArrow(partial(_evidence, chances, weight), f"{kinds}, __declared string, __share array<double>")
+    rows = pages.select(*kept, utf8(html_col).alias("__html")).withColumn("__host", name).withColumn("__domain", F.substring_index("__host", ".", -2)).withColumn("__suffix", F.substring_index("__host", ".", -1))
+    rows = rows.select(*[c for c in rows.columns if c != "__html"], "__html")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    seen = rows.mapInArrow(partial(_evidence, chances, weight), f"{kinds}, __declared string, __share array<double>")
     if not size:
         empty = F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.col("__declared").alias("declared"), F.col("__suffix").alias("suffix"), F.col("__host").alias("host"))
-        return seen.select(*plain.columns, empty.alias(out))
+        return seen.select(*kept, empty.alias(out))
     key = ["__host", "__domain", "__suffix", "__declared"]
     tagged = stored(spark, seen, "evidence")
     cells = stored(spark, tagged.groupBy(*key).agg(*[F.sum(F.col("__share")[k]).alias(f"s{k}") for k in range(size)]), "cells")
@@ -136,10 +142,10 @@ def identify(
 
     parts = zip(share, prior, given("__declared"), given("__suffix"), strict=True)
     logs = F.array(*[F.log(F.greatest(s, F.lit(1e-300))) + F.log(p) + F.log(d) + F.log(x) for s, p, d, x in parts])
-    judged = joined.select(*plain.columns, "__share", *key, F.explode(F.array(logs)).alias("__logs"))
+    judged = joined.select(*kept, "__share", *key, F.explode(F.array(logs)).alias("__logs"))
     best = lambda values: F.element_at(F.array(*map(F.lit, langs)), F.array_position(values, F.array_max(values)).cast("int"))
     confidence = 1 / F.aggregate("__logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("__logs")))
     fused = F.struct(
         best(F.col("__logs")).alias("lang"), confidence.alias("confidence"), best(F.col("__share")).alias("text_lang"), F.col("__declared").alias("declared"), F.col("__suffix").alias("suffix"), F.col("__host").alias("host")
     )
-    return judged.select(*plain.columns, fused.alias(out))
+    return judged.select(*kept, fused.alias(out))
