@@ -727,7 +727,7 @@ def majority_baseline(c):
 
 
 # The forest. The final fit and the importance grow the library's 500 trees. Tuning grows fewer: its 80 fits
-# of 500 trees would take over an hour on eight cores at sf0.1; see README.
+# of 500 trees would take over 76 minutes on eight cores at sf0.1; see README.
 TUNING_TREES = 10
 
 
