@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded first: case, accents, letters of other scripts that look Latin, digits and signs that stand
-for letters; `l` and `1` fold to `i`. All else parts words. A term of the lexicon is the beginning of a folded
+Texts are folded first: case, accents (composed or not), letters of other scripts that look Latin, digits and
+signs that stand for letters; `l` and `1` fold to `i`. Format characters such as soft hyphens go. All else that
+is no letter parts words, in any script; so does the zero-width space. A term of the lexicon is the beginning of a folded
 word. One Aho-Corasick automaton finds all terms and exception phrases; a term inside an exception does not
 count. The weights of a text, over 1 + log(1 + words), give its score through a logistic curve.
 
@@ -40,22 +41,33 @@ SHORTEST, LONGEST = 4, 10
 WEIGHT = 1.4
 
 
-def _table() -> dict[int, str]:
-    table = {}
-    for code in [*range(128), *range(0xC0, 0x250), *range(0xFF01, 0xFF5F)]:
-        base = unicodedata.normalize("NFKD", chr(code))[:1].lower()
-        table[code] = base if base.isascii() else chr(code)
-    table |= {ord(a): b for a, b in LOOKALIKES.items()}
-    for code, base in table.items():
-        base = SIGNS.get(base, base)
-        table[code] = "i" if base == "l" else base if not base.isascii() or base.isalpha() else " "
-    return table
+#: Marks that say nothing and that Unicode counts neither as format nor as accents: joiner, variation selectors.
+SILENT = {0x034F, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+#: A format character by its kind, but it parts words.
+WORD_BREAK = 0x200B
 
 
-TABLE = _table()
+class Table(dict):
+    """What a character of decomposed lower-case text folds to; found when first met."""
+
+    def __missing__(self, code: int) -> str:
+        sign = chr(code)
+        sign = LOOKALIKES.get(sign, sign)
+        sign = SIGNS.get(sign, sign)
+        kind = unicodedata.category(sign)
+        if code != WORD_BREAK and (unicodedata.combining(sign) or kind in ("Cf", "Me") or code in SILENT):
+            sign = ""
+        elif kind[0] not in "LM":  # vowel signs of Indic scripts are marks, but part of the word
+            sign = " "
+        self[code] = sign = "i" if sign == "l" else sign
+        return sign
+
+
+TABLE = Table()
 
 
 def fold(text: str) -> str:
+    text = text if text.isascii() else unicodedata.normalize("NFKD", text)
     return text.lower().translate(TABLE)
 
 

@@ -120,6 +120,18 @@ def test_folding_joins_disguises():
     assert toxicity.fold("tr@$h, c1own!") == "trash  ciown "
 
 
+def test_words_are_found_beside_any_mark():
+    matcher = toxicity.Lexicon({toxicity.fold("idiot"): 2.0}).matcher()
+    marks = "\u201c\u201d\u2018\u2019\u201e\u00ab\u00bb\u2014\u2013\u00a1\u00bf\u2022\u2026\u00b4\u00a0\u2028\u3000\u200b\u3002\U0001f600"
+    for mark in marks:
+        for text in (f"{mark}idiot", f"such{mark}idiot{mark}"):
+            assert [h[2] for h in matcher.hits(toxicity.fold(text))] == ["idiot"], ascii(text)
+    for text in ("i\u0301diot", "id\u0456o\u0308t", "id\u00adiot", "\ufeffidiot", "id\u200diot", "i\ufe0fdiot", "\u00cfD\u0130OT", "\U0001d422diot"):
+        assert [h[2] for h in matcher.hits(toxicity.fold(text))] == ["idiot"], ascii(text)
+    assert len(toxicity.fold("\u0939\u093f\u0928\u094d\u0926\u0940 \u0441\u043b\u043e\u0432\u043e").split()) == 2
+    assert not matcher.hits(toxicity.fold("videidiot"))
+
+
 def toxic_corpus(n=600):
     rng = random.Random(7)
     plain = ["house", "water", "trail", "glass", "path", "morning", "stone", "river"]
