@@ -2,13 +2,14 @@
 
 Texts are folded first: case, accents (composed or not), letters of other scripts that look Latin, digits and
 signs that stand for letters; `l` and `1` fold to `i`. Format characters such as soft hyphens go. All else that
-is no letter parts words, in any script; so does the zero-width space. A term of the lexicon is the beginning of a folded
-word. One Aho-Corasick automaton finds all terms and exception phrases; a term inside an exception does not
+is no letter parts words, in any script; so does the zero-width space. A term of the lexicon is the beginning
+of a folded word, or a whole word if it has fewer than four letters. One Aho-Corasick automaton finds all terms and exception phrases; a term inside an exception does not
 count. The weights of a text, over 1 + log(1 + words), give its score through a logistic curve.
 
 Terms, weights, exceptions and curve are learned from labelled rows: at most `sample` of them, those with
-the smallest hash of the id. A term must explain toxic texts that no stronger term explains; longer and shorter forms of such a term
-come with weights of their own, and a word counts by its heaviest form.
+the smallest hash of the id. All telling terms of these rows are looked at; of beginnings of a word that occur in
+the same texts, the longest stands for all. A term must explain toxic texts that no stronger term explains;
+longer and shorter forms of such a term come with weights of their own, and a word counts by its heaviest form.
 
 Null and empty texts have no match; they get the score of such texts. Rows are scored one by one, so null or
 repeated ids do no harm. Labels that are null are not used; without labels of both kinds every score is 0.
@@ -16,10 +17,12 @@ repeated ids do no harm. Labels that are null are not used; without labels of bo
 
 from __future__ import annotations
 
+import heapq
 import math
 import unicodedata
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -73,7 +76,7 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    terms: dict[str, float] = field(default_factory=dict)  # beginnings of folded words
+    terms: dict[str, float] = field(default_factory=dict)  # beginnings of folded words, and short whole words
     phrases: tuple[str, ...] = ()  # folded
     slope: float = 1.0
     level: float = -30.0
@@ -89,9 +92,10 @@ class Matcher:
         self.lexicon = lexicon
         self.automaton = ahocorasick.Automaton()
         for term, weight in lexicon.terms.items():
-            self.automaton.add_word(f" {term}", (term, weight))
+            pattern = f" {term}" if len(term) >= SHORTEST else f" {term} "
+            self.automaton.add_word(pattern, (term, weight, len(pattern) - 1))
         for phrase in lexicon.phrases:
-            self.automaton.add_word(f" {phrase}", (phrase, None))
+            self.automaton.add_word(f" {phrase}", (phrase, None, len(phrase)))
         self.any = bool(len(self.automaton))
         if self.any:
             self.automaton.make_automaton()
@@ -102,8 +106,8 @@ class Matcher:
             return []
         best: dict[int, tuple] = {}
         free: list[tuple[int, int]] = []
-        for end, (term, weight) in self.automaton.iter(f" {folded} "):
-            start = end - len(term)
+        for at, (term, weight, length) in self.automaton.iter(f" {folded} "):
+            start, end = at - length, at - length + len(term)
             if weight is None:
                 free.append((start, end))
             elif start not in best or best[start][3] < weight:
@@ -120,8 +124,13 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
+def _forms(word: str) -> list[str]:
+    """The terms that fit a word: its beginnings, or a short word itself."""
+    return [word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1)] or [word]
+
+
 def _beginnings(folded: str) -> set[str]:
-    return {word[:n] for word in set(folded.split()) for n in range(SHORTEST, min(LONGEST, len(word)) + 1)}
+    return {term for word in set(folded.split()) for term in _forms(word)}
 
 
 def _texts(got: pa.RecordBatch, column: int = 0) -> Iterator[str]:
@@ -154,7 +163,7 @@ def _near(terms: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[
         phrase, toxic = [], []
         for folded, label in zip(_texts(got), got.column(1).to_pylist(), strict=True):
             words = folded.split()
-            marked = [any(w[:n] in terms for n in range(SHORTEST, LONGEST + 1)) for w in words]
+            marked = [any(term in terms for term in _forms(w)) for w in words]
             found = {f"{a} {b}" for a, b, x, y in zip(words, words[1:], marked, marked[1:], strict=False) if x or y}
             phrase += found
             toxic += [label] * len(found)
@@ -184,24 +193,35 @@ def sampled(documents: DataFrame, labels: DataFrame, label: str, learn: Column,
     return texts.select("text", "label")
 
 
-def _explaining(texts: list[frozenset[str]], weights: dict[str, float], least: int) -> list[str]:
+def _explaining(texts: Iterable[Iterable[str]], weights: dict[str, float], least: int) -> list[str]:
     """Terms, the one that explains most first, that each explain `least` texts which none before explains."""
-    holds: dict[str, set[int]] = {}
+    holds = {term: array("i") for term in weights}
+    size = 0
     for k, terms in enumerate(texts):
+        size = k + 1
         for term in terms:
-            holds.setdefault(term, set()).add(k)
+            holds[term].append(k)
+    places = {term: np.frombuffer(ks, np.int32) for term, ks in holds.items() if len(ks) >= least}
+    left = np.ones(size, bool)
+    rank = lambda term, n: (-n * weights[term], len(term), term)
+    queue = [(*rank(term, len(ks)), len(ks)) for term, ks in places.items()]
+    heapq.heapify(queue)
     picked = []
-    while holds:
-        best = min(holds, key=lambda t: (-len(holds[t]) * weights[t], len(t), t))
-        done = holds[best]
-        if len(done) >= least:
-            picked.append(best)
-        holds = {t: left for t, ks in holds.items() if t != best and len(left := ks - done if len(done) >= least else ks) >= least}
+    while queue:  # what a term explains only shrinks, so the first one that is up to date is the best
+        *_, term, n = heapq.heappop(queue)
+        now = int(left[places[term]].sum())
+        if now < least:
+            continue
+        if now < n:
+            heapq.heappush(queue, (*rank(term, now), now))
+            continue
+        picked.append(term)
+        left[places[term]] = False
     return picked
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, sample: int = 20_000, most: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """A lexicon from the labelled rows that `learn` (a condition on `id`) picks; `most` bounds its terms."""
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+    """A lexicon from the labelled rows that `learn` (a condition on `id`) picks."""
     from .rows import stored
 
     spark = documents.sparkSession
@@ -214,16 +234,19 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, sample: int = 20
     counts = rows.mapInArrow(_counted, "term string, toxic_texts long, clean_texts long").groupBy("term").agg(F.sum("toxic_texts").alias("t"), F.sum("clean_texts").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     telling = counts.withColumn("weight", weight).filter((F.col("t") >= least) & (F.col("weight") >= WEIGHT))
-    rated = {r.term: (r.weight, r.t) for r in telling.orderBy(F.desc(F.col("t") * F.col("weight")), F.length("term"), "term").limit(most).collect()}
+    telling = stored(spark, telling, "telling")
+    # a beginning that another letter leaves in as many texts of both kinds is in the same texts
+    shorter = telling.filter(F.length("term") > SHORTEST).select(F.expr("left(term, length(term) - 1)").alias("term"), "t", "c")
+    rated = {r.term: (r.weight, r.t) for r in telling.join(shorter, ["term", "t", "c"], "left_anti").select("term", "weight", "t").toLocalIterator()}
     # where nearly all texts have a longer form of a term, the term is that form
     cut = {term[:n] for term, (_, t) in rated.items() for n in range(SHORTEST, len(term)) if term[:n] in rated and t >= 0.95 * rated[term[:n]][1]}
     found = {term: weight for term, (weight, _) in rated.items() if term not in cut}
     shown = rows.filter("label = 1").mapInArrow(partial(_explained, frozenset(found)), "terms array<string>")
-    picked = _explaining([frozenset(r.terms) for r in shown.toLocalIterator() if r.terms], found, least)
-    stems = {term[:n] for term in picked for n in range(SHORTEST, len(term) + 1)} & set(found)
-    terms = {term: weight for term, weight in found.items() if any(term[:n] in stems for n in range(SHORTEST, len(term) + 1))}
+    picked = _explaining((r.terms for r in shown.toLocalIterator()), found, least)
+    stems = {stem for term in picked for stem in _forms(term)} & set(found)
+    terms = {term: weight for term, weight in found.items() if any(stem in stems for stem in _forms(term))}
     near = rows.mapInArrow(partial(_near, frozenset(terms)), "phrase string, toxic long")
-    harmless = near.groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter("t = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(most)
+    harmless = near.groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter("t = 0 and n >= 3")
     phrases = {fold(x) for x in PHRASES} | {r.phrase for r in harmless.collect()}
     lexicon = Lexicon(terms, tuple(sorted(phrases)))
     pairs = rows.mapInArrow(partial(_weighed, lexicon), "weight double, toxic long").toPandas()

@@ -171,6 +171,47 @@ def test_lexicon_learns_terms_and_exceptions(spark):
     assert toxicity.score(spark.createDataFrame([], docs.schema), lexicon).collect() == []
 
 
+def test_short_and_rare_terms_are_learned(spark):
+    rng = random.Random(12)
+    fresh = lambda: "".join(rng.choice("bcdfghkmnprtvwz") for _ in range(10))
+    topics = [fresh() for _ in range(700)]  # words of toxic rows, all more frequent than the rare abuse
+    rows, labels = [], []
+    for k in range(1200):
+        toxic = k % 2 == 0
+        parts = [rng.choice(["house", "ass1gn", "water"]) for _ in range(15)]
+        if toxic and k >= 12:
+            parts += [topics[(k + 7 * j) % 700] for j in range(24)] + ["ass"] * (k % 4 == 0)
+        elif toxic:
+                parts = ["house"] * (k + 1) + (["scumbag"] if k < 6 else ["\u50bb\u903c\u3002"])
+        rows.append((k, " ".join(parts)))
+        labels.append((k, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(labels, "doc_id int, toxic int")
+    lexicon = toxicity.fit(docs, marks, F.lit(True))
+    matcher = lexicon.matcher()
+    for word in ("ass", "scumbag", "\u50bb\u903c"):
+        assert matcher.hits(toxicity.fold(f"a house, {word}!")), word
+    assert not matcher.hits(toxicity.fold("assign as"))
+    short = toxicity.Lexicon({"ass": 2.0, "asse": 1.0}, ("wiid ass",)).matcher()
+    assert short.hits("ass ass asset a ass") == [(0, 3, "ass", 2.0), (4, 7, "ass", 2.0), (8, 12, "asse", 1.0), (16, 19, "ass", 2.0)]
+    assert not short.hits("a wiid ass")
+
+
+def test_explaining_terms_are_those_of_a_plain_greedy_choice():
+    rng = random.Random(13)
+    for _ in range(60):
+        weights = {t: rng.choice([1.5, 2.0, 3.0]) for t in ("aaaa", "bbbb", "bbbbb", "cc", "dddd")}
+        texts = [{t for t in weights if rng.random() < 0.4} for _ in range(rng.randint(0, 12))]
+        left, picked = list(texts), []
+        while True:
+            gain = {t: sum(t in x for x in left) for t in weights if t not in picked}
+            gain = {t: n for t, n in gain.items() if n >= 2}
+            if not gain:
+                break
+            picked.append(min(gain, key=lambda t: (-gain[t] * weights[t], len(t), t)))
+            left = [x for x in left if picked[-1] not in x]
+        assert toxicity._explaining(texts, weights, 2) == picked
+
+
 def test_matches_are_those_of_a_plain_search():
     rng = random.Random(9)
     terms = {"abab": 1.0, "ababa": 2.0, "bbaa": 0.5, "aaaa": 3.0}
