@@ -9,7 +9,9 @@ of the item to any part of the text there.
 Items are taken in blocks of about `block`, so that what goes to the executors is bounded for any benchmark:
 each block passes over the documents once.
 
-Null and empty items, and items shorter than `shortest` characters, match nothing. Null texts are empty.
+An item too short for an edit is one piece and must occur unchanged, between word borders; letters of scripts
+without blanks have a border on either side. Null items, and items without a letter, digit or underscore, match
+nothing. Null texts are empty.
 Repeated items are reported under each id; documents are searched row by row.
 """
 
@@ -26,12 +28,20 @@ from pyspark.sql import functions as F
 from .rows import utf8
 
 _WORDS = re.compile(r"\w+")
+#: Thai, Lao, Myanmar, Khmer, Kana and Han: written without blanks.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def plain(text: str) -> str:
     return " ".join(_WORDS.findall(text.lower()))
 
 
+def parted(text: str, at: int) -> bool:
+    """Whether a plain text has a word border before the character at `at`."""
+    around = text[max(0, at - 1) : at + 1]
+    return at in (0, len(text)) or " " in around or bool(_UNSPACED.search(around))
+
+
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     """The item cut into `edits + 1` pieces of nearly equal length, with their places."""
     cuts = [len(item) * k // (edits + 1) for k in range(edits + 2)]
@@ -84,7 +94,8 @@ class Search:
         wanted: dict[int, list[int]] = {}
         for end, (n, places) in self.automaton.iter(text):
             for k, at in places:
-                wanted.setdefault(k, []).append(end + 1 - n - at)
+                if self.items[k][2] or parted(text, end + 1 - n) and parted(text, end + 1):
+                    wanted.setdefault(k, []).append(end + 1 - n - at)
         for k, starts in wanted.items():
             item_id, item, edits = self.items[k]
             best, times = None, 0
@@ -127,26 +138,26 @@ def _search(items: list[tuple[int, str, int]], batches: Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*got.columns[:-1], pa.array(out, kind)], names=got.schema.names)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, per_edit: int, shortest: int, block: int) -> Iterator[list[tuple[int, str, int]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, per_edit: int, block: int) -> Iterator[list[tuple[int, str, int]]]:
     """The items in blocks of about `block`, dealt by a hash of their rows."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").distinct()
     count = max(1, -(-rows.count() // block))
     for k in range(count):
         some = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect()
-        items = [(r.id, text, len(text) // per_edit) for r in some if len(text := plain(r.text)) >= shortest]
+        items = [(r.id, text, len(text) // per_edit) for r in some if (text := plain(r.text))]
         if items:
             yield items
 
 
 def mark(
-    documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", per_edit: int = 16, shortest: int = 24, block: int = 5_000, out: str = "leaks"
+    documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", per_edit: int = 16, block: int = 5_000, out: str = "leaks"
 ) -> DataFrame:
     """All columns of `documents`, and `out` (in place of a column of that name): an array of structs item_id,
     distance, start, end (in the plain text) and times. One block is one pass, without a shuffle."""
     marked = documents.select(*[c for c in documents.columns if c != out])
     found = "array<struct<item_id: long, distance: long, start: long, `end`: long, times: long>>"
     marked = marked.withColumn(out, F.expr(f"cast(array() as {found})"))
-    for items in item_blocks(benchmark, item_id, item_text, per_edit, shortest, block):
+    for items in item_blocks(benchmark, item_id, item_text, per_edit, block):
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
         more = marked.withColumn("__text", utf8(text_col)).mapInArrow(partial(_search, items), f"{kinds}, __text {found}")
         marked = more.withColumn(out, F.concat(out, "__text")).drop("__text")

@@ -115,6 +115,20 @@ def test_edited_items_are_found_and_no_others(spark):
     assert decontamination.leaks(spark.createDataFrame([], docs.schema), spark.createDataFrame(items, none.schema)).collect() == []
 
 
+def test_short_items_are_found_between_word_borders(spark):
+    items = ["Who am I?", "7", "\u5929\u7a7a\u662f\u4ec0\u4e48\u989c\u8272\uff1f", "cat", "What is a monad?", "?!", "", "a a"]
+    texts = {
+        "so: who AM i.": {0}, "Whom am I": set(), "17 and 77": set(), "(7)": {1}, "\u8bf7\u95ee\u5929\u7a7a\u662f\u4ec0\u4e48\u989c\u8272\u554a": {2},
+        "concat cats": set(), "concat, Cat": {3}, "\u732bcat\u732b": {3}, "7 cat": {1, 3}, "I asked what is a monad": {4}, "what is a nomad": set(), "ba a ab": set(), "ba a a a": {7}, "": set(),
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = decontamination.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id int, text string")).collect()
+    plain = [decontamination.plain(x) for x in texts]
+    for k, (text, wanted) in enumerate(texts.items()):
+        assert {r.item_id for r in found if r.doc_id == k} == wanted, text
+    assert all(r.distance == 0 and plain[r.doc_id][r.start : r.end] == decontamination.plain(items[r.item_id]) for r in found)
+
+
 def test_licenses_match_containment(spark):
     rng = random.Random(2)
     word = lambda: rng.choice(["the", "code", "license", "work", "may", "x1", "Ünder", "granted"])
