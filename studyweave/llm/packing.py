@@ -76,10 +76,13 @@ class Chunks(dict):
 
     def ids(self, text: bytes) -> bytes:
         """The tokenizer's ids of the text: none of its patterns reach across a blank, and it lowers case
-        itself (but for the names of special tokens)."""
-        if b"<|" not in text:
-            text = text.lower()
-        return b"".join(map(self.__getitem__, _POINT.sub(rb" \1", text).split()))
+        itself (but for the names of special tokens), after it composes letters and accents. So where accents
+        stand alone, U+0300 to U+036F, only pure ASCII chunks are lowered before."""
+        accents = b"\xcc" in text or b"\xcd" in text
+        if b"<|" in text:
+            return b"".join(map(self.__getitem__, _POINT.sub(rb" \1", text).split()))
+        chunks = _POINT.sub(rb" \1", text if accents else text.lower()).split()
+        return b"".join(map(self.__getitem__, [x.lower() if x.isascii() else x for x in chunks] if accents else chunks))
 
 
 class Packer:

@@ -28,6 +28,17 @@ def test_chunks_give_the_tokenizers_ids(tokenizer):
         assert np.frombuffer(chunks.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_decomposed_capitals_give_the_tokenizers_ids(tokenizer):
+    from tokenizers import Tokenizer
+
+    whole, chunks = Tokenizer.from_file(tokenizer), packing.Chunks(tokenizer)
+    rng = random.Random(8)
+    signs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u0591\u030c", "I\u0307", "A", "b", "\u00c9", " ", ". ", "\u0301", "<|", "D"]
+    texts = signs[:6] + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    for text in texts:
+        assert np.frombuffer(chunks.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_packing_is_a_partition_without_padding(spark, tokenizer):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alpha", "beta.", "Gamma", "7"]) for _ in range(rng.choice([0, 1, 5, 60, 400, 5000]))) for _ in range(150)] + [None, ""]
