@@ -10,8 +10,8 @@ Four kinds of evidence are combined for each page and language:
   that of all pages.
 
 The last three come from grouped sums of what the texts alone say; a page's own share is taken out of its
-counts. Triples are counted on at most `sample` documents of known language, those with the smallest hash of
-the id; at most `most` languages, the most frequent, are told apart.
+counts. Triples are counted on at most `sample` ids of each language that documents carry, those with the smallest
+hash; all these languages are told apart.
 
 A null or empty page has no text evidence, and the rest decides. A null URL has empty host, domain and suffix.
 Pages are judged row by row: null or repeated ids do no harm. Without documents of known language the language
@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rows import batch, stored, utf8
@@ -73,16 +73,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_COUNTS, [[lang] * len(at), at, counts[at]])
 
 
-def fit(documents: DataFrame, sample: int = 4_000, most: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages, and the logarithm of the chance of each bucket (a row) in each (a column)."""
-    known = documents.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
-    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
-    some = known.filter(F.col("lang").isin(langs)).orderBy(F.xxhash64("id"), "lang").limit(sample).distinct()
-    texts = documents.select(F.col(id_col).alias("__id"), utf8(text_col).alias("text")).join(F.broadcast(some), F.expr("__id <=> id"))  # `sample` short rows
+def fit(documents: DataFrame, sample: int = 1_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages, and the logarithm of the chance of each bucket (a row) in each (a column). sample: ids per language."""
+    spark = documents.sparkSession
+    lang = F.col(lang_col).cast("string")
+    known = stored(spark, documents.select(F.col(id_col).alias("id"), lang.alias("lang")).filter("lang is not null").distinct(), "known")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sorted(r.lang for r in sizes.select("lang").toLocalIterator())
+    # few more than `sample` hashes lie below this bound, as ids are different; the smallest of them are taken
+    mixed = known.withColumn("hash", F.xxhash64("id")).join(F.broadcast(sizes), "lang")  # a row per language
+    low = mixed.filter((F.col("hash") / 2.0**64 + 0.5) * F.col("n") <= 2 * sample + 100)
+    least = low.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("hash", "id"))).alias("ids"))
+    some = least.select("lang", F.explode(F.slice("ids", 1, sample)).alias("x")).select("lang", F.col("x.id").alias("id"))
+    texts = documents.select(F.col(id_col).alias("__id"), lang.alias("__lang"), utf8(text_col).alias("text")).join(F.broadcast(some), F.expr("__id <=> id and __lang = lang"))  # `sample` short rows a language
     sums = texts.select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((BUCKETS, len(langs)), 0.1)
     if len(sums):
-        np.add.at(counts, (sums.bucket.to_numpy(), np.searchsorted(langs, sums.lang.to_numpy().astype(str))), sums.n.to_numpy())
+        at = {lang: k for k, lang in enumerate(langs)}
+        np.add.at(counts, (sums.bucket.to_numpy(), sums.lang.map(at).to_numpy()), sums.n.to_numpy())
     return langs, np.log(counts / counts.sum(0)) if langs else counts
 
 
@@ -101,6 +109,30 @@ def _evidence(chances: np.ndarray, weight: int, batches: Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*got.columns[:-1], *arrays], names=[*got.schema.names[:-1], "__declared", "__share"])
 
 
+def _fused(langs: list[str], whole: np.ndarray, pull: float, out: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns from __host on become the fused language."""
+    size, names = len(langs), np.array(langs, object)
+    kind = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("text_lang", pa.string()), ("declared", pa.string()), ("suffix", pa.string()), ("host", pa.string())])
+    for got in batches:
+        column = dict(zip(got.schema.names, got.columns, strict=True))
+        table = lambda name: np.asarray(column[name].flatten()).reshape(-1, size)  # noqa: B023, E731
+        share = table("__share")
+        less = {by: np.maximum(table(f"sum{by}") - share, 0) for by in ("__host", "__domain", "__suffix", "__declared")}
+        rest = np.maximum(whole - share, 0)
+        total = lambda x: x.sum(1, keepdims=True)
+        base = (rest + 1) / (total(rest) + size)
+        domain = (less["__domain"] + pull * base) / (total(less["__domain"]) + pull)
+        prior = (less["__host"] + pull * domain) / (total(less["__host"]) + pull)
+        # the chance of the page's value in each language, up to a factor that all share
+        given = [np.log((less[by] + 1) / (rest + pull)) for by in ("__declared", "__suffix")]
+        logs = np.log(np.maximum(share, 1e-300)) + np.log(prior) + given[0] + given[1]
+        confidence = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+        best = [pa.array(names[x.argmax(1)], pa.string()) for x in (logs, share)]
+        fused = [best[0], pa.array(confidence), best[1], *[column[x].cast(pa.string()) for x in ("__declared", "__suffix", "__host")]]
+        kept = got.schema.names.index("__host")
+        yield pa.RecordBatch.from_arrays([*got.columns[:kept], pa.StructArray.from_arrays(fused, fields=list(kind))], names=[*got.schema.names[:kept], out])
+
+
 def identify(
     spark: SparkSession, pages: DataFrame, model: tuple[list[str], np.ndarray], url_col: str = "url", html_col: str = "html", weight: int = 48, pull: float = 10.0, out: str = "language"
 ) -> DataFrame:
@@ -128,24 +160,8 @@ def identify(
     for by in key:  # one row per value of a column that the pages have
         joined = joined.join(sums(by), by)
     whole = cells.agg(*[F.sum(f"s{k}") for k in range(size)]).first()  # a number per language
-    joined = joined.withColumn("sum", F.array(*[F.lit(x or 0.0) for x in whole]))
-    share = [F.col("__share")[k] for k in range(size)]
-    less = {by: [F.greatest(F.col("sum" + by)[k] - share[k], F.lit(0.0)) for k in range(size)] for by in [*key, ""]}
-    total = {by: sum(less[by], F.lit(0.0)) for by in less}
-    base = [(x + 1) / (total[""] + size) for x in less[""]]
-    domain = [(x + pull * b) / (total["__domain"] + pull) for x, b in zip(less["__domain"], base, strict=True)]
-    prior = [(x + pull * d) / (total["__host"] + pull) for x, d in zip(less["__host"], domain, strict=True)]
-
-    def given(by: str) -> list[Column]:
-        """The chance of the page's value of a column in each language, up to a factor that all share."""
-        return [(x + 1) / (n + pull) for x, n in zip(less[by], less[""], strict=True)]
-
-    parts = zip(share, prior, given("__declared"), given("__suffix"), strict=True)
-    logs = F.array(*[F.log(F.greatest(s, F.lit(1e-300))) + F.log(p) + F.log(d) + F.log(x) for s, p, d, x in parts])
-    judged = joined.select(*kept, "__share", *key, F.explode(F.array(logs)).alias("__logs"))
-    best = lambda values: F.element_at(F.array(*map(F.lit, langs)), F.array_position(values, F.array_max(values)).cast("int"))
-    confidence = 1 / F.aggregate("__logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("__logs")))
-    fused = F.struct(
-        best(F.col("__logs")).alias("lang"), confidence.alias("confidence"), best(F.col("__share")).alias("text_lang"), F.col("__declared").alias("declared"), F.col("__suffix").alias("suffix"), F.col("__host").alias("host")
-    )
-    return judged.select(*kept, fused.alias(out))
+    joined = joined.select(*kept, *key, "__share", *[f"sum{by}" for by in key])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*kept).schema.fields)
+    fused = "struct<lang: string, confidence: double, text_lang: string, declared: string, suffix: string, host: string>"
+    work = partial(_fused, langs, np.array([x or 0.0 for x in whole]), pull, out)
+    return joined.mapInArrow(work, f"{kinds}, `{out}` {fused}" if kinds else f"`{out}` {fused}")

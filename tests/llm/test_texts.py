@@ -270,6 +270,27 @@ def test_language_fusion_matches_its_formula(spark):
     assert nothing[0].language.lang is None
 
 
+def test_rare_languages_are_told_apart(spark):
+    rng = random.Random(10)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    names = [a + b for a in "abcdef" for b in alphabet][:60]
+    word = {x: ["".join(rng.choice(alphabet) for _ in range(7)) for _ in range(3)] for x in names}
+    say = lambda x: " ".join(rng.choice(word[x]) for _ in range(30))
+    rows = [(k, say("aa"), "aa") for k in range(300)] + [(None, say("ab"), "ab"), (None, say("ab"), "ab")]
+    rows += [(1000 + 2 * k + j, say(x), x) for k, x in enumerate(names[2:]) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    langs, chances = language.fit(docs, sample=50)
+    assert langs == names
+    own = [k for k, x in enumerate(names) if (language.triples(say(x).encode()) @ chances).argmax() == k]
+    assert own == list(range(60))
+    first = spark.createDataFrame([(r[0],) for r in rows[:300]], "id int").orderBy(F.xxhash64("id")).limit(50).collect()
+    counts = 0.1 + sum(language.triples(rows[r.id][1].encode()) for r in first)
+    assert np.allclose(chances[:, 0], np.log(counts / counts.sum()))
+    pages = spark.createDataFrame([(k, f"x://h{k}.t{k}", say(x)) for k, x in enumerate(names)], "page_id int, url string, html string")
+    got = {r.page_id: r.language.lang for r in language.identify(spark, pages, (langs, chances)).collect()}
+    assert [got[k] for k in range(60)] == names
+
+
 def test_required_words_are_in_any_sufficient_part():
     for text in licenses.TEMPLATES.values():
         words = licenses.words(text)
