@@ -36,7 +36,8 @@ BUCKETS = 1 << 14
 #: Bytes whose triples are counted at once, to bound memory.
 PIECE = 1 << 18
 _HIDDEN = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_ROOT = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_ROOT = re.compile(rb"<!--|<html\b", re.I)
+_LANG = re.compile(rb"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 _COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
 
@@ -46,9 +47,17 @@ def shown(html: bytes) -> bytes:
 
 
 def declared(html: bytes) -> str:
-    """The primary language that the root element declares, or the empty text."""
-    found = _ROOT.search(html, 0, 65_536)
-    return found[1].decode().lower() if found else ""
+    """The primary language that the root element declares, wherever in the page it is, or the empty text."""
+    at, closing = 0, True
+    while found := _ROOT.search(html, at):
+        if found[0] != b"<!--":
+            end = html.find(b">", found.end())
+            said = _LANG.search(html, found.end(), end if end >= 0 else len(html))
+            return said[1].decode().lower() if said else ""
+        close = html.find(b"-->", found.end()) if closing else -1
+        closing = close >= 0
+        at = close + 3 if closing else found.end()  # what is not closed is no comment, as in `shown`
+    return ""
 
 
 def triples(text: bytes) -> np.ndarray:
@@ -94,16 +103,16 @@ def fit(documents: DataFrame, sample: int = 1_000, id_col: str = "doc_id", text_
     return langs, np.log(counts / counts.sum(0)) if langs else counts
 
 
-def _evidence(chances: np.ndarray, weight: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column, a page, becomes its declared language and the share of each language by its text."""
+def _evidence(chances: np.ndarray, weight: int, plain: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a page or plain text, becomes its declared language and the share of each language by its text."""
     for got in batches:
         said, shares = [], []
         for html in got.column(got.num_columns - 1):
             html = html.as_py()
-            counts = triples(shown(html))
+            counts = triples(html if plain else shown(html))
             score = counts @ chances * min(1, weight / max(1, counts.sum()))
             share = np.exp(score - score.max()) if score.size else score
-            said.append(declared(html))
+            said.append("" if plain else declared(html))
             shares.append((share / share.sum()).tolist() if share.size else [])
         arrays = [pa.array(said, pa.string()), pa.array(shares, pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays([*got.columns[:-1], *arrays], names=[*got.schema.names[:-1], "__declared", "__share"])
@@ -134,10 +143,11 @@ def _fused(langs: list[str], whole: np.ndarray, pull: float, out: str, batches:
 
 
 def identify(
-    spark: SparkSession, pages: DataFrame, model: tuple[list[str], np.ndarray], url_col: str = "url", html_col: str = "html", weight: int = 48, pull: float = 10.0, out: str = "language"
+    spark: SparkSession, pages: DataFrame, model: tuple[list[str], np.ndarray], url_col: str = "url", html_col: str = "html", weight: int = 48, pull: float = 10.0, out: str = "language", plain: bool = False
 ) -> DataFrame:
     """All columns of `pages` but the page itself, which is not passed on, and `out` (in place of a column
-    of that name): a struct of lang, confidence, text_lang, declared, suffix and host. model: of `fit`. pull: how many pages a coarser level counts as."""
+    of that name): a struct of lang, confidence, text_lang, declared, suffix and host. model: of `fit`. pull: how many pages a coarser level counts as.
+    plain: the pages are plain text; nothing in it is markup, and it declares nothing."""
     langs, chances = model
     size = len(langs)
     kept = [c for c in pages.columns if c not in (out, html_col)]
@@ -145,7 +155,7 @@ def identify(
     rows = pages.select(*kept, utf8(html_col).alias("__html")).withColumn("__host", name).withColumn("__domain", F.substring_index("__host", ".", -2)).withColumn("__suffix", F.substring_index("__host", ".", -1))
     rows = rows.select(*[c for c in rows.columns if c != "__html"], "__html")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    seen = rows.mapInArrow(partial(_evidence, chances, weight), f"{kinds}, __declared string, __share array<double>")
+    seen = rows.mapInArrow(partial(_evidence, chances, weight, plain), f"{kinds}, __declared string, __share array<double>")
     if not size:
         empty = F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.col("__declared").alias("declared"), F.col("__suffix").alias("suffix"), F.col("__host").alias("host"))
         return seen.select(*kept, empty.alias(out))

@@ -74,7 +74,7 @@ def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_pages = language.identify(spark, pages.select("page_id", number.alias("doc_id"), "url", "html"), model)
     address = F.concat(F.lit("source://"), "source").alias("url")
     plain = documents.select(number.alias("page_id"), "doc_id", address, F.col("text").alias("html"))
-    found = [x.select(F.col("page_id").cast("long"), F.col("doc_id").cast("long"), "language.*") for x in (of_pages, language.identify(spark, plain, model))]
+    found = [x.select(F.col("page_id").cast("long"), F.col("doc_id").cast("long"), "language.*") for x in (of_pages, language.identify(spark, plain, model, plain=True))]
     return found[0].unionByName(found[1])
 
 

@@ -270,6 +270,27 @@ def test_language_fusion_matches_its_formula(spark):
     assert nothing[0].language.lang is None
 
 
+def test_the_root_declares_wherever_it_is():
+    say = language.declared
+    assert say(b"<!-- " + b"x" * 100_000 + b" -->\n<html lang=de>") == "de"
+    assert say(b" " * 70_000 + b"<HTML class='a' LANG='fr-CA'>") == "fr"
+    assert say(b"<!-- <html lang=xx> --><!----><html lang=de>") == "de"
+    assert say(b"<html><p>&lt;<code><html lang=xx></code>") == ""
+    assert say(b"<!-- open <html lang=de>") == "de"
+    assert say(b"<!--" * 200_000) == say(b"<html " * 200_000) == say(b"") == ""
+
+
+def test_plain_text_has_no_marks(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum dolor", "aa"), (2, "zwei drei kurz", "bb")], "doc_id int, text string, lang string")
+    text = "a < b " + "zwei drei kurz " * 5 + "c > d <!-- lorem"
+    pages = spark.createDataFrame([(1, "source://s", text), (2, "source://s", "<html lang=aa> zwei drei kurz")], "page_id int, url string, html string")
+    model = language.fit(docs)
+    plain = {r.page_id: r.language for r in language.identify(spark, pages, model, plain=True).collect()}
+    assert [(plain[k].text_lang, plain[k].declared) for k in (1, 2)] == [("bb", "")] * 2
+    marked = {r.page_id: r.language for r in language.identify(spark, pages, model).collect()}
+    assert (marked[1].text_lang, marked[2].declared) == ("aa", "aa")
+
+
 def test_rare_languages_are_told_apart(spark):
     rng = random.Random(10)
     alphabet = "abcdefghijklmnopqrstuvwxyz"
