@@ -1,9 +1,10 @@
 """Finds license texts in documents by MinHash bands over word windows.
 
-A template is a run of words; its shingles are its runs of `shingle` words. Windows of `2 * m` shingles, `m`
-apart, hold every run of m shingles whole, so each template is sought in windows of its own size class (m is
-the next power of two). If a window holds `least` of a template's shingles, their Jaccard similarity is at
-least least * n / (2 * m + (1 - least) * n) for a template of n shingles. With one minimum a band, as many
+A template is a run of words; its shingles are its runs of `shingle` words. Each template is sought in windows of
+its own size class (m is the next power of two): `WINDOW * m` shingles, `m` apart. They hold every run of 2 * m + 1
+shingles whole, so a template's text may have m + 1 words inserted, as many as it has shingles and one, wherever
+it is in the document; what is spread over more may be lost. If a window holds `least` of a template's shingles, their Jaccard
+similarity is at least least * n / (WINDOW * m + (1 - least) * n) for a template of n shingles. With one minimum a band, as many
 bands as give a collision with chance `recall` at that similarity (see `bands`) retrieve the template from the
 window. Then exact containment is computed on the words themselves.
 
@@ -47,6 +48,8 @@ TEMPLATES = {
 }
 
 SHINGLE = 3
+#: The length of a window, in steps from one window to the next.
+WINDOW = 3
 
 
 def words(text: str) -> list[str]:
@@ -79,7 +82,7 @@ def size_class(shingles: int) -> int:
 
 def bands(shingles: int, least: float, recall: float) -> int:
     """Bands of one minimum each, so that a window with `least` of a template collides with chance `recall`."""
-    similar = least * shingles / (2 * size_class(shingles) + (1 - least) * shingles)
+    similar = least * shingles / (WINDOW * size_class(shingles) + (1 - least) * shingles)
     return math.ceil(math.log(1 - recall) / math.log(1 - similar))
 
 
@@ -119,7 +122,7 @@ def scan(spark: SparkSession, documents: DataFrame, templates: dict[str, str] |
     of_class = lambda m, count: lambda k: F.struct(k.alias("first_word"), F.lit(m).alias("m"), F.lit(count).alias("count"))
     each = [F.transform(F.sequence(F.lit(0), F.size("__runs") - 1, F.lit(m)), of_class(m, count)) for m, count in classes.items()]
     windows = held.select("__id", "__runs", F.inline(F.flatten(F.array(*each))))
-    windows = windows.select("__id", "first_word", "m", "count", F.slice("__runs", F.col("first_word") + 1, 2 * F.col("m")).alias("runs"))
+    windows = windows.select("__id", "first_word", "m", "count", F.slice("__runs", F.col("first_word") + 1, WINDOW * F.col("m")).alias("runs"))
     lows = bound(F.transform("runs", lambda x: F.xxhash64(x)), lambda hashes: F.transform(F.sequence(F.lit(1), "count"), lambda band: minimum(hashes, band)))
     keys = windows.select("__id", "first_word", "m", "runs", F.posexplode(lows).alias("at", "low")).withColumn("band", F.col("at") + 1)
     met = keys.join(F.broadcast(sought), ["m", "band", "low"])  # given templates, bounded by `most`

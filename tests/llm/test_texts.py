@@ -178,6 +178,30 @@ def test_licenses_match_containment(spark):
         assert 1 - (1 - similar) ** licenses.bands(n, 0.8, 0.999) >= 0.999
 
 
+def test_inserted_words_lose_no_license_at_any_place(spark):
+    rows, wanted = [], set()
+    power = " ".join(f"own{k}" for k in range(18))  # 16 shingles, no less than its size class
+    templates = {x: licenses.TEMPLATES[x] for x in ("mpl-2.0", "gpl-3.0-short", "cc-by")} | {"power": power}
+    for name, template in templates.items():
+        t = licenses.words(template)
+        known = {" ".join(t[k : k + 3]) for k in range(len(t) - 2)}
+        m = licenses.size_class(len(known))
+        for inserted in (5, 8, m + 1):
+            for place in range(1, len(t)):
+                parts = t[:place] + [f"in{k}" for k in range(inserted)] + t[place:]
+                if len(known & {" ".join(parts[k : k + 3]) for k in range(len(parts) - 2)}) < 0.8 * len(known):
+                    continue
+                for before in range(m):
+                    wanted.add((len(rows), name))
+                    rows.append((len(rows), " ".join([f"pad{k}" for k in range(before)] + parts + ["end"] * 40)))
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(8)
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark, docs, templates, recall=1 - 1e-6).collect()}
+    assert wanted <= got
+    for n in (1, 3, 5, 16, 47):
+        similar = 0.8 * n / (3 * licenses.size_class(n) + 0.2 * n)
+        assert 1 - (1 - similar) ** licenses.bands(n, 0.8, 0.999) >= 0.999
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
