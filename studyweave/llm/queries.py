@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, licenses, packing, quality_kernel, quality_rules, simhash, substrings, toxicity, url_rules
+from . import byte_pairs, decontamination, language, licenses, packing, quality_kernel, quality_rules, simhash, substrings, toxicity, url_rules
 from .rows import ship
 
 
@@ -95,5 +95,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_crf_quality, op3_cost_packing, op4_simhash_bktree, op5_fourier_quality, op6_license_minhash, op7_toxic_lexicon, op8_language_fusion, op9_url_association_rules, op10_suffix_array_dedup)}
+def op11_tree_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_pairs.encode(documents, ranks, public_tokenizers.PATTERN).drop("text")
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return byte_pairs.decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(written, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_crf_quality, op3_cost_packing, op4_simhash_bktree, op5_fourier_quality, op6_license_minhash, op7_toxic_lexicon, op8_language_fusion, op9_url_association_rules, op10_suffix_array_dedup, op11_tree_byte_pairs)}
 ORACLE_SQL: dict[str, str] = {}

@@ -38,6 +38,18 @@ def utf8(column: Column | str) -> Column:
     return F.coalesce(column.cast("binary"), F.lit(b""))
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(frame: DataFrame, *names: str) -> list[Column]:
+    """The columns with other names than these, in any case, as Spark's names ignore it: what an operator adds
+    under a name takes its place."""
+    gone = {name.lower() for name in names}
+    return [F.col(quoted(c)) for c in frame.columns if c.lower() not in gone]
+
+
 def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: lineage ends there."""
     return Workspace(spark).table(name, lambda: frame)
