@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, decontamination, language, licenses, packing, quality_kernel, quality_rules, simhash, substrings, toxicity, url_rules
+from . import byte_pairs, collocations, decontamination, hard_negatives, language, licenses, packing, quality_kernel, quality_rules, simhash, substrings, toxicity, url_rules
 from .rows import ship
 
 
@@ -108,5 +108,78 @@ def op11_tree_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_crf_quality, op3_cost_packing, op4_simhash_bktree, op5_fourier_quality, op6_license_minhash, op7_toxic_lexicon, op8_language_fusion, op9_url_association_rules, op10_suffix_array_dedup, op11_tree_byte_pairs)}
-ORACLE_SQL: dict[str, str] = {}
+def op12_bond_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark, rows.select("vec_id", moved.alias("label"), "embedding"), F.col("id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id
+  WHERE NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
+def op13_parsed_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), phrases AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) AS sizes(k))
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM phrases GROUP BY lang, k, phrase
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30
+), cuts AS (
+  SELECT lang, size, phrase, a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : size], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, c.k, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON c.lang = x.lang AND c.first = x.phrase JOIN f y ON c.lang = y.lang AND c.rest = y.phrase
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, k, unnest(range(1, size - k + 2)) AS i FROM candidates, range(2, 4) AS sizes(k) WHERE k < size)
+  GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN inner_phrases p ON s.lang = p.lang AND s.phrase = p.phrase
+  WHERE p.longer IS NULL OR CAST(100 AS HUGEINT) * p.longer < CAST(80 AS HUGEINT) * s.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_crf_quality, op3_cost_packing, op4_simhash_bktree, op5_fourier_quality, op6_license_minhash, op7_toxic_lexicon, op8_language_fusion, op9_url_association_rules, op10_suffix_array_dedup, op11_tree_byte_pairs, op12_bond_hard_negatives, op13_parsed_collocations)}
+ORACLE_SQL: dict[str, str] = {"op12_bond_hard_negatives": OP12_SQL, "op13_parsed_collocations": OP13_SQL}
