@@ -19,14 +19,15 @@ list to the more frequent, then the smaller phrase by its bytes. Other columns a
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
@@ -36,82 +37,105 @@ from .rows import stored, utf8
 OVERLAP = 3
 #: Marks that part pieces become line ends, tabs become blanks, capitals small letters.
 TABLE = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz")
+BLANK, LINE = 32, 10
 #: Bits of a bitmap: 4 MB, whatever the input.
 BITS = 1 << 25
 _PAGE = 1 << 15  # bits that one row of a bitmap holds
-#: Words held by a task before they are counted or parsed.
-HELD = 1 << 21
+#: Bytes of text held by a task before they are parsed or counted.
+HELD = 12 << 20
 
 
 class Hashes(dict):
     """A number for each word, by its bytes. Bounded: emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 19:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
         return h
 
 
+class Words:
+    """The words of pieces that follow one another. Pieces end at line ends."""
+
+    def __init__(self, data: bytes):
+        text = np.frombuffer(data, np.uint8)
+        inside = (text != BLANK) & (text != LINE)
+        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.n = len(self.starts)
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int32)
+        self.letters = text[inside]
+        words = pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(offsets), pa.py_buffer(self.letters)])
+        found = words.dictionary_encode()
+        self.codes, self.distinct = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+        self.piece = np.searchsorted(np.flatnonzero(text == LINE), self.starts)
+
+    def hashes(self, known: Hashes) -> np.ndarray:
+        """Of the distinct words."""
+        return np.fromiter(map(known.__getitem__, self.distinct.to_pylist()), np.uint64, len(self.distinct))
+
+
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def chunks(words: list[bytes], sizes: list[int], hashes: Hashes, modulus: int) -> Iterator[tuple[int, int, int]]:
-    """(first word, owned words, words) of the chunks of pieces that follow one another."""
-    if not words:
-        return
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    begins = np.zeros(len(words), bool)
-    if len(words) >= OVERLAP:
+def chunks(words: Words, modulus: int, known: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of owned words and number of words of each chunk."""
+    n, piece = words.n, words.piece
+    begins = np.ones(n, bool)
+    begins[1:] = piece[1:] != piece[:-1]
+    starts = np.flatnonzero(begins)
+    ends = np.concatenate([starts[1:], [n]])[: len(starts)]  # of pieces
+    if n >= OVERLAP:
+        h = words.hashes(known)[words.codes]
         window = h[:-2] * _A + h[1:-1] * _B + h[2:] * _C
         window ^= window >> np.uint64(29)
-        at = np.flatnonzero((window * _A >> np.uint64(32)) % np.uint64(modulus) == 0)
-        piece = np.searchsorted(ends, at, side="right")
-        begins[at[at + OVERLAP <= ends[piece]]] = True
-    begins[starts] = True
+        trigger = (window * _A >> np.uint64(32)) % np.uint64(modulus) == 0
+        begins[:-2] |= trigger & (piece[2:] == piece[:-2])
     first = np.flatnonzero(begins)
-    end = ends[np.searchsorted(ends, first, side="right")]
-    after = np.concatenate([first[1:], [len(words)]])
-    last = after >= end
-    yield from zip(first.tolist(), (np.minimum(after, end) - first).tolist(), (np.where(last, end, after + OVERLAP) - first).tolist(), strict=True)
+    end = ends[np.searchsorted(starts, first, side="right") - 1]
+    after = np.concatenate([first[1:], [n]])[: len(first)]
+    return first, after - first, np.where(after == end, end, after + OVERLAP) - first
+
+
+def _parse(lang: str, texts: list[bytes], modulus: int, known: Hashes) -> Iterator[pa.RecordBatch]:
+    words = Words(b"\n".join(texts).translate(TABLE))
+    if not words.n:
+        return
+    first, own, size = chunks(words, modulus, known)
+    # all words with one blank after each, of which chunks are slices
+    length = words.ends - words.starts
+    ends = np.cumsum(length + 1)
+    starts = ends - length - 1
+    spaced = np.full(ends[-1], BLANK, np.uint8)
+    letters = np.ones(ends[-1], bool)
+    letters[ends - 1] = False
+    spaced[letters] = words.letters
+    line = spaced.tobytes()
+    cuts = zip(starts[first].tolist(), (ends[first + size - 1] - 1).tolist(), strict=True)
+    table = pa.table({"own": pa.array(own, pa.int32()), "chunk": pa.array([line[a:b] for a, b in cuts], pa.binary())})
+    counted = table.group_by(["own", "chunk"]).aggregate([([], "count_all")])
+    some = pa.table({"lang": pa.repeat(lang, counted.num_rows), "own": counted["own"], "chunk": counted["chunk"], "n": counted["count_all"]})
+    yield from some.to_batches(max_chunksize=50_000)
 
 
 def _parsed(modulus: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows lang, text: lang, owned words, chunk and its frequency here."""
-    hashes = Hashes()
-    held: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
-    n = 0
+    held: dict[str, list[bytes]] = defaultdict(list)
+    size, known = 0, Hashes()
 
     def out() -> Iterator[pa.RecordBatch]:
-        for lang, (words, sizes) in held.items():
-            found = Counter((own, b" ".join(words[at : at + size])) for at, own, size in chunks(words, sizes, hashes, modulus))
-            rows = list(found.items())
-            for k in range(0, len(rows), 50_000):
-                some = rows[k : k + 50_000]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": pa.array([lang] * len(some), pa.string()),
-                        "own": pa.array([own for (own, _), _ in some], pa.int32()),
-                        "chunk": pa.array([chunk for (_, chunk), _ in some], pa.binary()),
-                        "n": pa.array([n for _, n in some], pa.int64()),
-                    }
-                )
+        for lang, texts in held.items():
+            yield from _parse(lang, texts, modulus, known)
 
     for got in batches:
-        for lang, text in zip(got.column(0).to_pylist(), got.column(1), strict=True):
-            words, sizes = held[lang]
-            for piece in text.as_py().translate(TABLE).split(b"\n"):
-                some = piece.split()
-                if some:
-                    words += some
-                    sizes.append(len(some))
-                    n += len(some)
-            if n >= HELD:
+        for lang, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+            held[lang].append(text)
+            size += len(text)
+            if size >= HELD:
                 yield from out()
                 held.clear()
-                n = 0
+                size = 0
     yield from out()
 
 
@@ -122,21 +146,34 @@ def dictionary(documents: DataFrame, lang_col: str, text_col: str, modulus: int)
     return parsed.groupBy("lang", "own", "chunk").agg(F.sum("n").alias("n"))
 
 
+#: By place in a phrase, how far its word's hash is turned before all are combined.
+_TURN = 13
+
+
+def _turned(h, bits: int):
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits)) if bits else h
+
+
+def _turned_column(h: Column, bits: int) -> Column:
+    return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) if bits else h
+
+
 class Bitmap:
-    """Whether a phrase may be frequent."""
+    """Whether a phrase may be frequent, by its hash."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def may(self, seed: int, phrases: list[bytes]) -> np.ndarray:
-        digest = xxhash.xxh64_intdigest
-        at = np.fromiter((digest(x, seed) for x in phrases), np.uint64, len(phrases)) % np.uint64(BITS)
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.uint64(BITS - 1)
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap(frequent: DataFrame) -> Bitmap:
+def bitmap(frequent: DataFrame, length: int) -> Bitmap:
     """Of the phrases of a table: at most BITS / _PAGE rows come to the driver, 4 KB each."""
-    at = F.pmod(F.xxhash64("lang", "phrase"), F.lit(BITS))
+    words = F.split("phrase", " ", -1)
+    parts = [_turned_column(F.xxhash64(words[k]), _TURN * k) for k in range(length)]
+    at = F.pmod(reduce(Column.bitwiseXOR, parts, F.xxhash64("lang")), F.lit(BITS))
     pages = frequent.select((at / _PAGE).cast("int").alias("page"), (at % _PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits = np.zeros(BITS // 8, np.uint8)
     for row in pages.toLocalIterator():
@@ -144,60 +181,66 @@ def bitmap(frequent: DataFrame) -> Bitmap:
     return Bitmap(bits)
 
 
-def grams(lang: str, words: list[bytes], sizes: np.ndarray, own: np.ndarray, weights: np.ndarray, length: int, may: list[Bitmap]) -> tuple[list[bytes], np.ndarray]:
-    """Phrases of `length` words and their weights, of chunks that follow one another. may: by length, from one word."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    phrases = list(dict.fromkeys(words))
-    number = {word: k for k, word in enumerate(phrases)}
-    code = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    chunk = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.cumsum(sizes)
-    owned = np.arange(len(words)) < (ends - sizes + own)[chunk]  # n-grams that begin here count for this chunk
-    left = ends[chunk] - np.arange(len(words))  # words to the end of the chunk
-    single, ids = phrases, code
+def grams(lang: str, data: bytes, own: np.ndarray, weights: np.ndarray, length: int, may: list[Bitmap], known: Hashes) -> tuple[pa.Array, np.ndarray]:
+    """Phrases of `length` words and their weights, of chunks, one in a line. may: by length, from one word."""
+    words = Words(data)
+    codes, chunk, n = words.codes, words.piece, words.n
+    ends = np.searchsorted(chunk, np.arange(len(own)), side="right")
+    starts = np.concatenate([[0], ends[:-1]])
+    left = ends[chunk] - np.arange(n)  # words to the end of the chunk
+    at = np.arange(n)
+    if length > 1:
+        h = words.hashes(known)
+        total = np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42)) ^ h[codes]
+    for k in range(1, length):  # of the places of phrases of k words to those of one word more
+        open_ = np.zeros(n, bool)
+        open_[at[may[k - 1].may(total[at])]] = True
+        at = np.flatnonzero(open_[:-1] & open_[1:] & (left[:-1] > k))
+        total[at] ^= _turned(h[codes[at + k]], _TURN * k)
+    # a phrase that begins here counts for this chunk
+    at = at[at < (starts + own)[chunk[at]]]
+    if not len(at):
+        return pa.array([], pa.binary()), np.zeros(0, np.int64)
+    worth = weights[chunk[at]].astype(np.float64)  # sums of whole numbers, exact up to 2 ** 53
+    if length == 1:
+        counts = np.bincount(codes[at], worth, len(words.distinct)).astype(np.int64)
+        some = np.flatnonzero(counts)
+        return words.distinct.take(pa.array(some)), counts[some]
+    keys, distinct = codes[at], len(words.distinct)
     for k in range(1, length):
-        open_ = may[k - 1].may(seed, phrases)
-        ids = np.where((ids >= 0) & open_[ids], ids, -1)
-        follows = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (left[:-1] > k))
-        if not len(follows):
-            return [], np.zeros(0, np.int64)
-        # the n-gram is one of k words and the k-th word after it
-        keys, inverse = np.unique(ids[follows] * len(single) + code[follows + k], return_inverse=True)
-        phrases = [phrases[a] + b" " + single[b] for a, b in zip((keys // len(single)).tolist(), (keys % len(single)).tolist(), strict=True)]
-        ids = np.full(len(words), -1, np.int64)
-        ids[follows] = inverse
-    some = np.flatnonzero(owned & (ids >= 0))
-    # sums of whole numbers, exact up to 2 ** 53
-    return phrases, np.bincount(ids[some], weights[chunk[some]].astype(np.float64), len(phrases)).astype(np.int64)
+        if int(keys.max()) + 1 > (1 << 62) // distinct:
+            keys = np.unique(keys, return_inverse=True)[1]
+        keys = keys * distinct + codes[at + k]
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    counts = np.bincount(inverse, worth).astype(np.int64)
+    parts = [words.distinct.take(pa.array(codes[at[first] + k])) for k in range(length)]
+    return pc.binary_join_element_wise(*parts, b" "), counts
 
 
 def _counted(length: int, may, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows lang, own, chunk, n: lang, phrase and its count here."""
-    held: dict[str, tuple[list, list, list, list]] = defaultdict(lambda: ([], [], [], []))
-    size = 0
+    held: dict[str, list[pa.RecordBatch]] = defaultdict(list)
+    size, known = 0, Hashes()
 
     def out() -> Iterator[pa.RecordBatch]:
-        for lang, (words, sizes, own, weights) in held.items():
-            phrases, counts = grams(lang, words, *(np.array(x, np.int64) for x in (sizes, own, weights)), length, may.value)
-            for k in range(0, len(phrases), 50_000):
-                some = counts[k : k + 50_000]
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": pa.array([lang] * len(some), pa.string()), "phrase": pa.array(phrases[k : k + 50_000], pa.binary()), "f": pa.array(some, pa.int64())}
-                ).filter(pa.array(some > 0))
+        for lang, some in held.items():
+            rows = pa.Table.from_batches(some)
+            own, weights = (rows.column(c).to_numpy().astype(np.int64) for c in ("own", "n"))
+            chunk = pa.concat_arrays(rows.column("chunk").chunks)
+            lines = pc.binary_join(pa.ListArray.from_arrays([0, len(chunk)], chunk), b"\n")
+            phrases, counts = grams(lang, lines[0].as_py(), own, weights, length, may.value, known)
+            found = pa.table({"lang": pa.repeat(lang, len(counts)), "phrase": phrases, "f": pa.array(counts, pa.int64())})
+            yield from found.to_batches(max_chunksize=50_000)
 
     for got in batches:
-        for lang, own, chunk, n in zip(*(c.to_pylist() for c in got.columns), strict=True):
-            words, sizes, owned, weights = held[lang]
-            some = chunk.split(b" ")
-            words += some
-            sizes.append(len(some))
-            owned.append(own)
-            weights.append(n)
-            size += len(some)
-            if size >= HELD:
-                yield from out()
-                held.clear()
-                size = 0
+        langs = got.column(0).dictionary_encode()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            held[lang].append(got.filter(pc.equal(langs.indices, k)) if len(langs.dictionary) > 1 else got)
+        size += got.column(2).nbytes
+        if size >= HELD:
+            yield from out()
+            held.clear()
+            size = 0
     yield from out()
 
 
@@ -210,7 +253,7 @@ def frequent(spark: SparkSession, parsed: DataFrame, least: int, longest: int =
         found.append(stored(spark, counts.filter(F.col("f") >= least).withColumn("phrase", F.col("phrase").cast("string")), f"phrases{length}"))
         known.unpersist()
         if length < longest:
-            may.append(bitmap(found[-1]))
+            may.append(bitmap(found[-1], length))
     return found
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -58,6 +59,24 @@ def test_a_row_whose_neighbours_stay_apart_is_the_encoding(pairs):
         assert (together == ids) == all(pairs.apart(a, b) for a, b in zip(ids, ids[1:], strict=False))
 
 
+def test_short_and_long_merges_agree(pairs):
+    rng = random.Random(7)
+    for some in (b"ab", b"theing ", b"=-", bytes(range(256))):
+        for _ in range(100):
+            data = bytes(rng.choice(some) for _ in range(rng.randint(1, 60)))
+            assert pairs.short(data) == pairs.encoded(data) == pairs.merged(data)
+
+
+def test_blanks_part_texts_without_a_change(pairs, public, monkeypatch):
+    known = byte_pairs.Cached(pairs, regex.compile(public_tokenizers.PATTERN), most=50)
+    spaces = [" a  b", "a \nb ", "  ", "\t x\x1c y\x85 z\u3000 w", "it's 's  've ' ll", " 1 2  3", "a\x1f b", "\u200b c"]
+    for size in (byte_pairs.SLICE, 20):
+        monkeypatch.setattr(byte_pairs.stretches, "__defaults__", (size,))
+        for text in [*spaces, *texts(8)]:
+            assert known.ids(text) == np.array(public.encode_ordinary(text), "<i4").tobytes()
+    assert len(known) <= 50 and len(known.pieces) <= 50
+
+
 @pytest.mark.parametrize("size", [4, 7, 64])
 def test_slices_part_a_text_as_one(size):
     pattern = regex.compile(public_tokenizers.PATTERN)

@@ -86,14 +86,18 @@ def test_small_buffers_give_the_same(spark, monkeypatch):
     assert sum(own * n for (_, own, _), n in some.items()) == sum(len(w) for r in rows for w in words_of(r[2]))
 
 
+def chunks_of(words, modulus):
+    first, own, size = cl.chunks(cl.Words(b" ".join(words)), modulus, cl.Hashes())
+    return [(b" ".join(words[a : a + n]), k, n) for a, k, n in zip(first.tolist(), own.tolist(), size.tolist(), strict=True)]
+
+
 def test_equal_passages_are_cut_alike():
     rng = random.Random(4)
-    hashes = cl.Hashes()
     passage = [rng.choice("abcdefgh").encode() for _ in range(200)]
     found = []
     for _ in range(3):
         words = [rng.choice("xyz").encode() for _ in range(rng.randint(5, 40))] + passage
-        found.append({b" ".join(words[at : at + size]) for at, _, size in cl.chunks(words, [len(words)], hashes, 8)})
+        found.append({chunk for chunk, _, _ in chunks_of(words, 8)})
     common = set.intersection(*found)
     assert len(common) > 10
     assert all(len(chunk.split()) > 3 for chunk in common)
@@ -103,17 +107,29 @@ def test_no_chunk_begins_another_without_its_end():
     """The chunks between two triggers are prefix-free: a trigger ends a chunk and stands nowhere else inside it."""
     rng = random.Random(5)
     words = [rng.choice("abcd").encode() for _ in range(5000)]
-    found = sorted({b" ".join(words[at : at + size]) + b" " for at, own, size in cl.chunks(words, [5000], cl.Hashes(), 8) if own < size})
+    found = sorted({chunk + b" " for chunk, own, size in chunks_of(words, 8) if own < size})
     assert not any(b.startswith(a) for a, b in zip(found, found[1:], strict=False))
 
 
+def test_words_and_pieces():
+    words = cl.Words("  a b\tc. D,e\n\n\x0b f  g ".encode().translate(cl.TABLE))
+    assert [words.distinct[k].as_py() for k in words.codes.tolist()] == [b"a", b"b", b"c", b"d", b"e", b"f", b"g"]
+    assert np.unique(words.piece, return_counts=True)[1].tolist() == [3, 1, 1, 2]
+    assert cl.Words(b"").n == cl.Words(b" \n ").n == 0
+
+
 def test_bitmap_holds_all_frequent_phrases(spark):
-    phrases = [("en", f"w{k} é") for k in range(2000)]
+    phrases = [("en", f"w{k} é w{k + 1}") for k in range(2000)]
     table = spark.createDataFrame(phrases, "lang string, phrase string")
-    may = cl.bitmap(table)
-    seed = xxhash.xxh64_intdigest(b"en", 42)
-    assert may.may(seed, [p.encode() for _, p in phrases]).all()
-    assert may.may(seed, [f"v{k}".encode() for k in range(2000)]).mean() < 0.01
+    may = cl.bitmap(table, 3)
+
+    def hashes(some):
+        h = lambda x: np.array([xxhash.xxh64_intdigest(x.encode(), 42)], np.uint64)
+        turned = [[cl._turned(h(w), cl._TURN * k) for k, w in enumerate(p.split())] for p in some]
+        return np.concatenate([h("en") ^ a ^ b ^ c for a, b, c in turned])
+
+    assert may.may(hashes(p for _, p in phrases)).all()
+    assert may.may(hashes(f"v{k} w x" for k in range(2000))).mean() < 0.01
     assert int(np.unpackbits(may.bits).sum()) <= 2000
 
 
