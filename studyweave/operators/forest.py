@@ -1,25 +1,38 @@
-"""Random forest: grid, cross-validated tuning, one final fit, permutation importance."""
+"""Random forests in batches: grid, cross-validated tuning, final fit, scores, permutation importance.
+
+A forest is grown batch by batch, each with a seed of its own, and the votes of the batches add up. What a
+batch gives is written at once, so a run that broke off goes on where it was if it gets the same folder again.
+The folder belongs to one set of rows and parameters.
+
+In the final forest a batch draws its rows by a hash of key and batch: a row is drawn 0, 1, 2 .. times, 1 on average,
+as when rows are drawn with replacement. The rows that a batch did not draw are known for ever, as its out-of-bag
+rows; over the batches each row is one of these many times.
+"""
 
 from __future__ import annotations
 
 import math
-import uuid
+from collections.abc import Iterable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import written_whole
 from .evaluate import roc_auc, score_counts
 from .joins import ROWS_PER_TASK
 from .ordered import digest_rank
 from .recipe import Recipe, RecipeModel
 from .split import KEY, LABEL, shuffle_digest
 
+#: Batches that are grown at the same time; each holds its own trees only.
+PARALLELISM = 8
+OWN = -1  # the variant of a row with all values its own
+
 
 def _levels(low: float, high: float, n: int) -> list[int]:
     """n whole numbers spread evenly over a range, repeats dropped."""
@@ -32,85 +45,119 @@ def grid(n_features: int, levels: int = 4) -> list[tuple[int, int]]:
     return [(m, n) for m in _levels(2, widest, levels) for n in _levels(5, 40, levels)]
 
 
-def classifier(n_trees: int = 500, seed: int = 42, max_depth: int = 30) -> RandomForestClassifier:
+def classifier(
+    n_trees: int, mtry: int, min_n: int, seed: int, bootstrap: bool = True, max_depth: int = 30
+) -> RandomForestClassifier:
+    """Where each row stands in the trees is kept; else the trees are sent along with every step, and the time
+    grows faster than their number."""
     return RandomForestClassifier(
-        labelCol="label",
-        featuresCol="features",
         numTrees=n_trees,
+        featureSubsetStrategy=str(mtry),
+        minInstancesPerNode=min_n,
         maxDepth=max_depth,
         seed=seed,
+        bootstrap=bootstrap,
         maxMemoryInMB=1024,
+        cacheNodeIds=True,
     )
 
 
-def _settings(forest: RandomForestClassifier, mtry: int, min_n: int) -> dict:
-    return {forest.featureSubsetStrategy: str(mtry), forest.minInstancesPerNode: min_n}
+def batches(n_trees: int, size: int) -> list[tuple[int, int]]:
+    """(number, trees) of the batches of a forest."""
+    return [(k, min(size, n_trees - k * size)) for k in range(math.ceil(n_trees / size))]
 
 
-def labelled(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("label", F.col(LABEL).cast("double"))
+def draws(key: Column, seed: int, batch: Column | int) -> Column:
+    """How often a batch draws a row: a Poisson number with mean 1, made from a hash."""
+    batch = batch if isinstance(batch, Column) else F.lit(batch)
+    share = F.pmod(F.xxhash64(key, F.lit(seed), batch), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    bounds, total = [], 0.0
+    for k in range(12):  # beyond, the chance is under 1e-9
+        total += math.exp(-1) / math.factorial(k)
+        bounds.append(total)
+    return reduce(lambda a, b: a + b, [(share >= bound).cast("int") for bound in bounds])
 
 
-def event_score(model_output: DataFrame) -> DataFrame:
-    """Key, label, probability of the event, predicted class."""
-    return model_output.select(
-        KEY,
-        LABEL,
-        vector_to_array("probability")[1].alias("score"),
-        F.col("prediction").cast("int").cast("string").alias("predicted"),
-    )
+def _at_once(spark: SparkSession, work, jobs: Iterable, parallelism: int) -> list:
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), list(jobs), 1)
+
+
+def _written(spark: SparkSession, path: str, build) -> DataFrame:
+    """The frame at a path, which is written unless it is there."""
+    if not written_whole(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _score(votes: Column, trees: Column | int) -> Column:
+    """The share of the votes. Sums differ by their order in the last digits, which would part equal scores."""
+    return F.round(votes / trees, 9)
+
+
+def _in_order(rows: DataFrame, n_rows: int, rows_per_task: int = 250_000) -> DataFrame:
+    """The rows in partitions and an order that follow from their keys and number alone, as trees depend on both."""
+    return rows.repartition(max(1, math.ceil(n_rows / rows_per_task)), KEY).sortWithinPartitions(KEY)
+
+
+def _votes(model: RandomForestClassificationModel, rows: DataFrame, out: str = "votes") -> DataFrame:
+    """Add the event's share of the model's trees, times their number."""
+    columns = {model.rawPredictionCol: f"{out} of classes", model.probabilityCol: "", model.predictionCol: ""}
+    voted = model.transform(rows, columns)
+    return voted.withColumn(out, vector_to_array(f"{out} of classes")[1]).drop(f"{out} of classes")
 
 
 def tune(
     train: DataFrame,
     points: list[tuple[int, int]],
+    folder: str,
     n_trees: int = 500,
     n_folds: int = 5,
     seed: int = 42,
-    parallelism: int = 8,
-    keep=lambda frame, name: frame,
+    batch: int = 250,
+    parallelism: int = PARALLELISM,
 ) -> list[tuple[int, int, float, float]]:
     """(mtry, min_n, mean AUC, standard error) per grid point, best first.
 
-    The recipe is fitted once per fold, on the fold's own train rows, and serves all grid points. A
-    fitted forest scores its held-out rows at once and is let go, so that at most `parallelism` of them
-    are held. `keep` writes what is read more than once: the two encoded parts of a fold, and the counted
-    scores of each forest.
+    The recipe is fitted once per fold, on the fold's own train rows, and serves all grid points. The votes of each
+    batch on the held-out rows are written, and its trees let go.
     """
-    forest = classifier(n_trees, seed)
-    run = uuid.uuid4().hex  # what `keep` writes for this call belongs to it alone
-    in_session = inheritable_thread_target(train.sparkSession)
+    spark, folder = train.sparkSession, folder.rstrip("/")
 
     def prepare(fold):
-        rest, out = train.filter(F.col("fold") != fold), train.filter(F.col("fold") == fold)
-        recipe = Recipe(keep=lambda counts, name: keep(counts, f"fold{fold}_{name}_{run}")).fit(rest)
-
-        def encoded(rows, part):
-            return keep(labelled(recipe.transform(rows)).select("label", "features"), f"fold{fold}_{part}_{run}")
-
-        return encoded(rest, "fit"), encoded(out, "out")
-
-    def score(job):
-        fold, (fit_part, held_out), (mtry, min_n) = job
-        model = forest.fit(fit_part, _settings(forest, mtry, min_n))
-        scored = model.transform(held_out).select(
-            "label",
-            vector_to_array("probability")[1].alias("score"),
-            F.lit(fold).alias("fold"),
-            F.lit(f"{mtry},{min_n}").alias("point"),
-        )
-        counted = score_counts(scored, F.col("score"), F.col("label") == 1, ["fold", "point"])
-        return keep(counted, f"scores_{fold}_{mtry}_{min_n}_{run}")
-
-    with ThreadPool(parallelism) as pool:
-        folds = pool.map(in_session(prepare), range(n_folds))
-        jobs = [(fold, parts, point) for fold, parts in enumerate(folds) for point in points]
-        counts = reduce(DataFrame.unionByName, pool.map(in_session(score), jobs, 1))
-
-    names = [f"{mtry},{min_n}" for mtry, min_n in points]
-    counts = keep(counts, f"tuning_scores_{run}")
+        here = f"{folder}/folds/{fold}"
+        if not written_whole(spark, f"{here}/out"):
+            rest, out = train.filter(F.col("fold") != fold), train.filter(F.col("fold") == fold)
+            recipe = Recipe().fit(rest)
+            for part, rows in (("fit", rest), ("out", out)):
+                recipe.transform(rows).select(KEY, "label", "features").write.mode("overwrite").parquet(f"{here}/{part}")
+        fit_part, held_out = (spark.read.parquet(f"{here}/{part}") for part in ("fit", "out"))
+        return _in_order(fit_part, fit_part.count()), held_out
+
+    def grow(job):
+        fold, (mtry, min_n), (number, trees) = job
+        fit_part, held_out = folds[fold]
+
+        def votes():
+            model = classifier(trees, mtry, min_n, seed + number).fit(fit_part)
+            return _votes(model, held_out).select(KEY, "label", "votes")
+
+        _written(spark, f"{folder}/votes/fold={fold}/point={mtry}_{min_n}/batch={number}", votes)
+
+    folds = _at_once(spark, prepare, range(n_folds), parallelism)
+    _at_once(
+        spark,
+        grow,
+        [(fold, point, some) for some in batches(n_trees, batch) for fold in range(n_folds) for point in points],
+        parallelism,
+    )
+    kinds = f"{KEY} string, label double, votes double, fold int, point string, batch int"
+    names = [f"{mtry}_{min_n}" for mtry, min_n in points]
+    votes = spark.read.schema(kinds).parquet(f"{folder}/votes").filter(F.col("point").isin(names))
+    scores = votes.groupBy("fold", "point", KEY, "label").agg(_score(F.sum("votes"), n_trees).alias("score"))
+    counted = score_counts(scores, F.col("score"), F.col("label") == 1, ["fold", "point"])
     found = (
-        roc_auc(counts, ["fold", "point"])
+        roc_auc(_written(spark, f"{folder}/counts", lambda: counted), ["fold", "point"])
         .groupBy("point")
         .agg(F.avg("auc").alias("mean"), (F.stddev("auc") / F.sqrt(F.count("*"))).alias("std_err"))
     )
@@ -123,13 +170,85 @@ def tuning_table(spark: SparkSession, rows: list[tuple[int, int, float, float]])
     return spark.createDataFrame(rows, "mtry int, min_n int, mean_auc double, std_err double")
 
 
+class Forest:
+    """A recipe and the trees of all batches, read from the folder that `fit_final` wrote."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.recipe = RecipeModel.load(f"{self.folder}/recipe")
+        listed = spark.read.json(f"{self.folder}/forest").orderBy("batch").collect()  # one row per batch
+        self.seed, self.n_trees = listed[0].seed, sum(row.trees for row in listed)
+        load = lambda row: RandomForestClassificationModel.load(f"{self.folder}/batch={row.batch}")
+        self.models = _at_once(spark, load, listed, PARALLELISM)
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Key, label, probability of the event, predicted class."""
+        voted = self.recipe.transform(rows)
+        names = [f"votes {k}" for k in range(len(self.models))]
+        for name, model in zip(names, self.models, strict=True):
+            voted = _votes(model, voted, name)
+        votes = reduce(lambda a, b: a + b, [F.col(name) for name in names])
+        return voted.select(KEY, LABEL, _score(votes, self.n_trees).alias("score")).withColumn("predicted", predicted())
+
+
+def predicted() -> Column:
+    return F.when(F.col("score") > 0.5, "1").otherwise("0")
+
+
 def fit_final(
-    train: DataFrame, mtry: int, min_n: int, n_trees: int = 500, seed: int = 42, recipe: RecipeModel | None = None
-):
-    """Recipe and forest fitted on all train rows: (recipe model, forest model)."""
-    recipe = recipe or Recipe().fit(train)
-    forest = classifier(n_trees, seed)
-    return recipe, forest.fit(labelled(recipe.transform(train)), _settings(forest, mtry, min_n))
+    train: DataFrame,
+    mtry: int,
+    min_n: int,
+    folder: str,
+    n_trees: int = 500,
+    seed: int = 42,
+    batch: int = 10,
+    parallelism: int = PARALLELISM,
+) -> Forest:
+    """Recipe and forest fitted on all train rows, written to the folder and read back from it."""
+    spark, folder = train.sparkSession, folder.rstrip("/")
+    if not written_whole(spark, f"{folder}/rows"):
+        recipe = Recipe().fit(train)
+        recipe.write().overwrite().save(f"{folder}/recipe")
+        recipe.transform(train).select(KEY, "label", "features").write.mode("overwrite").parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    n_rows = rows.count()
+
+    def grow(some):
+        number, trees = some
+        if not written_whole(spark, f"{folder}/grown/{number}"):
+            drawn = rows.withColumn("_", F.explode(F.array_repeat(F.lit(0), draws(F.col(KEY), seed, number)))).drop("_")
+            model = classifier(trees, mtry, min_n, seed + number, bootstrap=False).fit(_in_order(drawn, n_rows))
+            model.write().overwrite().save(f"{folder}/batch={number}")
+            spark.range(1).write.mode("overwrite").parquet(f"{folder}/grown/{number}")  # says that the trees are whole
+
+    listed = batches(n_trees, batch)
+    _at_once(spark, grow, listed, parallelism)
+    described = spark.createDataFrame([(k, n, seed) for k, n in listed], "batch int, trees int, seed int")
+    described.coalesce(1).write.mode("overwrite").json(f"{folder}/forest")
+    return Forest(spark, folder)
+
+
+def out_of_bag(forest: Forest, train: DataFrame, parallelism: int = PARALLELISM) -> DataFrame:
+    """Key, label, score and predicted class of the train rows, each by the batches that did not draw it, and the
+    number of these batches."""
+    spark, encoded = forest.spark, forest.recipe.transform(train).select(KEY, LABEL, "features")
+
+    def vote(job):
+        number, model = job
+
+        def votes():
+            voted = _votes(model, encoded.filter(draws(F.col(KEY), forest.seed, number) == 0))
+            return voted.select(KEY, LABEL, "votes", F.lit(model.getNumTrees).alias("trees"))
+
+        _written(spark, f"{forest.folder}/out_of_bag/batch={number}", votes)
+
+    _at_once(spark, vote, enumerate(forest.models), parallelism)
+    votes = spark.read.parquet(f"{forest.folder}/out_of_bag")
+    scored = votes.groupBy(KEY, LABEL).agg(
+        _score(F.sum("votes"), F.sum("trees")).alias("score"), F.count("*").alias("n_batches")
+    )
+    return scored.withColumn("predicted", predicted())
 
 
 def donors(
@@ -149,46 +268,49 @@ def donors(
 
 
 def permutation_importance(
-    recipe: RecipeModel,
-    forest,
-    held_out: DataFrame,
+    forest: Forest,
+    train: DataFrame,
     n_repeats: int = 5,
     seed: int = 42,
-    keep=lambda frame, name: frame,
+    parallelism: int = PARALLELISM,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Mean loss of accuracy when one encoded feature is shuffled among held-out rows.
+    """Loss of accuracy when one encoded feature is shuffled, on the rows that a batch did not draw: mean and standard
+    deviation over the batches.
 
-    A repeat shuffles once; every feature in turn is then taken from the donor row, so the number
-    of shuffles does not grow with the number of features.
+    A repeat shuffles all rows once, and batches take turns with the repeats; every feature in turn is then taken from
+    the donor row, so the number of shuffles grows neither with the features nor with the batches.
     """
-    encoded = keep(recipe.encode(held_out), f"importance_rows_{uuid.uuid4().hex}")
-    n_rows = encoded.count()
-
-    def hits(frame: DataFrame, inputs: list[str], name: str) -> DataFrame:
-        """Add `hit_<name>`: is the prediction from these columns right?"""
-        assembled = VectorAssembler(inputCols=inputs, outputCol=f"{name} features").transform(frame)
-        columns = {
-            forest.featuresCol: f"{name} features",
-            forest.rawPredictionCol: f"{name} votes",
-            forest.probabilityCol: "",
-            forest.predictionCol: f"{name} prediction",
-        }
-        right = F.col(f"{name} prediction") == F.col(LABEL).cast("double")
-        return forest.transform(assembled, columns).withColumn(f"hit_{name}", right.cast("int"))
-
-    trials = []
-    for repeat in range(n_repeats):
-        frame = donors(encoded, recipe.features, f"{seed}|{repeat}", n_rows, rows_per_task)
-        frame = hits(frame, recipe.features, "own")
-        for name in recipe.features:
-            frame = frame.withColumn(f"{name} given", F.col("donor")[name])
-            inputs = [f"{name} given" if c == name else c for c in recipe.features]
-            frame = hits(frame, inputs, name)
-        losses = [(F.avg("hit_own") - F.avg(f"hit_{n}")).alias(n) for n in recipe.features]
-        trials.append(frame.agg(*losses).unpivot([], recipe.features, "feature", "loss"))
-    return (
-        reduce(DataFrame.unionByName, trials)
-        .groupBy("feature")
-        .agg(F.avg("loss").alias("importance"), F.stddev("loss").alias("std_dev"))
+    spark, folder, names = forest.spark, forest.folder, forest.recipe.features
+    own = F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("own")
+    rows = _written(spark, f"{folder}/importance/rows", lambda: forest.recipe.encode(train).select(KEY, LABEL, own))
+    n_rows = rows.count()
+
+    def shuffled(repeat):
+        given = lambda: donors(rows, ["own"], f"{seed}|{repeat}", n_rows, rows_per_task)
+        return _written(spark, f"{folder}/importance/shuffled/{repeat}", given)
+
+    def hit(job):
+        number, model = job
+        # a row for each feature, with this one feature of the donor, and one as it is
+        left_out = shuffles[number % n_repeats].filter(draws(F.col(KEY), forest.seed, number) == 0)
+        variants = left_out.withColumn("variant", F.explode(F.sequence(F.lit(OWN), F.lit(len(names) - 1))))
+        mixed = F.transform("own", lambda x, i: F.when(i == F.col("variant"), F.col("donor.own")[i]).otherwise(x))
+
+        def hits():
+            voted = _votes(model, variants.withColumn("features", array_to_vector(mixed)))
+            right = (F.col("votes") / model.getNumTrees > 0.5) == (F.col(LABEL).cast("int") == 1)
+            return voted.groupBy("variant").agg(F.avg(right.cast("int")).alias("accuracy"))
+
+        _written(spark, f"{folder}/importance/hits/batch={number}", hits)
+
+    shuffles = _at_once(spark, shuffled, range(n_repeats), parallelism)
+    _at_once(spark, hit, enumerate(forest.models), parallelism)
+    hits = spark.read.parquet(f"{folder}/importance/hits")  # features x batches
+    whole = hits.filter(F.col("variant") == OWN).select("batch", F.col("accuracy").alias("whole"))
+    losses = hits.filter(F.col("variant") != OWN).join(whole, "batch")
+    feature = F.element_at(F.array(*map(F.lit, names)), F.col("variant") + 1)
+    loss = F.col("whole") - F.col("accuracy")
+    return losses.groupBy(feature.alias("feature")).agg(
+        F.avg(loss).alias("importance"), F.stddev(loss).alias("std_dev"), F.count("*").alias("n_batches")
     )

@@ -1,17 +1,22 @@
-"""Preprocessing as one fitted unit: what it learns comes from the rows it is fitted on only."""
+"""Preprocessing as one fitted unit: what it learns comes from the rows it is fitted on only.
+
+`Recipe` and `RecipeModel` are pipeline stages with parameters, written and read as others are.
+"""
 
 from __future__ import annotations
 
-import json
 import re
-import uuid
 
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import Workspace
 from .ordered import exact_quantiles
 
 UNKNOWN, OTHER = "unknown", "other"
@@ -82,58 +87,93 @@ def dummies(frame: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     return frame.withColumns(indicators).drop(*levels) if levels else frame
 
 
-class Recipe(Estimator):
-    """Median, unknown level, pooled rare levels, dummies, constants dropped, features assembled."""
+class _Columns(Params):
+    """Parameters of the recipe and of what it learned."""
+
+    ids = Param(Params._dummy(), "ids", "columns that are no predictors", TypeConverters.toListString)
+    outcome = Param(Params._dummy(), "outcome", "column with 0 or 1, as text or number", TypeConverters.toString)
+    label = Param(Params._dummy(), "label", "the outcome as a number, for a classifier", TypeConverters.toString)
+    output = Param(Params._dummy(), "output", "column of the assembled features", TypeConverters.toString)
 
-    def __init__(
-        self,
-        ids=("patient_key", "os_event", "split", "fold"),
-        threshold: float = 0.02,
-        keep=lambda frame, name: frame,
-    ):
+    def __init__(self):
         super().__init__()
-        self.ids = tuple(ids)
-        self.threshold = threshold
-        self.keep = keep
+        self._setDefault(
+            ids=["patient_key", "os_event", "split", "fold"], outcome="os_event", label="label", output="features"
+        )
+
+
+class Recipe(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
+    """Median, unknown level, pooled rare levels, dummies, constants dropped, features assembled.
+
+    While it is fitted, value counts are written to the shared folder; they are removed after.
+    """
+
+    threshold = Param(Params._dummy(), "threshold", "least share of a level of its own", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, ids=None, threshold=None, outcome=None, label=None, output=None):
+        super().__init__()
+        self._setDefault(threshold=0.02)
+        self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "RecipeModel":
-        fields = [f for f in dataset.schema.fields if f.name not in self.ids]
+        ids, output = self.getOrDefault("ids"), self.getOrDefault("output")
+        fields = [f for f in dataset.schema.fields if f.name not in ids]
         nominal = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
         numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
-        run = uuid.uuid4().hex  # what `keep` writes for this fit belongs to it alone
-        medians = train_medians(dataset, numeric, lambda counts, name: self.keep(counts, f"{name}_{run}"))
-        kept, with_rare = frequent_levels(dataset, nominal, self.threshold)
+        workspace = Workspace(dataset.sparkSession)
+        try:
+            medians = train_medians(dataset, numeric, lambda counts, name: workspace.table(name, lambda: counts))
+        finally:
+            workspace.close()
+        kept, with_rare = frequent_levels(dataset, nominal, self.getOrDefault("threshold"))
         levels = {c: kept[c] + ([OTHER] if c in with_rare and OTHER not in kept[c] else []) for c in nominal}
         encoded = dummies(pool_levels(impute(dataset.limit(0), medians), kept), levels)
-        features = [c for c in encoded.columns if c not in self.ids]
+        features = [c for c in encoded.columns if c not in ids]
         # A dummy has both values in train by the choice of its level; a number may be constant.
         varied = impute(dataset, medians).agg(
             F.lit(True).alias("_"), *[(F.min(c) < F.max(c)).alias(c) for c in numeric]
         )
         constant = {c for c, varies in varied.first().asDict().items() if not varies}
-        return RecipeModel(medians, kept, levels, [c for c in features if c not in constant])
+        learned = RecipeModel(medians, kept, levels, [c for c in features if c not in constant])
+        return self._copyValues(learned._set(output=output))
+
 
+class RecipeModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
+    """What a recipe learned, as parameters."""
 
-class RecipeModel(Model):
-    def __init__(self, medians, kept, levels, features):
+    learned = Param(Params._dummy(), "learned", "medians, kept levels, levels of the dummies, and feature names")
+
+    def __init__(self, medians=None, kept=None, levels=None, features=None):
         super().__init__()
-        self.medians, self.kept, self.levels, self.features = medians, kept, levels, features
+        self._set(learned={"medians": medians or {}, "kept": kept or {}, "levels": levels or {}, "features": features or []})
+
+    @property
+    def medians(self) -> dict[str, float]:
+        return self.getOrDefault(self.learned)["medians"]
+
+    @property
+    def kept(self) -> dict[str, list[str]]:
+        return self.getOrDefault(self.learned)["kept"]
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """What was learned, as one line of JSON."""
-        learned = {"medians": self.medians, "kept": self.kept, "levels": self.levels, "features": self.features}
-        spark.createDataFrame([(json.dumps(learned),)], "value string").coalesce(1).write.text(path)
+    @property
+    def levels(self) -> dict[str, list[str]]:
+        return self.getOrDefault(self.learned)["levels"]
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "RecipeModel":
-        return cls(**json.loads(spark.read.text(path).first().value))
+    @property
+    def features(self) -> list[str]:
+        return self.getOrDefault(self.learned)["features"]
 
     def encode(self, frame: DataFrame) -> DataFrame:
         """Scalar feature columns."""
         return dummies(pool_levels(impute(frame, self.medians), self.kept), self.levels)
 
     def assemble(self, encoded: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=self.features, outputCol="features").transform(encoded)
+        return VectorAssembler(inputCols=self.features, outputCol=self.getOrDefault("output")).transform(encoded)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return self.assemble(self.encode(dataset))
+        """Assembled features, and the label where the outcome is known."""
+        assembled, outcome = self.assemble(self.encode(dataset)), self.getOrDefault("outcome")
+        if outcome not in dataset.columns:
+            return assembled
+        return assembled.withColumn(self.getOrDefault("label"), F.col(outcome).cast("double"))

@@ -118,6 +118,48 @@ def src_clinical_long(c):
     return cohort.clean_records(records)
 
 
+PAGE_SIZE, LOST_PAGE, SHORT_PAGE = 25, 2, 1
+
+
+@query
+def src_listing_gaps(c):
+    """Of the pages of a listing of which one never came and one lacks an entry."""
+    folder = landing.land_pages(c.workspace, c.listing_in, PAGE_SIZE, LOST_PAGE, SHORT_PAGE)
+    return landed.listing_pages(c.spark, folder, PAGE_SIZE)
+
+
+# A study whose files break off, in the roster and in the records, and one that has nothing.
+BROKEN_ROSTER, BROKEN_RECORDS, NOTHING = "st_2_o", "st_3_f", "st_0_x"
+
+
+def _broken_roster(c: Cohort) -> str:
+    return landing.land_broken(c.workspace, landing.roster_lines(c.roster_in), "broken_roster", BROKEN_ROSTER, NOTHING)
+
+
+def _broken_records(c: Cohort) -> str:
+    lines = landing.clinical_lines(c.records_in)
+    return landing.land_broken(c.workspace, lines, "broken_records", BROKEN_RECORDS, NOTHING)
+
+
+@query
+def src_failed_studies(c):
+    """The state of every study's folder, of both sources."""
+    found = [
+        landed.study_states(c.spark, folder).select(F.lit(source).alias("source"), F.col("study").alias("study_id"), "state")
+        for source, folder in (("roster", _broken_roster(c)), ("records", _broken_records(c)))
+    ]
+    return cohort.union_by_name(found)
+
+
+@query
+def src_surviving_studies(c):
+    """Patients and records of the studies that could be read, where another one's files break off."""
+    roster, _ = landed.read_roster(c.spark, _broken_roster(c))
+    records, _ = landed.read_clinical(c.spark, _broken_records(c))
+    listed = roster.groupBy("study_id").agg(F.count("*").alias("n_patients"))
+    return records.groupBy("study_id").agg(F.count("*").alias("n_records")).join(listed, "study_id", "full")
+
+
 @query
 def src_cached(c):
     """Built and read again, under study ids that look like numbers."""
@@ -144,14 +186,23 @@ def sink_roundtrip(c):
     return store.store_profile(store.read_store(c.spark, folder))
 
 
+def _stored(c: Cohort) -> dict[str, DataFrame]:
+    """The tables as read back from a store."""
+    if not hasattr(c, "stored"):
+        folder = c.workspace.path("store_with_keys")
+        store.write_store(c.tables(), folder, check=False)
+        c.stored = store.read_store(c.spark, folder)
+    return c.stored
+
+
 @query
 def table_columns(c):
-    return store.table_columns(c.tables()).join(constraints.table_sizes(c.tables()), "tbl")
+    return store.table_columns(_stored(c)).join(constraints.table_sizes(_stored(c)), "tbl")
 
 
 @query
 def key_summary(c):
-    return constraints.key_summary(c.spark).join(constraints.table_sizes(c.tables()), "tbl")
+    return store.key_summary(_stored(c)).join(constraints.table_sizes(_stored(c)), "tbl")
 
 
 # Filters and projections.
@@ -681,7 +732,7 @@ def dummies(c):
 
 def _recipe(c: Cohort):
     if not hasattr(c, "recipe"):
-        c.recipe = recipe.Recipe(keep=_write(c)).fit(c.train())
+        c.recipe = recipe.Recipe().fit(c.train())
     return c.recipe
 
 
@@ -726,22 +777,21 @@ def majority_baseline(c):
     return rounded(evaluate.majority_share(c.test(), "os_event"), "majority_share")
 
 
-# The forest. The final fit and the importance grow the library's 500 trees. Tuning grows fewer: its 80 fits
-# of 500 trees would take over 76 minutes on eight cores at sf0.1; see README.
-TUNING_TREES = 10
+# The forest: 500 trees in the tuning, the final fit and the importance.
 
 
 def _tuned(c: Cohort) -> list:
     if not hasattr(c, "tuned"):
         points = forest.grid(len(_recipe(c).features))
-        c.tuned = forest.tune(c.train(), points, n_trees=TUNING_TREES, keep=_write(c))
+        c.tuned = forest.tune(c.train(), points, c.workspace.path("tuning"))
     return c.tuned
 
 
-def _final(c: Cohort):
+def _final(c: Cohort) -> forest.Forest:
+    """The fitted forest, as read back from its folder."""
     if not hasattr(c, "final"):
         mtry, min_n = _tuned(c)[0][:2]
-        c.final = forest.fit_final(c.train(), mtry, min_n, recipe=_recipe(c))
+        c.final = forest.fit_final(c.train(), mtry, min_n, c.workspace.path("forest"))
     return c.final
 
 
@@ -759,19 +809,12 @@ def rf_tune(c):
 
 @query
 def rf_fit(c):
-    fitted, model = _final(c)
-    scored = forest.event_score(model.transform(fitted.transform(c.train())))
-    return scored.groupBy("os_event", "predicted").agg(F.count("*").alias("n"))
+    return _final(c).score(c.train()).groupBy("os_event", "predicted").agg(F.count("*").alias("n"))
 
 
 def _scored(c: Cohort) -> DataFrame:
     """The test rows, scored once."""
-
-    def score():
-        fitted, model = _final(c)
-        return forest.event_score(model.transform(fitted.transform(c.test())))
-
-    return c.workspace.table("rf_scored", score)
+    return c.workspace.table("rf_scored", lambda: _final(c).score(c.test()))
 
 
 def _scored_counts(c: Cohort) -> DataFrame:
@@ -786,6 +829,14 @@ def rf_predictions(c):
     return rounded(_scored(c), "score")
 
 
+@query
+def rf_reloaded(c):
+    """Test rows scored by a forest that is read from its folder once more, beside the first scores."""
+    again = forest.Forest(c.spark, _final(c).folder).score(c.test()).select("patient_key", F.col("score").alias("again"))
+    same = F.col("score") == F.col("again")
+    return _scored(c).join(again, "patient_key", "full").groupBy(F.coalesce(same, F.lit(False)).alias("same")).agg(F.count("*").alias("n"))
+
+
 @query
 def rf_metrics(c):
     auc = evaluate.roc_auc(_scored_counts(c)).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
@@ -805,12 +856,24 @@ def rf_confusion(c):
     return evaluate.confusion(_scored(c), "os_event", F.col("predicted"))
 
 
+def _out_of_bag(c: Cohort) -> DataFrame:
+    return c.workspace.table("rf_out_of_bag", lambda: forest.out_of_bag(_final(c), c.train()))
+
+
+@query
+def rf_out_of_bag(c):
+    """How the forest does on train rows, each scored by the batches that did not draw it."""
+    counts = evaluate.score_counts(_out_of_bag(c), F.col("score"), F.col("os_event") == "1")
+    auc = evaluate.roc_auc(c.workspace.table("rf_out_of_bag_counts", lambda: counts)).withColumnRenamed("auc", "roc_auc")
+    hits = evaluate.accuracy(_out_of_bag(c), "os_event", F.col("predicted"))
+    rows = _out_of_bag(c).agg(F.count("*").cast("double").alias("n_rows"), F.min("n_batches").cast("double").alias("least_batches"))
+    return cohort.union_by_name([f.unpivot([], f.columns, "metric", "value") for f in (auc, hits, rows)])
+
+
 @query
 def perm_importance(c):
-    """On the first fold, by a forest that has not seen it: the test rows are used once, for the metrics."""
-    mtry, min_n = _tuned(c)[0][:2]
-    fitted, model = forest.fit_final(c.train().filter("fold <> 0"), mtry, min_n)
-    return forest.permutation_importance(fitted, model, c.train().filter("fold = 0"), keep=_write(c))
+    """On out-of-bag rows: the test rows are used once, for the metrics."""
+    return forest.permutation_importance(_final(c), c.train())
 
 
 # Chart data.
@@ -834,3 +897,17 @@ def age_hist(c):
 @query
 def mutation_hist(c):
     return rounded(charts.log_histogram(c.analytic_frame(), ["os_event"], "mutation_count"), "log10_bin")
+
+
+@query
+def age_density(c):
+    curve = charts.density(c.analytic_frame(), ["study_id", "os_event"], "age", _kept(c, "age_density_counts"))
+    return rounded(curve, "x", "width", "density")
+
+
+@query
+def mutation_density(c):
+    """On the log10 scale, of positive counts."""
+    logs = c.analytic_frame().filter("mutation_count > 0").withColumn("log10_count", F.log10("mutation_count"))
+    curve = charts.density(logs, ["os_event"], "log10_count", _kept(c, "mutation_density_counts"))
+    return rounded(curve, "x", "width", "density")

@@ -2,6 +2,9 @@
 
 All pages or responses of a folder are read at once; Spark reads the files in parallel. Responses
 lie in one sub-folder per study (``study=<id>``), which names the study where a record does not.
+
+A study of which a file cannot be read to its end is left out whole and reported (`study_states`); the
+others are not affected. A listing with missing or short pages is reported (`listing_pages`).
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cohort import fill_schema, of_studies
+from ..operators.joins import lookup_join
+from ..workspace import written_whole
 
 LISTING_SCHEMA = "studyId string, name string, cancerTypeId string"
 ROSTER_SCHEMA = "studyId string, patientId string"
@@ -22,6 +27,10 @@ RECORD_SCHEMA = (
     "study_id string, patient_id string, sample_id string, attr_id string, value string, data_level string"
 )
 BAD = "_corrupt_record"
+#: The number of a page in the name of its file or folder.
+PAGE = r"page[=_-]?(\d+)"
+#: Files of these kinds are read to their end at once, to see whether they have one.
+COMPRESSED = ("gz", "bz2", "deflate", "snappy", "lz4", "zst")
 
 
 def flatten(frame: DataFrame, separator: str = ".") -> DataFrame:
@@ -65,18 +74,116 @@ def read_listing(
     return flatten(pages.filter(~bad).select(*names)), pages.filter(bad).select(text)
 
 
-def _read_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return (
+def listing_pages(
+    spark: SparkSession,
+    folder: str,
+    page_size: int,
+    schema: str = LISTING_SCHEMA,
+    multi_line: bool = False,
+    pattern: str = PAGE,
+) -> DataFrame:
+    """page, n_rows, state of all pages from number 0 to the last one that landed.
+
+    `missing`: no file has this number. `short`, `over`: fewer or more entries than `page_size`, before the
+    last page. `whole`: as many. The last page is `last` if it has fewer, as it then ends the listing, and
+    `open` if not: another page may have been there. A file without a number counts as a page without one
+    (`unnumbered`). Entries that cannot be read count, too.
+    """
+    rows = (
+        spark.read.schema(f"{schema}, {BAD} string")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BAD)
+        .option("multiLine", multi_line)
+        .json(folder)
+    )
+    key = T.StructType.fromDDL(schema).names[0]
+    # the count of the key makes the reader look into the lines, which may hold several entries
+    entries = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count("*").alias("n"), F.count(key).alias("named")
+    )
+    number = F.regexp_extract("file", f".*{pattern}", 1).try_cast("bigint")
+    found = _files(spark, folder).join(entries, "file", "left").groupBy(number.alias("page"))
+    counts = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+    numbered = counts.filter(F.col("page").isNotNull())
+    last = numbered.agg(F.max("page").alias("last"))
+    every = last.select("last", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("page"))
+    size = F.lit(page_size)
+    n_rows, end = F.coalesce("n_rows", F.lit(0)), F.col("page") == F.col("last")
+    state = (
+        F.when(F.col("n_rows").isNull(), "missing")
+        .when(n_rows > size, "over")
+        .when(end, F.when(n_rows < size, "last").otherwise("open"))
+        .when(n_rows < size, "short")
+        .otherwise("whole")
+    )
+    states = every.join(numbered, "page", "left").select("page", n_rows.alias("n_rows"), state.alias("state"))
+    stray = counts.filter(F.col("page").isNull())
+    return states.unionByName(stray.select("page", "n_rows", F.lit("unnumbered").alias("state")))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """file, size of all files, those without rows as well; their content is not read."""
+    listed = spark.read.format("binaryFile").load(folder)
+    return listed.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+
+
+def file_states(spark: SparkSession, folder: str) -> DataFrame:
+    """study, file, size, state of every file: `read`, `empty` (blanks and line ends only), or `failed` if it cannot be
+    read to its end. Files without a byte are not listed by Spark, and so not here.
+
+    Plain files are read line by line and their bytes counted: a read that broke off has fewer than the file.
+    A compressed file does not tell how much it holds; it is taken whole, as one row, and there is no row if it breaks
+    off. So compressed files should hold under a gigabyte; larger ones belong in plain or several files.
+    """
+    def text(**how):
+        return spark.read.schema("value string").option("ignoreCorruptFiles", True).text(folder, **how)
+
+    file, held = F.col("_metadata.file_path").alias("file"), F.length(F.btrim("value", F.lit(" \t\r\n"))) > 0
+    lines = text(lineSep="\n").groupBy(file)
+    lines = lines.agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.count_if(held).alias("n"))
+    kinds = ",".join(COMPRESSED)
+    whole = text(wholetext=True, pathGlobFilter=f"*.{{{kinds}}}")
+    whole = whole.groupBy(file).agg(F.count_if(held).alias("unpacked"))
+    packed = F.element_at(F.split("file", r"\."), -1).isin(*COMPRESSED)
+    # the last line may end without a mark, and a byte order mark is not part of a line
+    broken = F.when(packed, F.col("unpacked").isNull()).otherwise(F.coalesce("bytes", F.lit(0)) + 4 <= F.col("size"))
+    empty = F.when(packed, F.col("unpacked")).otherwise(F.col("n")) == 0
+    state = F.when(broken, "failed").when(empty, "empty").otherwise("read")
+    study = F.regexp_extract("file", "/study=([^/]*)/", 1)
+    for _ in range(2):  # Spark escapes signs in folder names, and a path's signs once more
+        study = F.coalesce(F.try_url_decode(F.replace(study, F.lit("+"), F.lit("%2B"))), study)
+    files = _files(spark, folder).join(lines, "file", "left").join(whole, "file", "left")
+    return files.select(study.alias("study"), "file", "size", state.alias("state"))
+
+
+def study_states(spark: SparkSession, folder: str) -> DataFrame:
+    """study, n_files, n_failed, state of every folder: `failed` if one of its files is, `empty` if all are."""
+    count = lambda state: F.count_if(F.col("state") == state)
+    counts = file_states(spark, folder).groupBy("study").agg(
+        F.count("*").alias("n_files"), count("failed").alias("n_failed"), count("read").alias("_read")
+    )
+    state = F.when(F.col("n_failed") > 0, "failed").when(F.col("_read") == 0, "empty").otherwise("read")
+    return counts.select("study", "n_files", "n_failed", state.alias("state"))
+
+
+def _read_lines(spark: SparkSession, folder: str, schema: str, states: DataFrame | None) -> DataFrame:
+    """All lines of the studies whose files can be read to their end."""
+    lines = (
         spark.read.schema(f"{schema}, {BAD} string, study string")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD)
+        .option("ignoreCorruptFiles", True)
         .json(folder)
     )
+    states = study_states(spark, folder) if states is None else states
+    failed = states.filter("state = 'failed'").select("study")
+    return lookup_join(lines, failed, ["study"], "left_anti")
 
 
-def read_roster(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(roster, quarantine): one row per study and patient, and the lines that could not be read."""
-    lines = _read_lines(spark, folder, ROSTER_SCHEMA)
+def read_roster(spark: SparkSession, folder: str, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(roster, quarantine): one row per study and patient, and the lines that could not be read. Studies with a
+    failed file are in neither; `states`, if given, is what `study_states` found."""
+    lines = _read_lines(spark, folder, ROSTER_SCHEMA, states)
     bad = F.col(BAD).isNotNull() | F.col("patientId").isNull()
     roster = lines.filter(~bad).select(
         F.coalesce("studyId", "study").alias("study_id"), F.col("patientId").alias("patient_id")
@@ -84,10 +191,10 @@ def read_roster(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return roster.distinct(), lines.filter(bad).select("study", BAD)
 
 
-def read_clinical(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_clinical(spark: SparkSession, folder: str, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine). Records have the six columns whatever variant a response came in; a
-    line that names no patient or no attribute is no record."""
-    lines = _read_lines(spark, folder, CLINICAL_SCHEMA)
+    line that names no patient or no attribute is no record. Studies with a failed file are in neither."""
+    lines = _read_lines(spark, folder, CLINICAL_SCHEMA, states)
     nameless = F.col("patientId").isNull() | F.coalesce("clinicalAttributeId", "attrId").isNull()
     bad = F.col(BAD).isNotNull() | nameless
     return repair_clinical(lines.filter(~bad).drop(BAD)), lines.filter(bad).select("study", BAD)
@@ -111,12 +218,6 @@ def repair_clinical(frame: DataFrame) -> DataFrame:
     )
 
 
-def _written_whole(spark: SparkSession, folder: str) -> bool:
-    """Whether a write into the folder came to its end."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(mark)
-
-
 def cached_records(
     spark: SparkSession, folder: str, build, studies: DataFrame, schema: str = RECORD_SCHEMA
 ) -> DataFrame:
@@ -128,7 +229,7 @@ def cached_records(
     much of the data is split over several.
     """
     columns = T.StructType.fromDDL(schema).names
-    if not _written_whole(spark, folder):
+    if not written_whole(spark, folder):
         fresh = build().select(*columns).hint("rebalance", "study_id")
         fresh.write.mode("overwrite").partitionBy("study_id").parquet(folder)
     return of_studies(spark.read.schema(schema).parquet(folder).select(*columns), studies)

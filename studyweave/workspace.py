@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="studyweave-")
 
 
+def written_whole(spark: SparkSession, path: str, mark: str = "_SUCCESS") -> bool:
+    """Whether a write into the folder came to its end."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{mark}")
+    return file.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(file)
+
+
 class Workspace:
     """Writes each named frame once and reads it back from parquet from then on.
 

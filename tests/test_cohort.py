@@ -230,30 +230,100 @@ def test_cache_is_built_once_and_filtered_to_current_studies(spark, tmp_path):
     assert built == [1, 1]
 
 
-def test_each_fit_learns_from_its_own_rows(spark, tmp_path):
-    work = Workspace(spark, str(tmp_path))
-    write = lambda frame, name: work.table(name, lambda: frame)
-    frame = lambda ages: spark.createDataFrame([(str(k), "1", a, "x") for k, a in enumerate(ages)], "patient_key string, os_event string, age double, sex string")
-    one, two = (recipe.Recipe(keep=write).fit(frame(ages)) for ages in ([1.0, 2.0, 3.0], [100.0, 200.0, 300.0]))
-    assert (one.medians["age"], two.medians["age"]) == (2.0, 200.0)
-    two.save(spark, str(tmp_path / "recipe"))
-    again = recipe.RecipeModel.load(spark, str(tmp_path / "recipe"))
-    assert (again.medians, again.levels, again.features) == (two.medians, two.levels, two.features)
+def test_recipe_is_a_pipeline_stage(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import RandomForestClassifier
+
+    frame = lambda ages: spark.createDataFrame([(str(k), "01"[k % 2], a, "xy"[k % 2]) for k, a in enumerate(ages)], "patient_key string, os_event string, age double, sex string")
+    train = frame([float(k % 9) for k in range(40)])
+    steps = Pipeline(stages=[recipe.Recipe(threshold=0.1), RandomForestClassifier(numTrees=3, seed=1)])
+    steps.write().save(str(tmp_path / "steps"))
+    again = Pipeline.load(str(tmp_path / "steps"))
+    assert again.getStages()[0].getOrDefault("threshold") == 0.1
+    fitted = again.fit(train)
+    fitted.write().save(str(tmp_path / "fitted"))
+    loaded = PipelineModel.load(str(tmp_path / "fitted"))
+    one, two = ([(r.patient_key, list(r.features), r.prediction) for r in m.transform(train).collect()] for m in (fitted, loaded))
+    assert one == two and len(one) == 40
+    kept, model = loaded.stages[0], fitted.stages[0]
+    assert (kept.medians, kept.levels, kept.features) == (model.medians, model.levels, model.features) and kept.features
+    assert recipe.Recipe().fit(frame([100.0, 200.0, 300.0])).medians == {"age": 200.0}
+    assert "label" not in kept.transform(train.drop("os_event")).columns
+
+
+def _labelled(spark, sign, n=60):
+    data = [(str(k), str(k % 2), float(sign * (k % 2) * (k % 7) + k % 5), "x", k // 2 % 2) for k in range(n)]
+    return spark.createDataFrame(data, "patient_key string, os_event string, age double, sex string, fold int")
 
 
 def test_each_tuning_scores_its_own_rows(spark, tmp_path):
     from studyweave.operators import forest
 
-    work = Workspace(spark, str(tmp_path))
-    write = lambda frame, name: work.table(name, lambda: frame)
-    means = []
-    for sign in (1, -1):
-        data = [(str(k), str(k % 2), float(sign * (k % 2) * (k % 7) + k % 5), "x", k // 2 % 2) for k in range(60)]
-        train = spark.createDataFrame(data, "patient_key string, os_event string, age double, sex string, fold int")
-        means.append(forest.tune(train, [(1, 1)], n_trees=3, n_folds=2, keep=write)[0][2])
+    means = [forest.tune(_labelled(spark, sign), [(1, 1)], str(tmp_path / str(sign)), n_trees=3, n_folds=2)[0][2] for sign in (1, -1)]
     assert means[0] != means[1]
 
 
+def test_tuning_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    from studyweave.operators import forest
+
+    train, points, grown = _labelled(spark, 1), [(1, 1), (1, 9)], []
+    make = forest.classifier
+
+    def counted(*given, **named):
+        grown.append(given)
+        return make(*given, **named)
+
+    monkeypatch.setattr(forest, "classifier", counted)
+    run = lambda folder: forest.tune(train, points, str(tmp_path / folder), n_trees=5, n_folds=2, batch=2)
+    first = run("a")
+    assert len(grown) == 2 * 2 * 3 and sorted({g[0] for g in grown}) == [1, 2]
+    (tmp_path / "a/votes/fold=1/point=1_9/batch=2/_SUCCESS").unlink()  # a write that was broken off
+    (tmp_path / "a/counts/_SUCCESS").unlink()
+    assert run("a") == first
+    assert len(grown) == 13
+    assert run("b") == first  # and every run gives the same
+
+
+def test_forest_of_batches_is_read_back_and_repeats(spark, tmp_path):
+    from studyweave.operators import forest
+
+    train, scores = _labelled(spark, 1, 200), []
+    for folder in ("a", "b", "a"):
+        model = forest.fit_final(train, 1, 5, str(tmp_path / folder), n_trees=23, batch=5)
+        assert model.n_trees == 23 and len(model.models) == 5
+        scores.append({r.patient_key: r.score for r in model.score(train).collect()})
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 200
+    assert {r.patient_key: r.score for r in forest.Forest(spark, str(tmp_path / "a")).score(train).collect()} == scores[0]
+
+
+def test_draws_are_those_of_a_sample_with_replacement(spark):
+    from studyweave.operators import forest
+
+    counts = spark.range(20000).select(forest.draws(F.col("id").cast("string"), 42, 3).alias("n")).groupBy("n").count().collect()
+    share = {r.n: r["count"] / 20000 for r in counts}
+    assert abs(share[0] - 0.3679) < 0.015 and abs(share[1] - 0.3679) < 0.015 and abs(share[2] - 0.1839) < 0.015
+    assert abs(sum(n * s for n, s in share.items()) - 1) < 0.03
+
+
+def test_out_of_bag_rows_and_importance(spark, tmp_path):
+    from studyweave.operators import forest
+
+    train = _labelled(spark, 1, 200)
+    model = forest.fit_final(train, 1, 2, str(tmp_path / "f"), n_trees=40, batch=2)
+    left_out = {r.patient_key: r for r in forest.out_of_bag(model, train).collect()}
+    assert len(left_out) == 200 and all(1 <= r.n_batches < 20 and 0 <= r.score <= 1 for r in left_out.values())
+    drawn = {r.patient_key for r in train.filter(forest.draws(F.col("patient_key"), 42, 7) > 0).collect()}
+    votes = spark.read.parquet(str(tmp_path / "f/out_of_bag/batch=7")).collect()
+    assert drawn | {r.patient_key for r in votes} == set(left_out) and not drawn & {r.patient_key for r in votes}
+    # against the same sums over rows collected here
+    found = {r.feature: (r.importance, r.n_batches) for r in forest.permutation_importance(model, train, n_repeats=2).collect()}
+    assert set(found) == set(model.recipe.features) and all(n == 20 for _, n in found.values())
+    assert found["age"][0] > 0.05
+    hits = spark.read.parquet(str(tmp_path / "f/importance/hits/batch=7")).filter("variant = -1").first().accuracy
+    right = [(r.votes / r.trees > 0.5) == (r.os_event == "1") for r in votes]
+    assert abs(hits - sum(right) / len(right)) < 1e-9
+
+
 def test_closed_workspace_leaves_nothing(spark, tmp_path):
     work = Workspace(spark, str(tmp_path))
     work.table("t", lambda: spark.range(3))

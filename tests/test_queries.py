@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_queries_without_sql_are_the_model_ones():
     assert sorted(set(QUERIES) - set(SQL)) == [
-        "perm_importance", "rf_confusion", "rf_fit", "rf_metrics", "rf_predictions", "rf_roc", "rf_tune", "table_columns",
+        "perm_importance", "rf_confusion", "rf_fit", "rf_metrics", "rf_out_of_bag", "rf_predictions", "rf_reloaded", "rf_roc", "rf_tune",
     ]
 
 
@@ -55,19 +55,12 @@ def test_model_queries(spark):
     assert metrics["roc_auc"] > 0.7 and metrics["accuracy"] > 0.6
     importance = {r.feature: r.importance for r in QUERIES["perm_importance"](spark, SF).collect()}
     assert max(importance, key=importance.get) == "age"
-    assert QUERIES["rf_predictions"](spark, SF).count() == registry.build_for(spark, SF).test().count()
-
-
-def test_forest_is_the_same_on_every_run(spark):
-    from studyweave.operators import forest
-
-    build = registry.build_for(spark, SF)
-    scores = []
-    for _ in range(2):
-        recipe, model = forest.fit_final(build.train(), 2, 10, n_trees=5)
-        scored = forest.event_score(model.transform(recipe.transform(build.test())))
-        scores.append({r.patient_key: r.score for r in scored.collect()})
-    assert scores[0] == scores[1]
+    n_test, n_train = (frame.count() for frame in (registry.build_for(spark, SF).test(), registry.build_for(spark, SF).train()))
+    assert QUERIES["rf_predictions"](spark, SF).count() == n_test
+    assert [tuple(r) for r in QUERIES["rf_reloaded"](spark, SF).collect()] == [(True, n_test)]
+    left_out = {r.metric: r.value for r in QUERIES["rf_out_of_bag"](spark, SF).collect()}
+    assert left_out["n_rows"] == n_train and left_out["least_batches"] >= 1
+    assert abs(left_out["roc_auc"] - metrics["roc_auc"]) < 0.1
 
 
 def test_entry(spark):
