@@ -12,7 +12,7 @@ each block passes over the documents once.
 An item too short for an edit is one piece and must occur unchanged, between word borders; letters of scripts
 without blanks have a border on either side. Null items, and items without a letter, digit or underscore, match
 nothing. Null texts are empty.
-Repeated items are reported under each id; documents are searched row by row.
+Repeated items are reported under each id, which may be of any type; documents are searched row by row.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .rows import utf8
+from .rows import added, free, others, quoted, utf8
 
 _WORDS = re.compile(r"\w+")
 #: Thai, Lao, Myanmar, Khmer, Kana and Han: written without blanks.
@@ -48,8 +49,9 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def distance(item: str, text: str) -> tuple[int, int]:
-    """The smallest edit distance of `item` to a part of `text`, and where the first such part ends."""
+def distance(item: str, text: str, from_start: bool = False) -> tuple[int, int]:
+    """The smallest edit distance of `item` to a part of `text`, and where the first such part ends. from_start: to a
+    part that begins where the text does."""
     n = len(item)
     full, high = (1 << n) - 1, 1 << n - 1
     mask: dict[str, int] = {}
@@ -65,7 +67,7 @@ def distance(item: str, text: str) -> tuple[int, int]:
             score += 1
         elif less & high:
             score -= 1
-        more, less = more << 1 & full, less << 1 & full
+        more, less = (more << 1 | from_start) & full, less << 1 & full
         up, down = less | ~(diagonal | more) & full, more & diagonal
         if score < best:
             best, end = score, at
@@ -90,7 +92,8 @@ class Search:
 
     def found(self, text: str) -> Iterator[tuple[int, int, int, int, int]]:
         """(item id, distance, start, end, places) of the items in a plain text; start and end are of the first
-        part with the smallest distance, places counts the stretches of text with a match."""
+        part to end with the smallest distance, the shortest of several, places counts the stretches of text with a
+        match."""
         wanted: dict[int, list[int]] = {}
         for end, (n, places) in self.automaton.iter(text):
             for k, at in places:
@@ -106,9 +109,12 @@ class Search:
                     end += low if exact < 0 else 0
                     times += 1
                     if best is None or got < best[0]:
-                        best = got, max(0, end - len(item) - got), end
+                        best = got, low, end
             if best:
-                yield item_id, *best, times
+                got, low, end = best
+                # backwards from the end: the shortest part with this distance
+                length = distance(item[::-1], text[low:end][::-1], from_start=True)[1] if got else len(item)
+                yield item_id, got, end - length, end, times
 
 
 def _windows(starts: list[int], length: int, edits: int) -> Iterator[tuple[int, int]]:
@@ -126,10 +132,10 @@ def _windows(starts: list[int], length: int, edits: int) -> Iterator[tuple[int,
         yield held[0], held[1]
 
 
-def _search(items: list[tuple[int, str, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(ids: pa.DataType, items: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to each row the list of what is found in its last column, a text, which it replaces."""
     search = Search(items)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("times", pa.int64())]))
+    kind = pa.list_(pa.struct([("item_id", ids), ("distance", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("times", pa.int64())]))
     for got in batches:
         out = []
         for text in got.column(got.num_columns - 1):
@@ -140,7 +146,7 @@ def _search(items: list[tuple[int, str, int]], batches: Iterator[pa.RecordBatch]
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, per_edit: int, block: int) -> Iterator[list[tuple[int, str, int]]]:
     """The items in blocks of about `block`, dealt by a hash of their rows."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").distinct()
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").distinct()
     count = max(1, -(-rows.count() // block))
     for k in range(count):
         some = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect()
@@ -152,15 +158,17 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, per_edit: int,
 def mark(
     documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", per_edit: int = 16, block: int = 5_000, out: str = "leaks"
 ) -> DataFrame:
-    """All columns of `documents`, and `out` (in place of a column of that name): an array of structs item_id,
-    distance, start, end (in the plain text) and times. One block is one pass, without a shuffle."""
-    marked = documents.select(*[c for c in documents.columns if c != out])
-    found = "array<struct<item_id: long, distance: long, start: long, `end`: long, times: long>>"
-    marked = marked.withColumn(out, F.expr(f"cast(array() as {found})"))
+    """All columns of `documents`, and `out` (in place of a column of that name, in any case): an array of structs
+    item_id (of the benchmark's type), distance, start, end (in the plain text) and times. One block is one pass,
+    without a shuffle."""
+    ids = benchmark.schema[item_id].dataType
+    found = f"array<struct<item_id: {ids.simpleString()}, distance: long, start: long, `end`: long, times: long>>"
+    marked = documents.select(*others(documents, out), F.expr(f"cast(array() as {found})").alias(out))
+    text = free(marked, "__text")
     for items in item_blocks(benchmark, item_id, item_text, per_edit, block):
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
-        more = marked.withColumn("__text", utf8(text_col)).mapInArrow(partial(_search, items), f"{kinds}, __text {found}")
-        marked = more.withColumn(out, F.concat(out, "__text")).drop("__text")
+        work = partial(_search, to_arrow_type(ids), items)
+        more = marked.withColumn(text, utf8(text_col)).mapInArrow(work, added(marked, f"{quoted(text)} {found}"))
+        marked = more.withColumn(out, F.concat(quoted(out), quoted(text))).drop(text)
     return marked
 
 

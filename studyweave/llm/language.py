@@ -35,15 +35,36 @@ from .url_rules import host
 BUCKETS = 1 << 14
 #: Bytes whose triples are counted at once, to bound memory.
 PIECE = 1 << 18
-_HIDDEN = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_OPEN = re.compile(rb"<(script|style)\b", re.I)
+_CLOSE = {name: re.compile(rb"</" + name + rb"\s*>", re.I) for name in (b"script", b"style")}
 _ROOT = re.compile(rb"<!--|<html\b", re.I)
 _LANG = re.compile(rb"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 _COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
 
 def shown(html: bytes) -> bytes:
-    """The text between the marks of a page."""
-    return _HIDDEN.sub(b" ", html)
+    """The text between the marks of a page: scripts and styles up to their closing mark, comments, and all else
+    between < and >. What is not closed is no mark; whether a closing mark follows is looked up once for each kind."""
+    out, at, absent = [], 0, set()
+    while (start := html.find(b"<", at)) >= 0:
+        end, found = -1, _OPEN.match(html, start)
+        if found and (name := found[1].lower()) not in absent:
+            close = _CLOSE[name].search(html, found.end())
+            end = close.end() if close else -1
+            if not close:
+                absent.add(name)
+        if end < 0 and b"-->" not in absent and html.startswith(b"<!--", start):
+            close = html.find(b"-->", start + 4)
+            end = close + 3 if close >= 0 else -1
+            if close < 0:
+                absent.add(b"-->")
+        if end < 0:
+            end = html.find(b">", start) + 1
+            if not end:
+                break
+        out += (html[at:start], b" ")
+        at = end
+    return b"".join([*out, html[at:]])
 
 
 def declared(html: bytes) -> str:
@@ -146,11 +167,11 @@ def identify(
     spark: SparkSession, pages: DataFrame, model: tuple[list[str], np.ndarray], url_col: str = "url", html_col: str = "html", weight: int = 48, pull: float = 10.0, out: str = "language", plain: bool = False
 ) -> DataFrame:
     """All columns of `pages` but the page itself, which is not passed on, and `out` (in place of a column
-    of that name): a struct of lang, confidence, text_lang, declared, suffix and host. model: of `fit`. pull: how many pages a coarser level counts as.
+    of that name, in any case): a struct of lang, confidence, text_lang, declared, suffix and host. model: of `fit`. pull: how many pages a coarser level counts as.
     plain: the pages are plain text; nothing in it is markup, and it declares nothing."""
     langs, chances = model
     size = len(langs)
-    kept = [c for c in pages.columns if c not in (out, html_col)]
+    kept = [c for c in pages.columns if c.lower() not in (out.lower(), html_col.lower())]
     name = host(F.coalesce(F.col(url_col).cast("string"), F.lit("")))
     rows = pages.select(*kept, utf8(html_col).alias("__html")).withColumn("__host", name).withColumn("__domain", F.substring_index("__host", ".", -2)).withColumn("__suffix", F.substring_index("__host", ".", -1))
     rows = rows.select(*[c for c in rows.columns if c != "__html"], "__html")

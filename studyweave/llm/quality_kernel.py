@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import statistics
-from .rows import stored, utf8
+from .rows import added, others, quoted, stored, utf8
 from .toxicity import sampled
 
 #: Of the labelled rows, one in so many calibrates.
@@ -161,7 +161,7 @@ def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All columns of `documents`, and `out` (in place of a column of that name)."""
-    plain = documents.select(*[c for c in documents.columns if c != out])
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
-    return plain.withColumn(out, utf8(text_col)).mapInArrow(partial(_scored, model), ", ".join([*kinds, f"`{out}` double"]))
+    """All columns of `documents`, and `out` (in place of a column of that name, in any case)."""
+    kept = documents.select(*others(documents, out))
+    given = documents.select(*others(documents, out), utf8(text_col).alias(out))
+    return given.mapInArrow(partial(_scored, model), added(kept, f"{quoted(out)} double"))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..workspace import Workspace
 
@@ -50,6 +51,19 @@ def others(frame: DataFrame, *names: str) -> list[Column]:
     return [F.col(quoted(c)) for c in frame.columns if c.lower() not in gone]
 
 
+def free(frame: DataFrame, name: str) -> str:
+    """A name like this one that no column of the frame has, in any case."""
+    used = {c.lower() for c in frame.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def added(frame: DataFrame, ddl: str) -> T.StructType:
+    """The frame's schema, and the columns of a schema text."""
+    return T.StructType([*frame.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: lineage ends there."""
     return Workspace(spark).table(name, lambda: frame)

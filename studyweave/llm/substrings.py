@@ -271,8 +271,8 @@ def repeats(spark: SparkSession, texts: DataFrame, length: int = 100) -> DataFra
 
 def without_repeats(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, characters: bool = False) -> DataFrame:
     """All columns of `documents`, and n_bytes, n_removed, n_spans and kept (the remaining bytes; without
-    the rest of a cut character if `characters`). Columns of those names in the input are replaced."""
-    names = [c for c in documents.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    the rest of a cut character if `characters`). Columns of those names in the input, in any case, are replaced."""
+    names = [c for c in documents.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "kept")]
     plain = documents.select(*names)
     texts = keyed(spark, plain, id_col, text_col)
     spans = repeats(spark, texts, length).groupBy("__key").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))

@@ -21,17 +21,19 @@ import heapq
 import math
 import unicodedata
 from array import array
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import utf8
+from .rows import added, others, quoted, utf8
 
 # Signs that stand for letters, and Cyrillic and Greek letters that look Latin.
 SIGNS = dict(zip("0134578@$", "oieastbas", strict=True))
@@ -112,7 +114,12 @@ class Matcher:
                 free.append((start, end))
             elif start not in best or best[start][3] < weight:
                 best[start] = (start, end, term, weight)
-        return [h for h in best.values() if not any(a <= h[0] and h[1] <= b for a, b in free)]
+        if not free:
+            return list(best.values())
+        free.sort()
+        starts = [start for start, _ in free]
+        reach = list(accumulate((end for _, end in free), max))  # how far the phrases that begin up to here reach
+        return [h for h in best.values() if not (k := bisect_right(starts, h[0])) or reach[k - 1] < h[1]]
 
     def weight(self, folded: str) -> float:
         """The weights of a text, normalised by its length."""
@@ -186,11 +193,12 @@ def _scored(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def sampled(documents: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int, id_col: str, text_col: str) -> DataFrame:
-    """text and label of at most `sample` labelled rows, once for each text; `learn` picks rows by `id`."""
+    """text and label of at most `sample` labelled ids; `learn` picks rows by `id`. Of texts of one id the smallest
+    counts, of labels the largest."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & learn)
     some = marked.orderBy(F.xxhash64("id"), "label").limit(sample).groupBy("id").agg(F.max("label").alias("label"))
     texts = documents.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(some), "id")  # `sample` short rows
-    return texts.select("text", "label")
+    return texts.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def _explaining(texts: Iterable[Iterable[str]], weights: dict[str, float], least: int) -> list[str]:
@@ -268,7 +276,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def score(documents: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All columns of `documents`, and `out` (in place of a column of that name)."""
-    plain = documents.select(*[c for c in documents.columns if c != out])
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
-    return plain.withColumn(out, utf8(text_col)).mapInArrow(partial(_scored, lexicon), ", ".join([*kinds, f"`{out}` double"]))
+    """All columns of `documents`, and `out` (in place of a column of that name, in any case)."""
+    kept = documents.select(*others(documents, out))
+    given = documents.select(*others(documents, out), utf8(text_col).alias(out))
+    return given.mapInArrow(partial(_scored, lexicon), added(kept, f"{quoted(out)} double"))

@@ -20,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rows import stored
+from .rows import others, stored
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LABEL = "verdict="
@@ -84,9 +84,9 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, l
 
 def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", support: float = 0.005, confidence: float = 0.9, least: int = 20) -> DataFrame:
     """labels: columns id and verdict. Returns all columns of `pages`, and host, path, rule, verdict and mined (the tokens of the surest mined rule that
-    fits); columns of those names are replaced."""
+    fits); columns of those names, in any case, are replaced."""
     own = ("host", "path", "rule", "verdict", "mined")
-    plain = pages.select(*[c for c in pages.columns if c not in own])
+    plain = pages.select(*others(pages, *own))
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     known = plain.withColumn("host", host(url)).withColumn("path", path(url)).withColumn("rule", rule).withColumn("__listed", verdict).withColumn("__tokens", tokens(url))
