@@ -55,21 +55,49 @@ def test_viterbi_is_the_best_labelling():
         assert [int(x) for x in field.decode(rows)] == list(best)
 
 
+def labellings(rows, weights, steps):
+    """The weight of every labelling of a chain."""
+    emitted = rows @ weights
+    return {ls: sum(emitted[k, x] for k, x in enumerate(ls)) + sum(steps[a, b] for a, b in itertools.pairwise(ls)) for ls in itertools.product((0, 1), repeat=len(rows))}
+
+
+def test_marginals_are_sums_over_all_labellings():
+    rng = np.random.default_rng(4)
+    lengths = [1, 3, 7, 1, 2, 8, 5]
+    chains = [rng.normal(size=(n, 3)) * 3 for n in lengths]
+    weights, steps = rng.normal(size=(3, 2)), rng.normal(size=(2, 2))
+    first = np.concatenate([np.arange(n) == 0 for n in lengths])
+    single, pair = quality_rules.marginals(np.concatenate(chains) @ weights, steps, first, max(lengths))
+    at = 0
+    for rows in chains:
+        chance = {ls: np.exp(w) for ls, w in labellings(rows, weights, steps).items()}
+        norm = sum(chance.values())
+        for k in range(len(rows)):
+            assert np.allclose(single[at + k], [sum(c for ls, c in chance.items() if ls[k] == x) / norm for x in (0, 1)])
+            if k + 1 < len(rows):
+                want = [[sum(c for ls, c in chance.items() if ls[k : k + 2] == (x, y)) / norm for y in (0, 1)] for x in (0, 1)]
+                assert np.allclose(pair[at + k], want)
+        at += len(rows)
+    single, _ = quality_rules.marginals(rng.normal(size=(200_000, 2)) * 50, steps, np.arange(200_000) == 0, 200_000)
+    assert np.isfinite(single).all()
+
+
 def test_field_is_trained_by_the_right_slope():
     """At the trained field the likelihood falls in every direction."""
     rng = np.random.default_rng(2)
     chains = [(np.concatenate([rng.normal(size=(n, 2)) + label, np.ones((n, 1))], 1), label) for n, label in zip(rng.integers(1, 5, 60), rng.integers(0, 2, 60), strict=True)]
+    chains = quality_rules.mixed(chains[:40])
     ridge = 0.05
     field = quality_rules.train(chains, 800, ridge)
-    sizes = Counter(label for _, label in chains)
+    kinds = [labels[0] if len(set(labels)) == 1 else 2 for _, labels in chains]
+    sizes = Counter(kinds)
+    assert len(sizes) == 3
 
     def likelihood(weights, steps):
         out = 0.0
-        for rows, label in chains:
-            emitted = rows @ weights
-            scores = [sum(emitted[k, x] for k, x in enumerate(ls)) + sum(steps[a, b] for a, b in itertools.pairwise(ls)) for ls in itertools.product((0, 1), repeat=len(rows))]
-            own = emitted[:, label].sum() + steps[label, label] * (len(rows) - 1)
-            out += (own - np.logaddexp.reduce(scores)) / len(rows) / sizes[label] / 2
+        for kind, (rows, labels) in zip(kinds, chains, strict=True):
+            scores = labellings(rows, weights, steps)
+            out += (scores[tuple(labels.tolist())] - np.logaddexp.reduce(list(scores.values()))) / len(rows) / sizes[kind] / 3
         return out - ridge / 2 * ((weights**2).sum() + (steps**2).sum())
 
     top = likelihood(field.weights, field.steps)
@@ -78,6 +106,25 @@ def test_field_is_trained_by_the_right_slope():
         assert likelihood(field.weights + dw, field.steps + ds) < top + 1e-4
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the given tables")
+def test_lines_of_mixed_documents(spark):
+    """Good texts joined to bad ones of rows that were not learned from: nearly all lines get the label of their part."""
+    documents, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    field = quality_rules.fit(documents, labels, F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
+    rows = documents.join(labels, "doc_id").filter("text is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 = 1").collect()
+    kinds = [sorted((r.doc_id, r.text.encode()) for r in rows if r.quality == k) for k in (0, 1)]
+    count = lambda text: quality_rules.features(quality_rules.statistics.count([text])[0])
+    right = lines = both = 0
+    for k, ((_, bad), (_, good)) in enumerate(zip(*kinds, strict=False)):
+        parts = [(0, bad), (1, good)] if k % 2 else [(1, good), (0, bad)]
+        text = b"\n".join(t for _, t in parts)
+        found = field.decode(count(text))
+        want = [x for x, t in parts for _ in range(len(count(t)))]
+        if len(found) == len(want):
+            right, lines, both = right + sum(a == b for a, b in zip(found, want, strict=True)), lines + len(want), both + (len(set(found)) == 2)
+    assert lines > 150 and right > 0.85 * lines and both > 5
+
+
 def test_isotonic_is_the_nearest_rising_sequence():
     rng = np.random.default_rng(3)
     for _ in range(30):
