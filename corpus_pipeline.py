@@ -1,4 +1,10 @@
-"""Five operators in a row over `documents`: each stage works on what the one before it kept."""
+"""Five operators in a row over `documents`: each stage works on what the one before it kept.
+
+Null texts are treated as empty ones by all stages, and stay null up to the last. Rows are judged one by one, so null or repeated
+ids do no harm; of linked near copies the first by id, then text, stays. An empty table passes through, and without labels
+or benchmark items nothing is rejected for them. Other columns are kept up to the last stage; `n_chars`, if
+there, follows the text. Names that begin with two underscores are the stages' own.
+"""
 
 from __future__ import annotations
 
