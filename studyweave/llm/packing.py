@@ -8,7 +8,7 @@ lowest cost with room. The sequences of a block hold exactly what is assigned to
 goes to the next block, and at the end of a partition fills sequences whose capacities are powers of two. So
 no sequence needs padding to either size.
 
-A null text is empty; an empty text is its end id alone. Rows with equal or null ids are packed as they are.
+Ids are whole numbers, or texts of them. A null text is empty; an empty text is its end id alone. Rows with equal or null ids are packed as they are.
 """
 
 from __future__ import annotations

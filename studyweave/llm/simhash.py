@@ -12,7 +12,7 @@
 4. Components: each fingerprint takes the smallest root within reach, by joins that hook roots to smaller
    ones and then halve the paths, until nothing changes. All rounds write to the shared folder.
 
-A null or blank text has fingerprint zero, which is linked like any other. Null ids never name a component
+Ids are whole numbers, or texts of them. A null or blank text has fingerprint zero, which is linked like any other. Null ids never name a component
 unless all its ids are null; repeated rows are all returned.
 """
 

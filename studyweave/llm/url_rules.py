@@ -44,10 +44,12 @@ def path(url: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """What a URL is made of: host suffixes by level, words of host and path, names of parameters."""
+    """What a URL is made of: host suffixes of one to three labels and the whole host, words of host and path, names of
+    parameters."""
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(4))), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
+    levels = F.array_append(F.sequence(F.lit(1), F.least(n, F.lit(3))), n)
+    suffixes = F.transform(levels, lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
     words = F.transform(F.flatten(F.transform(labels, lambda x: F.split(x, "[^\\p{L}\\p{N}]+"))), lambda x: F.concat(F.lit("name:"), x))
     parts = F.transform(F.split(path(url), "/"), lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "0")))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)

@@ -251,6 +251,13 @@ def test_urls_by_listed_and_mined_rules(spark):
     assert judge([], []).collect() == []
 
 
+def test_every_host_has_a_token_of_its_own(spark):
+    urls = [("http://a.b.c.d.e.f/x",), ("http://d.e.f/",), ("http://a.b.c.d/",), ("no address",), (None,)]
+    rows = spark.createDataFrame(urls, "url string").select(url_rules.tokens(F.coalesce("url", F.lit(""))).alias("t")).collect()
+    hosts = [{x for x in r.t if x.startswith("host:")} for r in rows]
+    assert hosts == [{"host:f", "host:e.f", "host:d.e.f", "host:a.b.c.d.e.f"}, {"host:f", "host:e.f", "host:d.e.f"}, {"host:d", "host:c.d", "host:b.c.d", "host:a.b.c.d"}, set(), set()]
+
+
 def test_language_fusion_matches_its_formula(spark):
     rng = random.Random(4)
     word = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["zwei", "drei", "kühl"]}
