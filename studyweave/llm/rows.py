@@ -66,7 +66,16 @@ def added(frame: DataFrame, ddl: str) -> T.StructType:
 
 def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: lineage ends there."""
-    return Workspace(spark).table(name, lambda: frame)
+    work = Workspace(spark)
+    table = work.table(name, lambda: frame)
+    table.stage = work
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of stored frames that nothing reads any more."""
+    for table in tables:
+        table.stage.close()
 
 
 def spans_merged(

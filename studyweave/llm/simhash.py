@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rows import batch, changes, stored, utf8, whole_groups
+from ..operators.joins import lookup_join
+from .rows import batch, changes, dropped, stored, utf8, whole_groups
 
 BITS = 64
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -150,9 +151,10 @@ def links(spark: SparkSession, prints: DataFrame, radius: int, most: int = 4096)
     """Links (a, b) that connect the fingerprints (column `__print`, each once) within the radius."""
     kind = "shard long, print long, fixed long"
     rows = prints.select(F.lit(0).cast("long").alias("shard"), F.col("__print").alias("print"), F.lit(0).cast("long").alias("fixed"))
-    found = None
+    found, read = None, []
     for _ in range(BITS):
         shards = stored(spark, rows.mapInArrow(partial(_sharded, radius), kind), "shards")
+        read.append(shards)
         sizes = shards.groupBy("shard").count().filter("count > 1")
         met = shards.join(sizes, "shard")
         small = met.filter(F.col("count") <= most).select("shard", "print")
@@ -162,7 +164,9 @@ def links(spark: SparkSession, prints: DataFrame, radius: int, most: int = 4096)
         if large.isEmpty():
             break
         rows = shards.join(large.select("shard"), "shard")
-    return stored(spark, found.distinct(), "links")
+    linked = stored(spark, found.distinct(), "links")
+    dropped(*read)
+    return linked
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -175,13 +179,17 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         hooked = roots.join(seen, "node").select("node", "root", F.least("root", "other").alias("low"))
         # a root takes the smallest root that any of its nodes has seen; then all nodes look up their root's
         better = hooked.filter("low < root").groupBy(F.col("root").alias("top")).agg(F.min("low").alias("best"))
-        lifted = hooked.join(better, hooked.root == better.top, "left").select("node", F.least("low", "best").alias("root"))
+        better = better.withColumnRenamed("top", "root")  # a root may have many nodes
+        lifted = lookup_join(hooked, better, ["root"], "left", at_most=roots).select("node", F.least("low", "best").alias("root"))
         step = stored(spark, lifted, "step")
-        up = step.select(F.col("node").alias("over"), F.col("root").alias("above"))
-        jumped = step.join(up, step.root == up.over, "left").select("node", F.least("root", "above").alias("root"))
+        up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = lookup_join(step, up, ["root"], "left", at_most=step).select("node", F.least("root", "above").alias("root"))
         new = stored(spark, jumped, "roots")
         moved = new.join(roots.withColumnRenamed("root", "was"), "node").filter("root <> was")
-        if moved.isEmpty():
+        still = moved.isEmpty()
+        dropped(step, roots)
+        if still:
+            dropped(both)
             return new
         roots = new
 
@@ -195,6 +203,6 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, id_col: str = "do
     roots = components(spark, links(spark, firsts, radius))
     named = firsts.join(roots, F.col("__print") == F.col("node"), "left").select("__print", "__low", F.coalesce("root", "__print").alias("__root"))
     low = named.groupBy("__root").agg(F.min("__low").alias("__component"))
-    classes = named.join(low, "__root").select("__print", "__component")
+    classes = lookup_join(named, low, ["__root"], at_most=firsts).select("__print", "__component")
     digits = F.lower(F.lpad(F.hex("__print"), 16, "0"))
-    return prints.join(classes, "__print").select(F.col("__id").alias(id_col), digits.alias("fingerprint"), F.col("__component").alias("component_id"))
+    return lookup_join(prints, classes, ["__print"], at_most=firsts).select(F.col("__id").alias(id_col), digits.alias("fingerprint"), F.col("__component").alias("component_id"))
