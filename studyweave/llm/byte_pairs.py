@@ -51,6 +51,7 @@ _GAP, _CUT = re.compile(r"^ |\s "), re.compile(r"(?<=\S)(?= )")
 BATCH = 2 << 20
 
 
+@cache
 def read_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary: bytes in base 64 and their rank, line by line."""
     with open(path, "rb") as lines:
@@ -280,22 +281,11 @@ class Bare(dict):
         return ids
 
 
-@cache
-def _pairs(path: str) -> Pairs:
-    return Pairs(read_ranks(path))
-
-
-@cache
-def _known(path: str, pattern: str) -> Cached:
-    """What a worker knows, for all of its tasks."""
-    import regex
-
-    return Cached(_pairs(path), regex.compile(pattern))
-
-
 def _encoded(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, becomes ids."""
-    known = _known(path, pattern)
+    import regex
+
+    known = Cached(Pairs(read_ranks(path)), regex.compile(pattern))  # lives as long as the task
     for got in batches:
         names, first, held, size = got.schema.names, 0, [], 0
         for k, text in enumerate(got.column(got.num_columns - 1), 1):
@@ -309,7 +299,7 @@ def _encoded(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iter
 
 def _decoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, ids, becomes bytes."""
-    pairs = _pairs(path)
+    pairs = Pairs(read_ranks(path))
 
     def decoded(ids: pa.Array | None) -> bytes | None:
         if ids is None or ids.null_count:
