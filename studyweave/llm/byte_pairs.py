@@ -48,7 +48,7 @@ MARKS = frozenset(".,;:!?")
 #: A blank after white space; the places before blanks after anything else.
 _GAP, _CUT = re.compile(r"^ |\s "), re.compile(r"(?<=\S)(?= )")
 #: Bytes of text or ids that become one batch.
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 
 @cache
@@ -61,7 +61,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Pairs:
     """The monoid of id rows: `join` combines the encodings of two neighbouring byte strings."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
         self.ranks = ranks
         self.words = {rank: word for word, rank in ranks.items()}
         self.none = max(self.words, default=0) + 1
@@ -209,7 +209,7 @@ class Cached(dict):
     part a text without a change of its matches.
     """
 
-    def __init__(self, pairs: Pairs, pattern, most: int = 200_000, longest: int = 64):
+    def __init__(self, pairs: Pairs, pattern, most: int = 150_000, longest: int = 64):
         self.pairs, self.pattern, self.most, self.longest = pairs, pattern, most, longest
         self.bare = Bare(self)
         self.older: dict[str, bytes] = {}
