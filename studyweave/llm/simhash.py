@@ -33,6 +33,8 @@ from .rows import batch, changes, dropped, stored, utf8, whole_groups
 BITS = 64
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SHARD = pa.schema([("shard", pa.int64()), ("print", pa.int64()), ("fixed", pa.int64())])
+#: Rows up to which a table is sent to all executors: a megabyte or two.
+LOOKUP = 50_000
 #: Shingles whose bits are counted at once, to bound memory.
 _PART = 1 << 16
 
@@ -180,10 +182,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         # a root takes the smallest root that any of its nodes has seen; then all nodes look up their root's
         better = hooked.filter("low < root").groupBy(F.col("root").alias("top")).agg(F.min("low").alias("best"))
         better = better.withColumnRenamed("top", "root")  # a root may have many nodes
-        lifted = lookup_join(hooked, better, ["root"], "left", at_most=roots).select("node", F.least("low", "best").alias("root"))
+        lifted = lookup_join(hooked, better, ["root"], "left", LOOKUP, at_most=roots).select("node", F.least("low", "best").alias("root"))
         step = stored(spark, lifted, "step")
         up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = lookup_join(step, up, ["root"], "left", at_most=step).select("node", F.least("root", "above").alias("root"))
+        jumped = lookup_join(step, up, ["root"], "left", LOOKUP, at_most=step).select("node", F.least("root", "above").alias("root"))
         new = stored(spark, jumped, "roots")
         moved = new.join(roots.withColumnRenamed("root", "was"), "node").filter("root <> was")
         still = moved.isEmpty()
@@ -201,8 +203,9 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, id_col: str = "do
     prints = stored(spark, ids.mapInArrow(partial(_prints, words), "__id long, __print long"), "prints")
     firsts = stored(spark, prints.groupBy("__print").agg(F.min("__id").alias("__low")), "firsts")
     roots = components(spark, links(spark, firsts, radius))
-    named = firsts.join(roots, F.col("__print") == F.col("node"), "left").select("__print", "__low", F.coalesce("root", "__print").alias("__root"))
-    low = named.groupBy("__root").agg(F.min("__low").alias("__component"))
-    classes = lookup_join(named, low, ["__root"], at_most=firsts).select("__print", "__component")
+    linked = stored(spark, firsts.join(roots, F.col("__print") == F.col("node")).select("__print", "__low", "root"), "linked")
+    low = linked.groupBy("root").agg(F.min("__low").alias("__component"))
+    of_linked = lookup_join(linked, low, ["root"], "inner", LOOKUP, at_most=linked).select("__print", "__component")
+    classes = firsts.join(of_linked, "__print", "left").select("__print", F.coalesce("__component", "__low").alias("__component"))
     digits = F.lower(F.lpad(F.hex("__print"), 16, "0"))
-    return lookup_join(prints, classes, ["__print"], at_most=firsts).select(F.col("__id").alias(id_col), digits.alias("fingerprint"), F.col("__component").alias("component_id"))
+    return prints.join(classes, "__print").select(F.col("__id").alias(id_col), digits.alias("fingerprint"), F.col("__component").alias("component_id"))
