@@ -196,7 +196,7 @@ def sampled(documents: DataFrame, labels: DataFrame, label: str, learn: Column,
     """text and label of at most `sample` labelled ids; `learn` picks rows by `id`. Of texts of one id the smallest
     counts, of labels the largest."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & learn)
-    some = marked.orderBy(F.xxhash64("id"), "label").limit(sample).groupBy("id").agg(F.max("label").alias("label"))
+    some = marked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = documents.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(some), "id")  # `sample` short rows
     return texts.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
