@@ -29,8 +29,11 @@ RECORD_SCHEMA = (
 BAD = "_corrupt_record"
 #: The number of a page in the name of its file or folder.
 PAGE = r"page[=_-]?(\d+)"
-#: Files of these kinds are read to their end at once, to see whether they have one.
 COMPRESSED = ("gz", "bz2", "deflate", "snappy", "lz4", "zst")
+#: Compressed files of at most so many bytes, and those that Spark would split, are taken whole, as one row each.
+WHOLE_BYTES, SPLITTABLE = 1 << 16, "bz2"
+#: Three signs at which a larger one is cut; each is in every line of records, so pieces stay short.
+CUTS = ("\n", "{", "}")
 
 
 def flatten(frame: DataFrame, separator: str = ".") -> DataFrame:
@@ -127,32 +130,53 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
 
 
+def _texts(spark: SparkSession, folder: str, **how) -> DataFrame:
+    """The texts of the files that can be read, as far as they can."""
+    return spark.read.schema("value string").option("ignoreCorruptFiles", True).text(folder, **how)
+
+
+def _packed(spark: SparkSession, folder: str, whole: bool, **how) -> DataFrame:
+    """The texts of those compressed files that are taken whole, or of the others, which Spark then leaves unread."""
+    small = F.col("_metadata.file_size") <= WHOLE_BYTES
+    at_once = small | F.col("_metadata.file_name").endswith(f".{SPLITTABLE}")
+    texts = _texts(spark, folder, pathGlobFilter=f"*.{{{','.join(COMPRESSED)}}}", **how)
+    return texts.filter(at_once if whole else ~at_once)
+
+
 def file_states(spark: SparkSession, folder: str) -> DataFrame:
     """study, file, size, state of every file: `read`, `empty` (blanks and line ends only), or `failed` if it cannot be
     read to its end. Files without a byte are not listed by Spark, and so not here.
 
     Plain files are read line by line and their bytes counted: a read that broke off has fewer than the file.
-    A compressed file does not tell how much it holds; it is taken whole, as one row, and there is no row if it breaks
-    off. So compressed files should hold under a gigabyte; larger ones belong in plain or several files.
+    A compressed file does not tell how much it holds. It is read piece by piece, cut at a sign, with each of three signs, and
+    the bytes of the pieces are counted, with one more for each cut. Read to its end, it has the same count by every sign
+    but the one it may end in, which has one less. A read that broke off loses what follows the last cut, so the three
+    counts differ. Nothing is held but one piece. Files too small for that are taken whole, as one row, and there is no row if
+    one breaks off; so are those of the kind that Spark splits (bz2), which should hold under a gigabyte each.
     """
-    def text(**how):
-        return spark.read.schema("value string").option("ignoreCorruptFiles", True).text(folder, **how)
-
     file, held = F.col("_metadata.file_path").alias("file"), F.length(F.btrim("value", F.lit(" \t\r\n"))) > 0
-    lines = text(lineSep="\n").groupBy(file)
-    lines = lines.agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.count_if(held).alias("n"))
-    kinds = ",".join(COMPRESSED)
-    whole = text(wholetext=True, pathGlobFilter=f"*.{{{kinds}}}")
-    whole = whole.groupBy(file).agg(F.count_if(held).alias("unpacked"))
+    n_bytes = F.sum(F.octet_length("value") + 1)
+    lines = _texts(spark, folder, lineSep=CUTS[0]).groupBy(file).agg(n_bytes.alias("bytes"), F.count_if(held).alias("n"))
+    whole = _packed(spark, folder, True, wholetext=True).groupBy(file).agg(F.count_if(held).alias("unpacked"))
+    cuts = [_packed(spark, folder, False, lineSep=sign).groupBy(file).agg(n_bytes.alias("cut")) for sign in CUTS[1:]]
+    by_cut = cuts[0].unionByName(cuts[1]).groupBy("file").agg(F.array_agg("cut").alias("cuts"))
+
     packed = F.element_at(F.split("file", r"\."), -1).isin(*COMPRESSED)
+    taken_whole = (F.col("size") <= WHOLE_BYTES) | F.col("file").endswith(f".{SPLITTABLE}")
+    # a sign that does not occur before the break gives no row, and counts nothing
+    none = F.array_repeat(F.lit(0).cast("bigint"), 2)
+    counts = F.array_sort(F.concat(F.array(F.coalesce("bytes", F.lit(0))), F.coalesce("cuts", none), none))
+    least, middle, most = (F.element_at(counts, k) for k in (-3, -2, -1))
+    at_end = (most > 0) & (middle == most) & (least >= most - 1)
     # the last line may end without a mark, and a byte order mark is not part of a line
-    broken = F.when(packed, F.col("unpacked").isNull()).otherwise(F.coalesce("bytes", F.lit(0)) + 4 <= F.col("size"))
-    empty = F.when(packed, F.col("unpacked")).otherwise(F.col("n")) == 0
+    broken = F.when(packed & taken_whole, F.col("unpacked").isNull()).when(packed, ~at_end)
+    broken = broken.otherwise(F.coalesce("bytes", F.lit(0)) + 4 <= F.col("size"))
+    empty = F.when(packed & taken_whole, F.col("unpacked")).otherwise(F.col("n")) == 0
     state = F.when(broken, "failed").when(empty, "empty").otherwise("read")
     study = F.regexp_extract("file", "/study=([^/]*)/", 1)
     for _ in range(2):  # Spark escapes signs in folder names, and a path's signs once more
         study = F.coalesce(F.try_url_decode(F.replace(study, F.lit("+"), F.lit("%2B"))), study)
-    files = _files(spark, folder).join(lines, "file", "left").join(whole, "file", "left")
+    files = _files(spark, folder).join(lines, "file", "left").join(whole, "file", "left").join(by_cut, "file", "left")
     return files.select(study.alias("study"), "file", "size", state.alias("state"))
 
 

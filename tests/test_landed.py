@@ -45,6 +45,34 @@ def test_a_broken_file_takes_its_study_out_and_no_other(spark, tmp_path):
     assert {r.study_id: r["count"] for r in roster.groupBy("study_id").count().collect()} == {"a": 3000, "c d+e%": 3000, "p": 10}
 
 
+@pytest.mark.parametrize("end", [b'"}\n', b'"}', b'"}{', b'x', b"\n\n", b" "])
+def test_a_large_compressed_file_is_judged_without_being_held(spark, tmp_path, monkeypatch, end):
+    """Wherever it breaks off, and whatever a whole one ends in."""
+    monkeypatch.setattr(landed, "WHOLE_BYTES", 0)
+    rng, lines = np.random.default_rng(5), []
+    for k in range(1500):
+        lines.append(json.dumps({"patientId": f"a{k}", "attrId": "AGE", "value": str(rng.integers(1 << 62))}))
+    data = gzip.compress("\n".join(lines).encode() + end, mtime=0)
+    _write(tmp_path, "whole", "part-0.json.gz", []).write_bytes(data)
+    for k, at in enumerate((1, 12, 40, 200, 5000, 5001, 5002, 5003, len(data) // 2, len(data) - 9, len(data) - 1)):
+        _write(tmp_path, f"cut{k}", "part-0.json.gz", []).write_bytes(data[:at])
+    _write(tmp_path, "blank", "part-0.json.gz", []).write_bytes(gzip.compress(b" \n" * 50, mtime=0))
+    states = {r.study: r.state for r in landed.study_states(spark, str(tmp_path)).collect()}
+    assert states.pop("whole") == "read" and states.pop("blank") == "empty"
+    assert set(states.values()) == {"failed"} and len(states) == 11
+
+
+def test_no_row_holds_a_large_compressed_file(spark, tmp_path):
+    """Of the rows that hold a file, only those of small files are read."""
+    rows = spark.range(400_000).selectExpr("""concat('{"patientId": "', md5(string(id)), '"}') AS value""").coalesce(1)
+    rows.write.option("compression", "gzip").text(str(tmp_path / "study=a"))
+    _write(tmp_path, "b", "part-0.json.gz", _records("b", 10), packed=True)
+    whole, cut = (landed._packed(spark, str(tmp_path), taken, wholetext=taken) for taken in (True, False))
+    assert (whole.rdd.getNumPartitions(), whole.count()) == (1, 1)  # the large one is not opened
+    assert cut.count() == 400_000
+    assert {r.study: r.state for r in landed.study_states(spark, str(tmp_path)).collect()} == {"a": "read", "b": "read"}
+
+
 def test_a_plain_file_that_cannot_be_read_to_its_end(spark, tmp_path):
     spark.range(200_000).selectExpr("""concat('{"patientId": "p', id, '"}') AS value""").coalesce(1).write.text(str(tmp_path / "study=a"))
     _write(tmp_path, "b", "part-0.json", [{"patientId": "x"}])
