@@ -29,8 +29,10 @@ from .ordered import digest_rank
 from .recipe import Recipe, RecipeModel
 from .split import KEY, LABEL, shuffle_digest
 
-#: Batches that are grown at the same time; each holds its own trees only.
-PARALLELISM = 8
+#: Batches that are grown at the same time: at least and at most. Each holds its own trees only.
+PARALLELISM, MOST = 8, 24
+#: Rows times trees that batches beyond the least number may hold together on the executors, at about 12 bytes each.
+HELD = 500_000_000
 OWN = -1  # the variant of a row with all values its own
 
 
@@ -78,6 +80,13 @@ def draws(key: Column, seed: int, batch: Column | int) -> Column:
     return reduce(lambda a, b: a + b, [(share >= bound).cast("int") for bound in bounds])
 
 
+def at_once(spark: SparkSession, n_rows: int = 0, trees: int = 1) -> int:
+    """How many batches of so many trees to grow together: two for each core, as a batch of few rows is one task at a time and
+    the driver works between its steps."""
+    room = HELD // max(1, n_rows * trees)
+    return max(PARALLELISM, min(2 * spark.sparkContext.defaultParallelism, room, MOST))
+
+
 def _at_once(spark: SparkSession, work, jobs: Iterable, parallelism: int) -> list:
     with ThreadPool(parallelism) as pool:
         return pool.map(inheritable_thread_target(spark)(work), list(jobs), 1)
@@ -115,7 +124,7 @@ def tune(
     n_folds: int = 5,
     seed: int = 42,
     batch: int = 250,
-    parallelism: int = PARALLELISM,
+    parallelism: int | None = None,
 ) -> list[tuple[int, int, float, float]]:
     """(mtry, min_n, mean AUC, standard error) per grid point, best first.
 
@@ -132,11 +141,12 @@ def tune(
             for part, rows in (("fit", rest), ("out", out)):
                 recipe.transform(rows).select(KEY, "label", "features").write.mode("overwrite").parquet(f"{here}/{part}")
         fit_part, held_out = (spark.read.parquet(f"{here}/{part}") for part in ("fit", "out"))
-        return _in_order(fit_part, fit_part.count()), held_out
+        n_rows = fit_part.count()
+        return _in_order(fit_part, n_rows), held_out, n_rows
 
     def grow(job):
         fold, (mtry, min_n), (number, trees) = job
-        fit_part, held_out = folds[fold]
+        fit_part, held_out, _ = folds[fold]
 
         def votes():
             model = classifier(trees, mtry, min_n, seed + number).fit(fit_part)
@@ -144,12 +154,12 @@ def tune(
 
         _written(spark, f"{folder}/votes/fold={fold}/point={mtry}_{min_n}/batch={number}", votes)
 
-    folds = _at_once(spark, prepare, range(n_folds), parallelism)
+    folds = _at_once(spark, prepare, range(n_folds), parallelism or PARALLELISM)
     _at_once(
         spark,
         grow,
         [(fold, point, some) for some in batches(n_trees, batch) for fold in range(n_folds) for point in points],
-        parallelism,
+        parallelism or at_once(spark, max(n_rows for *_, n_rows in folds), min(batch, n_trees)),
     )
     kinds = f"{KEY} string, label double, votes double, fold int, point string, batch int"
     names = [f"{mtry}_{min_n}" for mtry, min_n in points]
@@ -179,7 +189,7 @@ class Forest:
         listed = spark.read.json(f"{self.folder}/forest").orderBy("batch").collect()  # one row per batch
         self.seed, self.n_trees = listed[0].seed, sum(row.trees for row in listed)
         load = lambda row: RandomForestClassificationModel.load(f"{self.folder}/batch={row.batch}")
-        self.models = _at_once(spark, load, listed, PARALLELISM)
+        self.models = _at_once(spark, load, listed, at_once(spark))
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Key, label, probability of the event, predicted class."""
@@ -203,7 +213,7 @@ def fit_final(
     n_trees: int = 500,
     seed: int = 42,
     batch: int = 10,
-    parallelism: int = PARALLELISM,
+    parallelism: int | None = None,
 ) -> Forest:
     """Recipe and forest fitted on all train rows, written to the folder and read back from it."""
     spark, folder = train.sparkSession, folder.rstrip("/")
@@ -223,13 +233,13 @@ def fit_final(
             spark.range(1).write.mode("overwrite").parquet(f"{folder}/grown/{number}")  # says that the trees are whole
 
     listed = batches(n_trees, batch)
-    _at_once(spark, grow, listed, parallelism)
+    _at_once(spark, grow, listed, parallelism or at_once(spark, n_rows, min(batch, n_trees)))
     described = spark.createDataFrame([(k, n, seed) for k, n in listed], "batch int, trees int, seed int")
     described.coalesce(1).write.mode("overwrite").json(f"{folder}/forest")
     return Forest(spark, folder)
 
 
-def out_of_bag(forest: Forest, train: DataFrame, parallelism: int = PARALLELISM) -> DataFrame:
+def out_of_bag(forest: Forest, train: DataFrame, parallelism: int | None = None) -> DataFrame:
     """Key, label, score and predicted class of the train rows, each by the batches that did not draw it, and the
     number of these batches."""
     spark, encoded = forest.spark, forest.recipe.transform(train).select(KEY, LABEL, "features")
@@ -243,7 +253,7 @@ def out_of_bag(forest: Forest, train: DataFrame, parallelism: int = PARALLELISM)
 
         _written(spark, f"{forest.folder}/out_of_bag/batch={number}", votes)
 
-    _at_once(spark, vote, enumerate(forest.models), parallelism)
+    _at_once(spark, vote, enumerate(forest.models), parallelism or at_once(spark))
     votes = spark.read.parquet(f"{forest.folder}/out_of_bag")
     scored = votes.groupBy(KEY, LABEL).agg(
         _score(F.sum("votes"), F.sum("trees")).alias("score"), F.count("*").alias("n_batches")
@@ -272,7 +282,7 @@ def permutation_importance(
     train: DataFrame,
     n_repeats: int = 5,
     seed: int = 42,
-    parallelism: int = PARALLELISM,
+    parallelism: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Loss of accuracy when one encoded feature is shuffled, on the rows that a batch did not draw: mean and standard
@@ -304,6 +314,7 @@ def permutation_importance(
 
         _written(spark, f"{folder}/importance/hits/batch={number}", hits)
 
+    parallelism = parallelism or at_once(spark)
     shuffles = _at_once(spark, shuffled, range(n_repeats), parallelism)
     _at_once(spark, hit, enumerate(forest.models), parallelism)
     hits = spark.read.parquet(f"{folder}/importance/hits")  # features x batches

@@ -284,6 +284,14 @@ def test_tuning_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
     assert run("b") == first  # and every run gives the same
 
 
+def test_batches_grown_together_fill_the_cores_and_hold_bounded_rows(spark):
+    from studyweave.operators import forest
+
+    cores = spark.sparkContext.defaultParallelism
+    assert forest.at_once(spark, 40_000, 250) == max(forest.PARALLELISM, min(2 * cores, forest.MOST)) > cores
+    assert forest.at_once(spark, 400_000, 250) == forest.at_once(spark, 10**9, 250) == forest.PARALLELISM
+
+
 def test_forest_of_batches_is_read_back_and_repeats(spark, tmp_path):
     from studyweave.operators import forest
 
