@@ -20,8 +20,9 @@ def _fact(attr_id, value, when=None, level="PATIENT") -> Column:
 
 
 def _facts(rows: DataFrame, keys: list[Column], facts: list[Column]) -> DataFrame:
-    recorded = F.filter(F.array(*facts), lambda fact: fact.isNotNull())
-    return rows.select(*keys, F.inline(recorded))
+    """A row for each fact that is recorded. A fact that is not is a row without a level and goes after: to filter the
+    array would leave generated code."""
+    return rows.select(*keys, F.inline(F.array(*facts))).filter(F.col("data_level").isNotNull())
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +102,9 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per study and patient. Every visit yields a record, so the visits list them all."""
     return (
         visits(spark, sf_dir)
-        .select("study_id", F.concat(F.lit("P"), F.col("ck").cast("string")).alias("patient_id"))
+        .select("study_id", "ck")
         .distinct()
+        .select("study_id", F.concat(F.lit("P"), F.col("ck").cast("string")).alias("patient_id"))
     )
 
 

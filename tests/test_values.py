@@ -14,6 +14,21 @@ def apply(spark, values, expression, schema="v string"):
     return [r[0] for r in frame.orderBy("i").select(expression).collect()]
 
 
+def test_a_text_without_white_space_at_its_ends_is_not_searched(spark):
+    texts = ["a", "ab", "a ", " a", "!~", "\u3000b", "b\u2029", "é", "aé", "éa", "a\u00a0b", "\x7f", "\x1fa"]
+    searched = F.btrim(F.col("v"), F.lit(voc.WHITE_SPACE))
+    assert apply(spark, texts, trim_all(F.col("v"))) == apply(spark, texts, searched)
+    assert "CASE WHEN" in str(trim_all(F.col("v")))
+
+
+def test_records_are_derived_in_generated_code(spark):
+    from studyweave.sources import bridge
+
+    plan = bridge.records(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert "lambda" not in plan.optimizedPlan().toString()
+    assert bridge.records(spark, "/root/testdata/sf0.001").filter("data_level IS NULL").count() == 0
+
+
 def test_trim_takes_all_unicode_white_space(spark):
     texts = [" a ", "\ta b\n", " x　", "plain", "", None, "   "]
     assert apply(spark, texts, trim_all(F.col("v"))) == ["a", "a b", "x", "plain", "", None, ""]
