@@ -17,7 +17,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +47,37 @@ def grid(n_features: int, levels: int = 4) -> list[tuple[int, int]]:
     return [(m, n) for m in _levels(2, widest, levels) for n in _levels(5, 40, levels)]
 
 
+class GrownTrees(RandomForestClassificationModel):
+    """Spark's model, which wraps its trees for Python only when they are asked for.
+
+    A model looks through its own attributes for parameters. It passes over properties, but not over the cached one that its
+    class has for `trees`; so each fit, load and copy would wrap every tree by hundreds of calls, longer than they take to grow.
+    """
+
+    @property
+    def trees(self) -> list:
+        return [DecisionTreeClassificationModel(tree) for tree in self._call_java("trees")]
+
+    @classmethod
+    def load(cls, path: str) -> GrownTrees:
+        model = cls(RandomForestClassificationModel.read()._jread.load(path))
+        model._transfer_params_from_java()
+        return model
+
+
+class TreeGrower(RandomForestClassifier):
+    """Spark's classifier, which gives `GrownTrees`."""
+
+    def _create_model(self, java_model) -> GrownTrees:
+        return GrownTrees(java_model)
+
+
 def classifier(
     n_trees: int, mtry: int, min_n: int, seed: int, bootstrap: bool = True, max_depth: int = 30
-) -> RandomForestClassifier:
+) -> TreeGrower:
     """Where each row stands in the trees is kept; else the trees are sent along with every step, and the time
     grows faster than their number."""
-    return RandomForestClassifier(
+    return TreeGrower(
         numTrees=n_trees,
         featureSubsetStrategy=str(mtry),
         minInstancesPerNode=min_n,
@@ -109,7 +134,7 @@ def _in_order(rows: DataFrame, n_rows: int, rows_per_task: int = 250_000) -> Dat
     return rows.repartition(max(1, math.ceil(n_rows / rows_per_task)), KEY).sortWithinPartitions(KEY)
 
 
-def _votes(model: RandomForestClassificationModel, rows: DataFrame, out: str = "votes") -> DataFrame:
+def _votes(model: GrownTrees, rows: DataFrame, out: str = "votes") -> DataFrame:
     """Add the event's share of the model's trees, times their number."""
     columns = {model.rawPredictionCol: f"{out} of classes", model.probabilityCol: "", model.predictionCol: ""}
     voted = model.transform(rows, columns)
@@ -188,7 +213,7 @@ class Forest:
         self.recipe = RecipeModel.load(f"{self.folder}/recipe")
         listed = spark.read.json(f"{self.folder}/forest").orderBy("batch").collect()  # one row per batch
         self.seed, self.n_trees = listed[0].seed, sum(row.trees for row in listed)
-        load = lambda row: RandomForestClassificationModel.load(f"{self.folder}/batch={row.batch}")
+        load = lambda row: GrownTrees.load(f"{self.folder}/batch={row.batch}")
         self.models = _at_once(spark, load, listed, at_once(spark))
 
     def score(self, rows: DataFrame) -> DataFrame:

@@ -304,6 +304,28 @@ def test_forest_of_batches_is_read_back_and_repeats(spark, tmp_path):
     assert {r.patient_key: r.score for r in forest.Forest(spark, str(tmp_path / "a")).score(train).collect()} == scores[0]
 
 
+def test_no_tree_is_wrapped_unless_asked_for(spark, tmp_path, monkeypatch):
+    from pyspark.ml import classification
+
+    from studyweave.operators import forest
+
+    wrapped, make = [], classification.DecisionTreeClassificationModel
+
+    def counted(tree):
+        wrapped.append(tree)
+        return make(tree)
+
+    monkeypatch.setattr(classification, "DecisionTreeClassificationModel", counted)
+    train = _labelled(spark, 1, 200)
+    forest.tune(train, [(1, 1)], str(tmp_path / "t"), n_trees=4, n_folds=2, batch=2)
+    model = forest.fit_final(train, 1, 5, str(tmp_path / "f"), n_trees=6, batch=3)
+    forest.out_of_bag(model, train).count()
+    forest.permutation_importance(model, train, n_repeats=2).count()
+    assert wrapped == []
+    assert [len(m.trees) for m in model.models] == [m.getNumTrees for m in model.models] == [3, 3]
+    assert all(tree.numNodes >= 1 for m in model.models for tree in m.trees)
+
+
 def test_draws_are_those_of_a_sample_with_replacement(spark):
     from studyweave.operators import forest
 
