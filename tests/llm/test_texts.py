@@ -39,6 +39,23 @@ def test_decomposed_capitals_give_the_tokenizers_ids(tokenizer):
         assert np.frombuffer(chunks.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_signs_after_words_are_looked_up_on_their_own(tokenizer):
+    from tokenizers import Tokenizer
+
+    whole, chunks, asked = Tokenizer.from_file(tokenizer), packing.Chunks(tokenizer), []
+    chunks.encode = lambda text, **named: asked.append(text) or whole.encode(text, **named)
+    rng = random.Random(5)
+    signs = ["***", "$$$", ".%%%", "!!", "&&&", "<|", "|>", "(", "_", *map(chr, range(33, 39)), *"()*+,-./:;<=>?@[\\]^_`{|}~"]
+    words = ["".join(rng.choice("abczXYZéÀßÿñ") for _ in range(rng.randint(1, 9))) for _ in range(400)] + ["word", "Ærøskøbing"]
+    texts = [rng.choice(words) + rng.choice(signs) for _ in range(4000)] + [w + "".join(rng.choices(signs[4:], k=3)) for w in words]
+    for text in texts:
+        wanted = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(chunks.ids(text.encode()), "<u4").tolist() == wanted, text
+    assert not any(c.isalpha() for text in asked for c in text) and len(asked) <= len(set(signs)) + len(words)
+    for text in (" ".join(texts[:500]), "endoftext<|endoftext|> a's* it's, x's! 'll\" don't. é's' a\u0300* <\u0338", "<|startoftext|>** a<|endoftext|>*"):
+        assert np.frombuffer(chunks.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_is_a_partition_without_padding(spark, tokenizer):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alpha", "beta.", "Gamma", "7"]) for _ in range(rng.choice([0, 1, 5, 60, 400, 5000]))) for _ in range(150)] + [None, ""]
