@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,24 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import Workspace
+from ..workspace import Workspace, ship  # noqa: F401
 
 BLANKS = b" \t\n\r\x0b\x0c"
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the package to the executors, once per application."""
-    application = spark.sparkContext.applicationId
-    if application in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="studyweave-")) / "studyweave.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(application)
 
 
 def utf8(column: Column | str) -> Column:

@@ -14,15 +14,20 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from functools import reduce
+from itertools import groupby
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast, inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import written_whole
+from ..workspace import mark_whole, ship, written_whole
+from . import trees as local
 from .evaluate import roc_auc, score_counts
 from .joins import ROWS_PER_TASK
 from .ordered import digest_rank
@@ -33,6 +38,10 @@ from .split import KEY, LABEL, shuffle_digest
 PARALLELISM, MOST = 8, 24
 #: Rows times trees that batches beyond the least number may hold together on the executors, at about 12 bytes each.
 HELD = 500_000_000
+#: Bytes of a fold's rows up to which a task of the tuning holds them all, at one for each bin and ROW_BYTES for the trees in growth.
+IN_A_TASK, ROW_BYTES = 200_000_000, 160
+#: Trees of one such task: few, so that no core waits long for the last.
+TREES_PER_TASK = 125
 OWN = -1  # the variant of a row with all values its own
 
 
@@ -141,6 +150,63 @@ def _votes(model: GrownTrees, rows: DataFrame, out: str = "votes") -> DataFrame:
     return voted.withColumn(out, vector_to_array(f"{out} of classes")[1]).drop(f"{out} of classes")
 
 
+def _held(fit_part: DataFrame, held_out: DataFrame) -> Broadcast:
+    """A fold as bins, in an order that follows from its rows alone, for tasks that hold it whole."""
+    spark = fit_part.sparkSession
+
+    def cut(found):
+        found = found.sort_values("value")
+        cuts = local.thresholds(found["value"].to_numpy(), found["n"].to_numpy())
+        return pd.DataFrame({"feature": found["feature"].iloc[:1], "cuts": [cuts]})
+
+    values = fit_part.select(F.posexplode(vector_to_array("features")).alias("feature", "value"))
+    counted = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    found = counted.groupBy("feature").applyInPandas(cut, "feature int, cuts array<double>").collect()
+    cuts = [row.cuts for row in sorted(found)]
+
+    def to_bins(batches):
+        for batch in batches:
+            plain = batch.column("features").flatten().to_numpy().reshape(-1, len(cuts))
+            bins = pa.array([row.tobytes() for row in local.binned(plain, cuts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("label"), bins], [KEY, "label", "bins"])
+
+    def collected(part):
+        plain = part.select(KEY, "label", vector_to_array("features").alias("features"))
+        rows = plain.mapInArrow(to_bins, f"{KEY} string, label double, bins binary").orderBy(KEY, "label", "bins").toArrow()
+        bins = np.frombuffer(b"".join(rows["bins"].to_pylist()), np.uint8).reshape(-1, len(cuts))
+        return bins, rows["label"].combine_chunks(), rows[KEY].combine_chunks()
+
+    (rows, label, _), (asked, asked_label, asked_key) = collected(fit_part), collected(held_out)
+    label = label.to_numpy(zero_copy_only=False)
+    if not np.isin(label, (0, 1)).all():
+        raise ValueError("labels must be 0 or 1")
+    n_bins = np.array([len(cut) + 1 for cut in cuts])
+    return spark.sparkContext.broadcast((rows, label, asked, n_bins, asked_key, asked_label))
+
+
+def _tree_votes(held: Broadcast, growers: dict[str, TreeGrower], spark: SparkSession) -> DataFrame:
+    """Key, label, point and votes, in parts that add up, of the growers of one batch. Growers that differ in `min_n` grow their trees in the
+    same tasks."""
+    tasks = []
+    told = [(int(g.getFeatureSubsetStrategy()), g.getMinInstancesPerNode(), g.getSeed(), g.getNumTrees(), g.getMaxDepth(), name) for name, g in growers.items()]
+    alike = lambda x: (x[0], x[2:5])
+    for (mtry, (seed, n_trees, depth)), some in groupby(sorted(told, key=lambda x: (alike(x), x[1])), alike):
+        _, min_ns, *_, names = zip(*some)
+        seeds = [(seed, k) for k in range(n_trees)]
+        tasks += [(seeds[k : k + TREES_PER_TASK], mtry, list(min_ns), depth, names) for k in range(0, n_trees, TREES_PER_TASK)]
+    tasks.sort(key=lambda task: -task[1])  # long ones first
+
+    def work(batches):
+        rows, label, asked, n_bins, key, asked_label = held.value
+        for number in (k for batch in batches for k in batch.column("id").to_pylist()):
+            seeds, mtry, min_ns, depth, names = tasks[number]
+            for name, votes in zip(names, local.votes(rows, label, asked, n_bins, seeds, mtry, min_ns, depth)):
+                columns = [key, asked_label, pa.array(votes), pa.array([name] * len(votes), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [KEY, "label", "votes", "point"])
+
+    return spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(work, f"{KEY} string, label double, votes double, point string")
+
+
 def tune(
     train: DataFrame,
     points: list[tuple[int, int]],
@@ -154,7 +220,8 @@ def tune(
     """(mtry, min_n, mean AUC, standard error) per grid point, best first.
 
     The recipe is fitted once per fold, on the fold's own train rows, and serves all grid points. The votes of each
-    batch on the held-out rows are written, and its trees let go.
+    batch on the held-out rows are written, and its trees let go. If a task can hold a fold's rows, it grows whole trees over
+    them (see `trees`); else Spark grows them over the rows where they are, level by level.
     """
     spark, folder = train.sparkSession, folder.rstrip("/")
 
@@ -167,25 +234,47 @@ def tune(
                 recipe.transform(rows).select(KEY, "label", "features").write.mode("overwrite").parquet(f"{here}/{part}")
         fit_part, held_out = (spark.read.parquet(f"{here}/{part}") for part in ("fit", "out"))
         n_rows = fit_part.count()
-        return _in_order(fit_part, n_rows), held_out, n_rows
+        fits = 0 < n_rows and n_rows * (fit_part.first()["features"].size + ROW_BYTES) <= IN_A_TASK
+        held = _held(fit_part, held_out) if fits and any(job[0] == fold for job in missing) else None
+        return _in_order(fit_part, n_rows), held_out, n_rows, held
 
     def grow(job):
         fold, (mtry, min_n), (number, trees) = job
-        fit_part, held_out, _ = folds[fold]
+        fit_part, held_out, *_ = folds[fold]
 
         def votes():
             model = classifier(trees, mtry, min_n, seed + number).fit(fit_part)
             return _votes(model, held_out).select(KEY, "label", "votes")
 
-        _written(spark, f"{folder}/votes/fold={fold}/point={mtry}_{min_n}/batch={number}", votes)
-
+        _written(spark, at(job), votes)
+
+    def grow_alike(jobs):
+        """The points of one fold and batch."""
+        fold, _, (number, trees) = jobs[0]
+        growers = {f"{mtry}_{min_n}": classifier(trees, mtry, min_n, seed + number) for _, (mtry, min_n), _ in jobs}
+        votes = _tree_votes(folds[fold][-1], growers, spark).withColumns({"fold": F.lit(fold), "batch": F.lit(number)})
+        only_these = votes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fold", "point", "batch")
+        only_these.parquet(f"{folder}/votes")
+        for job in jobs:
+            mark_whole(spark, at(job))
+
+    def at(job):
+        fold, (mtry, min_n), (number, _) = job
+        return f"{folder}/votes/fold={fold}/point={mtry}_{min_n}/batch={number}"
+
+    jobs = [(fold, point, some) for some in batches(n_trees, batch) for fold in range(n_folds) for point in points]
+    missing = [job for job in jobs if not written_whole(spark, at(job))]
+    ship(spark)
     folds = _at_once(spark, prepare, range(n_folds), parallelism or PARALLELISM)
-    _at_once(
-        spark,
-        grow,
-        [(fold, point, some) for some in batches(n_trees, batch) for fold in range(n_folds) for point in points],
-        parallelism or at_once(spark, max(n_rows for *_, n_rows in folds), min(batch, n_trees)),
-    )
+    alike = [list(some) for _, some in groupby(missing, lambda job: (job[2], job[0]))]
+    _at_once(spark, grow_alike, [some for some in alike if folds[some[0][0]][-1]], parallelism or PARALLELISM)
+    rest = [job for job in missing if not folds[job[0]][-1]]
+    if rest:
+        most = max(n_rows for _, _, n_rows, _ in folds)
+        _at_once(spark, grow, rest, parallelism or at_once(spark, most, min(batch, n_trees)))
+    for *_, held in folds:
+        if held:
+            held.destroy()
     kinds = f"{KEY} string, label double, votes double, fold int, point string, batch int"
     names = [f"{mtry}_{min_n}" for mtry, min_n in points]
     votes = spark.read.schema(kinds).parquet(f"{folder}/votes").filter(F.col("point").isin(names))

@@ -4,10 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors, once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="studyweave-")) / "studyweave.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(application)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only on a local master."""
@@ -25,6 +43,12 @@ def written_whole(spark: SparkSession, path: str, mark: str = "_SUCCESS") -> boo
     return file.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(file)
 
 
+def mark_whole(spark: SparkSession, path: str, mark: str = "_SUCCESS") -> None:
+    """Says so, of a folder that was written as part of another."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{mark}")
+    file.getFileSystem(spark._jsc.sc().hadoopConfiguration()).create(file, True).close()
+
+
 class Workspace:
     """Writes each named frame once and reads it back from parquet from then on.
 
