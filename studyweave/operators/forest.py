@@ -16,6 +16,7 @@ from collections.abc import Iterable
 from functools import reduce
 from itertools import groupby
 from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -98,6 +99,37 @@ def classifier(
     )
 
 
+class TreesOfTasks:
+    """The trees of a batch that a task has grown."""
+
+    def __init__(self, nodes: Broadcast, n_trees: int):
+        self.nodes, self.getNumTrees = nodes, n_trees
+
+    @property
+    def trees(self) -> list[Tree]:
+        return [Tree(int(n)) for n in np.bincount(self.nodes.value["tree"], minlength=self.getNumTrees)]
+
+
+class Tree(NamedTuple):
+    numNodes: int
+
+
+def _ballot(models: list[TreesOfTasks], features: Column, batch: Column | None = None) -> Column:
+    """The summed votes of all trees, or of a batch, for features in an array."""
+    all_nodes, n_trees = [m.nodes for m in models], [m.getNumTrees for m in models]
+
+    @F.arrow_udf("double")
+    def votes(values: pa.Array, batch: pa.Array) -> pa.Array:
+        plain, batch = values.flatten().to_numpy().reshape(len(values), -1), batch.to_numpy()
+        out = np.zeros(len(plain))
+        for k, nodes in enumerate(all_nodes):
+            rows = np.flatnonzero((batch == k) | (batch < 0))
+            out[rows] += local.answers(nodes.value, n_trees[k], plain[rows])
+        return pa.array(out)
+
+    return votes(features, F.lit(-1) if batch is None else batch)
+
+
 def batches(n_trees: int, size: int) -> list[tuple[int, int]]:
     """(number, trees) of the batches of a forest."""
     return [(k, min(size, n_trees - k * size)) for k in range(math.ceil(n_trees / size))]
@@ -143,6 +175,16 @@ def _in_order(rows: DataFrame, n_rows: int, rows_per_task: int = 250_000) -> Dat
     return rows.repartition(max(1, math.ceil(n_rows / rows_per_task)), KEY).sortWithinPartitions(KEY)
 
 
+def _written_parts(spark: SparkSession, path: str, parts: list, build, at=lambda k: f"batch={k}", by=("batch",)) -> None:
+    """Writes the parts of a folder that are not there, with one job."""
+    missing = [part for part in parts if not written_whole(spark, f"{path}/{at(part)}")]
+    if missing:
+        only_these = build(missing).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+        only_these.parquet(path)
+        for part in missing:
+            mark_whole(spark, f"{path}/{at(part)}")
+
+
 def _votes(model: GrownTrees, rows: DataFrame, out: str = "votes") -> DataFrame:
     """Add the event's share of the model's trees, times their number."""
     columns = {model.rawPredictionCol: f"{out} of classes", model.probabilityCol: "", model.predictionCol: ""}
@@ -150,38 +192,56 @@ def _votes(model: GrownTrees, rows: DataFrame, out: str = "votes") -> DataFrame:
     return voted.withColumn(out, vector_to_array(f"{out} of classes")[1]).drop(f"{out} of classes")
 
 
-def _held(fit_part: DataFrame, held_out: DataFrame) -> Broadcast:
-    """A fold as bins, in an order that follows from its rows alone, for tasks that hold it whole."""
-    spark = fit_part.sparkSession
+def _fits_in_a_task(rows: DataFrame, n_rows: int) -> bool:
+    return 0 < n_rows and n_rows * (rows.first()["features"].size + ROW_BYTES) <= IN_A_TASK
+
+
+def _cuts(rows: DataFrame) -> list[list[float]]:
+    """The thresholds of each feature."""
 
     def cut(found):
         found = found.sort_values("value")
         cuts = local.thresholds(found["value"].to_numpy(), found["n"].to_numpy())
         return pd.DataFrame({"feature": found["feature"].iloc[:1], "cuts": [cuts]})
 
-    values = fit_part.select(F.posexplode(vector_to_array("features")).alias("feature", "value"))
+    values = rows.select(F.posexplode(vector_to_array("features")).alias("feature", "value"))
     counted = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
     found = counted.groupBy("feature").applyInPandas(cut, "feature int, cuts array<double>").collect()
-    cuts = [row.cuts for row in sorted(found)]
+    return [row.cuts for row in sorted(found)]
+
+
+def _held(rows: DataFrame, cuts: list[list[float]], times: Column | None = None) -> tuple[np.ndarray, ...]:
+    """Bins, label, key and how often each batch draws a row, in an order that follows from the rows alone, for tasks that hold all."""
 
-    def to_bins(batches):
-        for batch in batches:
-            plain = batch.column("features").flatten().to_numpy().reshape(-1, len(cuts))
-            bins = pa.array([row.tobytes() for row in local.binned(plain, cuts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("label"), bins], [KEY, "label", "bins"])
+    def to_bins(found):
+        for some in (x for x in found if len(x)):
+            plain = some.column("features").flatten().to_numpy().reshape(-1, len(cuts))
+            drawn = some.column("times").flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(len(some), -1)
+            packed = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (local.binned(plain, cuts), drawn)]
+            yield pa.RecordBatch.from_arrays([some.column(KEY), some.column("label"), *packed], [KEY, "label", "bins", "times"])
 
-    def collected(part):
-        plain = part.select(KEY, "label", vector_to_array("features").alias("features"))
-        rows = plain.mapInArrow(to_bins, f"{KEY} string, label double, bins binary").orderBy(KEY, "label", "bins").toArrow()
-        bins = np.frombuffer(b"".join(rows["bins"].to_pylist()), np.uint8).reshape(-1, len(cuts))
-        return bins, rows["label"].combine_chunks(), rows[KEY].combine_chunks()
+    times = F.array().cast("array<int>") if times is None else times
+    plain = rows.select(KEY, "label", vector_to_array("features").alias("features"), times.alias("times"))
+    table = plain.mapInArrow(to_bins, f"{KEY} string, label double, bins binary, times binary")
+    table = table.orderBy(KEY, "label", "bins").toArrow()
+    bins, drawn = (np.frombuffer(b"".join(table[x].to_pylist()), np.uint8) for x in ("bins", "times"))
+    key, label = (table[x].combine_chunks() for x in (KEY, "label"))
+    return bins.reshape(-1, len(cuts)), label, key, drawn.reshape(len(table), -1) if len(table) else drawn
 
-    (rows, label, _), (asked, asked_label, asked_key) = collected(fit_part), collected(held_out)
+
+def _labels(label: pa.Array) -> np.ndarray:
     label = label.to_numpy(zero_copy_only=False)
     if not np.isin(label, (0, 1)).all():
         raise ValueError("labels must be 0 or 1")
+    return label
+
+
+def _fold(fit_part: DataFrame, held_out: DataFrame) -> Broadcast:
+    """A fold as the tasks of its tuning hold it."""
+    cuts = _cuts(fit_part)
+    (rows, label, *_), (asked, asked_label, asked_key, _) = _held(fit_part, cuts), _held(held_out, cuts)
     n_bins = np.array([len(cut) + 1 for cut in cuts])
-    return spark.sparkContext.broadcast((rows, label, asked, n_bins, asked_key, asked_label))
+    return fit_part.sparkSession.sparkContext.broadcast((rows, _labels(label), asked, n_bins, asked_key, asked_label))
 
 
 def _tree_votes(held: Broadcast, growers: dict[str, TreeGrower], spark: SparkSession) -> DataFrame:
@@ -234,8 +294,8 @@ def tune(
                 recipe.transform(rows).select(KEY, "label", "features").write.mode("overwrite").parquet(f"{here}/{part}")
         fit_part, held_out = (spark.read.parquet(f"{here}/{part}") for part in ("fit", "out"))
         n_rows = fit_part.count()
-        fits = 0 < n_rows and n_rows * (fit_part.first()["features"].size + ROW_BYTES) <= IN_A_TASK
-        held = _held(fit_part, held_out) if fits and any(job[0] == fold for job in missing) else None
+        wanted = any(job[0] == fold for job in missing) and _fits_in_a_task(fit_part, n_rows)
+        held = _fold(fit_part, held_out) if wanted else None
         return _in_order(fit_part, n_rows), held_out, n_rows, held
 
     def grow(job):
@@ -251,16 +311,19 @@ def tune(
     def grow_alike(jobs):
         """The points of one fold and batch."""
         fold, _, (number, trees) = jobs[0]
-        growers = {f"{mtry}_{min_n}": classifier(trees, mtry, min_n, seed + number) for _, (mtry, min_n), _ in jobs}
-        votes = _tree_votes(folds[fold][-1], growers, spark).withColumns({"fold": F.lit(fold), "batch": F.lit(number)})
-        only_these = votes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fold", "point", "batch")
-        only_these.parquet(f"{folder}/votes")
-        for job in jobs:
-            mark_whole(spark, at(job))
 
-    def at(job):
+        def votes(jobs):
+            growers = {f"{mtry}_{min_n}": classifier(trees, mtry, min_n, seed + number) for _, (mtry, min_n), _ in jobs}
+            return _tree_votes(folds[fold][-1], growers, spark).withColumns({"fold": F.lit(fold), "batch": F.lit(number)})
+
+        _written_parts(spark, f"{folder}/votes", jobs, votes, part, ("fold", "point", "batch"))
+
+    def part(job):
         fold, (mtry, min_n), (number, _) = job
-        return f"{folder}/votes/fold={fold}/point={mtry}_{min_n}/batch={number}"
+        return f"fold={fold}/point={mtry}_{min_n}/batch={number}"
+
+    def at(job):
+        return f"{folder}/votes/{part(job)}"
 
     jobs = [(fold, point, some) for some in batches(n_trees, batch) for fold in range(n_folds) for point in points]
     missing = [job for job in jobs if not written_whole(spark, at(job))]
@@ -302,12 +365,20 @@ class Forest:
         self.recipe = RecipeModel.load(f"{self.folder}/recipe")
         listed = spark.read.json(f"{self.folder}/forest").orderBy("batch").collect()  # one row per batch
         self.seed, self.n_trees = listed[0].seed, sum(row.trees for row in listed)
-        load = lambda row: GrownTrees.load(f"{self.folder}/batch={row.batch}")
-        self.models = _at_once(spark, load, listed, at_once(spark))
+        self.in_tasks = getattr(listed[0], "in_tasks", False)
+        if self.in_tasks:
+            ship(spark)
+            self.models = _read_trees(spark, self.folder, listed)
+        else:
+            load = lambda row: GrownTrees.load(f"{self.folder}/batch={row.batch}")
+            self.models = _at_once(spark, load, listed, at_once(spark))
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Key, label, probability of the event, predicted class."""
         voted = self.recipe.transform(rows)
+        if self.in_tasks:
+            votes = _ballot(self.models, vector_to_array("features"))
+            return voted.select(KEY, LABEL, _score(votes, self.n_trees).alias("score")).withColumn("predicted", predicted())
         names = [f"votes {k}" for k in range(len(self.models))]
         for name, model in zip(names, self.models, strict=True):
             voted = _votes(model, voted, name)
@@ -329,7 +400,8 @@ def fit_final(
     batch: int = 10,
     parallelism: int | None = None,
 ) -> Forest:
-    """Recipe and forest fitted on all train rows, written to the folder and read back from it."""
+    """Recipe and forest fitted on all train rows, written to the folder and read back from it. As in `tune`, tasks grow the trees if they
+    can hold the rows."""
     spark, folder = train.sparkSession, folder.rstrip("/")
     if not written_whole(spark, f"{folder}/rows"):
         recipe = Recipe().fit(train)
@@ -347,17 +419,77 @@ def fit_final(
             spark.range(1).write.mode("overwrite").parquet(f"{folder}/grown/{number}")  # says that the trees are whole
 
     listed = batches(n_trees, batch)
-    _at_once(spark, grow, listed, parallelism or at_once(spark, n_rows, min(batch, n_trees)))
-    described = spark.createDataFrame([(k, n, seed) for k, n in listed], "batch int, trees int, seed int")
+    in_tasks = _fits_in_a_task(rows, n_rows)
+    if in_tasks:
+        _grow_in_tasks(rows, listed, mtry, min_n, seed, folder)
+    else:
+        _at_once(spark, grow, listed, parallelism or at_once(spark, n_rows, min(batch, n_trees)))
+    described = spark.createDataFrame([(k, n, seed, in_tasks) for k, n in listed], "batch int, trees int, seed int, in_tasks boolean")
     described.coalesce(1).write.mode("overwrite").json(f"{folder}/forest")
     return Forest(spark, folder)
 
 
+NODES = "tree int, feature int, threshold double, left int, share double"
+
+
+def _grow_in_tasks(rows: DataFrame, listed: list[tuple[int, int]], mtry: int, min_n: int, seed: int, folder: str) -> None:
+    """Writes the nodes of all batches that are not there."""
+    spark = rows.sparkSession
+    ship(spark)
+    trees_of = dict(listed)
+    _written_parts(spark, f"{folder}/trees", [number for number, _ in listed], lambda numbers: _nodes(rows, {k: trees_of[k] for k in numbers}, mtry, min_n, seed))
+
+
+def _nodes(rows: DataFrame, missing: dict[int, int], mtry: int, min_n: int, seed: int) -> DataFrame:
+    """The nodes of batches, of which the number of trees is given."""
+    spark = rows.sparkSession
+    cuts, numbers = _cuts(rows), F.array(*map(F.lit, missing))
+    bins, label, _, drawn = _held(rows, cuts, F.transform(numbers, lambda number: draws(F.col(KEY), seed, number)))
+    held = spark.sparkContext.broadcast((bins, _labels(label), drawn))
+    growers = [(number, classifier(trees, mtry, min_n, seed + number, bootstrap=False)) for number, trees in missing.items()]
+    told = [(k, g.getSeed(), g.getNumTrees(), int(g.getFeatureSubsetStrategy()), g.getMinInstancesPerNode(), g.getMaxDepth()) for k, g in growers]
+
+    def work(found):
+        bins, label, drawn = held.value
+        for place in (k for some in found for k in some.column("id").to_pylist()):
+            number, seed, n_trees, *rules = told[place]
+            nodes = local.forest(bins, label, drawn[:, place], cuts, [(seed, k) for k in range(n_trees)], *rules)
+            columns = [pa.array(nodes[x], pa.float64() if x in ("threshold", "share") else pa.int32()) for x in nodes]
+            ids = [pa.array(np.full(len(nodes["tree"]), number, np.int32)), pa.array(np.arange(len(nodes["tree"]), dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays(ids + columns, ["batch", "place", *nodes])
+
+    return spark.range(0, len(told), 1, len(told)).mapInArrow(work, f"batch int, place int, {NODES}")
+
+
+def _read_trees(spark: SparkSession, folder: str, listed: list) -> list[TreesOfTasks]:
+    names = [kind.split()[0] for kind in NODES.split(", ")]
+    kinds = f"batch int, place int, {NODES}"
+    found = spark.read.schema(kinds).parquet(f"{folder}/trees").filter(F.col("batch").isin([row.batch for row in listed]))
+    table = found.toArrow()
+    batch, place = (table[x].to_numpy() for x in ("batch", "place"))
+    order = np.lexsort((place, batch))
+    columns, begins = {x: table[x].to_numpy()[order] for x in names}, np.searchsorted(batch[order], [row.batch for row in listed])
+    ends = np.searchsorted(batch[order], [row.batch for row in listed], "right")
+    parts = [{x: columns[x][begin:end] for x in names} for begin, end in zip(begins, ends)]
+    return [TreesOfTasks(spark.sparkContext.broadcast(nodes), row.trees) for nodes, row in zip(parts, listed, strict=True)]
+
+
+def _left_out(forest: Forest, rows: DataFrame, numbers: list[int]) -> DataFrame:
+    """A row for each of the batches that did not draw it, with the number of its trees."""
+    left_out = F.filter(F.array(*map(F.lit, numbers)), lambda number: draws(F.col(KEY), forest.seed, number) == 0)
+    trees = F.array(*[F.lit(model.getNumTrees) for model in forest.models])
+    return rows.withColumn("batch", F.explode(left_out)).withColumn("trees", trees[F.col("batch")])
+
+
 def out_of_bag(forest: Forest, train: DataFrame, parallelism: int | None = None) -> DataFrame:
     """Key, label, score and predicted class of the train rows, each by the batches that did not draw it, and the
     number of these batches."""
     spark, encoded = forest.spark, forest.recipe.transform(train).select(KEY, LABEL, "features")
 
+    def votes_of(numbers):
+        votes = _ballot(forest.models, vector_to_array("features"), F.col("batch"))
+        return _left_out(forest, encoded, numbers).select(KEY, LABEL, votes.alias("votes"), "trees", "batch")
+
     def vote(job):
         number, model = job
 
@@ -367,7 +499,10 @@ def out_of_bag(forest: Forest, train: DataFrame, parallelism: int | None = None)
 
         _written(spark, f"{forest.folder}/out_of_bag/batch={number}", votes)
 
-    _at_once(spark, vote, enumerate(forest.models), parallelism or at_once(spark))
+    if forest.in_tasks:
+        _written_parts(spark, f"{forest.folder}/out_of_bag", list(range(len(forest.models))), votes_of)
+    else:
+        _at_once(spark, vote, enumerate(forest.models), parallelism or at_once(spark))
     votes = spark.read.parquet(f"{forest.folder}/out_of_bag")
     scored = votes.groupBy(KEY, LABEL).agg(
         _score(F.sum("votes"), F.sum("trees")).alias("score"), F.count("*").alias("n_batches")
@@ -414,12 +549,23 @@ def permutation_importance(
         given = lambda: donors(rows, ["own"], f"{seed}|{repeat}", n_rows, rows_per_task)
         return _written(spark, f"{folder}/importance/shuffled/{repeat}", given)
 
+    # a row for each feature, with this one feature of the donor, and one as it is
+    variant = F.explode(F.sequence(F.lit(OWN), F.lit(len(names) - 1)))
+    mixed = F.transform("own", lambda x, i: F.when(i == F.col("variant"), F.col("donor.own")[i]).otherwise(x))
+
+    def hits_of(repeat):
+        def hits(numbers):
+            variants = _left_out(forest, shuffles[repeat], numbers).withColumn("variant", variant)
+            voted = variants.withColumn("votes", _ballot(forest.models, mixed, F.col("batch")))
+            right = (F.col("votes") / F.col("trees") > 0.5) == (F.col(LABEL).cast("int") == 1)
+            return voted.groupBy("batch", "variant").agg(F.avg(right.cast("int")).alias("accuracy"))
+
+        _written_parts(spark, f"{folder}/importance/hits", list(range(repeat, len(forest.models), n_repeats)), hits)
+
     def hit(job):
         number, model = job
-        # a row for each feature, with this one feature of the donor, and one as it is
         left_out = shuffles[number % n_repeats].filter(draws(F.col(KEY), forest.seed, number) == 0)
-        variants = left_out.withColumn("variant", F.explode(F.sequence(F.lit(OWN), F.lit(len(names) - 1))))
-        mixed = F.transform("own", lambda x, i: F.when(i == F.col("variant"), F.col("donor.own")[i]).otherwise(x))
+        variants = left_out.withColumn("variant", variant)
 
         def hits():
             voted = _votes(model, variants.withColumn("features", array_to_vector(mixed)))
@@ -430,7 +576,10 @@ def permutation_importance(
 
     parallelism = parallelism or at_once(spark)
     shuffles = _at_once(spark, shuffled, range(n_repeats), parallelism)
-    _at_once(spark, hit, enumerate(forest.models), parallelism)
+    if forest.in_tasks:
+        _at_once(spark, hits_of, range(n_repeats), parallelism)
+    else:
+        _at_once(spark, hit, enumerate(forest.models), parallelism)
     hits = spark.read.parquet(f"{folder}/importance/hits")  # features x batches
     whole = hits.filter(F.col("variant") == OWN).select("batch", F.col("accuracy").alias("whole"))
     losses = hits.filter(F.col("variant") != OWN).join(whole, "batch")

@@ -88,3 +88,37 @@ def test_tuning_of_rows_that_a_task_can_hold_grows_whole_trees_in_tasks(spark, t
     votes = [spark.read.parquet(str(tmp_path / folder / "votes")).groupBy("point", "patient_key").agg(F.sum("votes").alias("n")) for folder in ("spark", "tasks")]
     both = votes[0].join(votes[1].withColumnRenamed("n", "m"), ["point", "patient_key"]).agg(F.corr("n", "m"), F.count("*"), F.max("m")).first()
     assert both[0] > 0.98 and both[1] == 4 * 1500 and both[2] <= 60
+
+
+def test_final_fit_of_rows_that_a_task_can_hold_grows_whole_trees_in_tasks(spark, tmp_path, monkeypatch):
+    train = _train(spark)
+    scored = lambda model: {r.patient_key: r.score for r in model.score(train).collect()}
+    left_out = lambda model: {r.patient_key: r.score for r in forest.out_of_bag(model, train).collect()}
+    losses = lambda model: {r.feature: r.importance for r in forest.permutation_importance(model, train, n_repeats=2).collect()}
+    monkeypatch.setattr(forest, "IN_A_TASK", 0)
+    by_spark = forest.fit_final(train, 2, 10, str(tmp_path / "spark"), n_trees=60, batch=6)
+    one = [get(by_spark) for get in (scored, left_out, losses)]
+    monkeypatch.undo()
+    monkeypatch.setattr(forest.TreeGrower, "fit", None)  # no passes of Spark's over a few rows
+    in_tasks = forest.fit_final(train, 2, 10, str(tmp_path / "tasks"), n_trees=60, batch=6)
+    assert [m.getNumTrees for m in in_tasks.models] == [len(m.trees) for m in in_tasks.models] == [6] * 10
+    other = [get(in_tasks) for get in (scored, left_out, losses)]
+    for a, b in zip(one[:2], other):
+        assert set(a) == set(b) and np.corrcoef([a[k] for k in a], [b[k] for k in a])[0, 1] > 0.97
+    assert set(one[2]) == set(other[2]) and all(abs(one[2][f] - other[2][f]) < 0.03 for f in one[2])
+    # what broke off is grown again, and gives the same
+    (tmp_path / "tasks/trees/batch=3/_SUCCESS").unlink()
+    (tmp_path / "tasks/out_of_bag/batch=3/_SUCCESS").unlink()
+    again = forest.fit_final(train, 2, 10, str(tmp_path / "tasks"), n_trees=60, batch=6)
+    assert scored(again) == other[0] and left_out(again) == other[1]
+
+
+def test_stored_trees_answer_as_those_in_growth():
+    rows, label, n_bins = _table(300)
+    cuts = [[c + 0.5 for c in range(n - 1)] for n in n_bins]  # a bin's number stands for its values
+    seeds, times = [(8, k) for k in range(5)], np.random.default_rng(0).poisson(1.0, 300)
+    nodes = trees.forest(rows, label, times, cuts, seeds, 2, 3)
+    inner = nodes["feature"] >= 0
+    assert (nodes["tree"][nodes["left"][inner]] == nodes["tree"][inner]).all() and nodes["tree"][:5].tolist() == [0, 1, 2, 3, 4]
+    drawn = trees._grown(rows, label, [times] * 5, rows, n_bins, seeds, 2, [3], 30)
+    assert np.allclose(trees.answers(nodes, 5, rows.astype(float)), trees._answers(drawn[0], drawn[1], drawn[3], 300)[0])
